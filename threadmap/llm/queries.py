@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, near_dedup
+from . import bpe, decontaminate, exact_dedup, near_dedup
 from .common import LOWER, UPPER, table
 
 
@@ -14,12 +14,29 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str) -> str:
+    """The place of a public tokenizer file, which every worker has under the same path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), ids=False)
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components_within(table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
