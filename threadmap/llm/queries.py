@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, near_dedup
+from . import bpe, decontaminate, exact_dedup, near_dedup, toxicity
 from .common import LOWER, UPPER, table
 
 
@@ -21,6 +21,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), ids=False)
 
@@ -34,6 +38,7 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": op4_toxicity,
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,

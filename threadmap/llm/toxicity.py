@@ -36,8 +36,9 @@ SAMPLE_ROWS = 20_000
 LEXICON, BEGINNINGS = 20_000, (4, 5, 6)
 #: Toxic rows of the sample that a word must be in, at least, and their share.
 LEAST_ROWS, LEAST_SHARE = 3, 0.01
-#: Log odds that a word needs to count as evidence.
-LEAST_WEIGHT = 3.0
+#: Log odds that a word needs to count as evidence: so much less than the most that a
+#: sample of its size can give to a word, which it has in no clean row; and the least.
+WEIGHT_RANGE, LEAST_WEIGHT = 5.0, 3.0
 THRESHOLD = 0.7
 
 #: The letters that a sign may stand for.
@@ -231,7 +232,8 @@ def _distinct_words(text: str | None, decoder: Decoder) -> set[str]:
 def _lexicon(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
     least = max(LEAST_ROWS, LEAST_SHARE * toxic)
     weights = {f: math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1)) for f, (t, c) in counts.items() if t >= least}
-    strong = sorted((w, f) for f, w in weights.items() if w >= LEAST_WEIGHT)[-LEXICON:]
+    floor = max(LEAST_WEIGHT, math.log(2 * (clean + 1)) - WEIGHT_RANGE)
+    strong = sorted((w, f) for f, w in weights.items() if w >= floor)[-LEXICON:]
     return {f: w for w, f in strong}
 
 
