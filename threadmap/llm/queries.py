@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, near_dedup, toxicity
+from . import bpe, chat, decontaminate, exact_dedup, near_dedup, toxicity, warc
 from .common import LOWER, UPPER, table
 
 
@@ -21,6 +21,21 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: A conversation whose texts hold the template's own control strings.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op3_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(control)
+    tokenizer = tokenizer_path("byte_bpe_50k.json")
+    return chat.read(chat.write(turns, tokenizer), tokenizer).drop("n_tokens")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("url", "html")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,14 +53,29 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_chat_prefix_tree": op3_chat_prefix_tree,
     "op4_toxicity": op4_toxicity,
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_warc": op9_warc,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+_ESCAPE = "replace(replace(replace({0}, '\\', '\\\\'), '###', '\\###'), '</turn>', '\\</turn>')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_chat_prefix_tree": f"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{CONTROL_TEXT}'), (-7, 1, 'assistant', '{CONTROL_TEXT}')))
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length('### ' || replace({_ESCAPE.format("role")}, ':', '\\:') || ': ' || {_ESCAPE.format("text")} || ' </turn>' || chr(10))) AS BIGINT) AS formatted_chars
+        FROM t GROUP BY conv_id
+    """,
     "op10_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
