@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, exact_dedup, near_dedup, toxicity, warc
+from . import bpe, chat, decontaminate, exact_dedup, near_dedup, token_files, toxicity, warc
 from .common import LOWER, UPPER, table
 
 
@@ -21,6 +21,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
+
+
 #: A conversation whose texts hold the template's own control strings.
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
@@ -53,6 +57,7 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_repair_token_files": op2_repair_token_files,
     "op3_chat_prefix_tree": op3_chat_prefix_tree,
     "op4_toxicity": op4_toxicity,
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
