@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, near_dedup, token_files, toxicity, warc
+from . import bpe, chat, decontaminate, exact_dedup, near_dedup, pii, token_files, toxicity, warc
 from .common import LOWER, UPPER, table
 
 
@@ -52,6 +53,13 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(table(spark, sf_dir, "documents"))
+    of_kind = lambda i: F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long")
+    counts = [of_kind(i).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed("all").alias("spans"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components_within(table(spark, sf_dir, "documents"), width=3, radius=2)
 
@@ -62,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_pii_disclosure": op7_pii_disclosure,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_warc": op9_warc,
     "op10_exact_dedup": op10_exact_dedup,
