@@ -42,10 +42,12 @@ def byte_letters() -> dict[int, str]:
 class Merges:
     """Vocabulary and merges of one tokenizer file, and the merging of words."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_merges: int | None = None):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        if most_merges is not None:  # the first merges alone, and the symbols that they make
+            model["merges"] = model["merges"][:most_merges]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
