@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, near_dedup, pii, token_files, toxicity, warc
+from . import bpe, chat, decontaminate, exact_dedup, lm_score, near_dedup, pii, token_files, toxicity, warc
 from .common import LOWER, UPPER, table
 
 
@@ -22,6 +22,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_attention_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scored(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op2_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
@@ -65,6 +69,7 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_attention_lm_score": op1_attention_lm_score,
     "op2_repair_token_files": op2_repair_token_files,
     "op3_chat_prefix_tree": op3_chat_prefix_tree,
     "op4_toxicity": op4_toxicity,
