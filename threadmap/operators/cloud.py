@@ -31,15 +31,21 @@ def check(points: DataFrame) -> None:
         raise ValueError(f"not a cloud of finite rows of one width: {r.asDict()}")
 
 
-def moments(points: DataFrame, features: int | None = None) -> DataFrame:
-    """One row with mean and scale (population deviation, 1 where it is next to 0).
+#: Features up to which each has aggregates of its own; wider rows are unrolled instead.
+SIDE_BY_SIDE = 16
 
-    All features are aggregated in one pass, on the map side first; nothing is exploded.
-    """
+
+def moments(points: DataFrame, features: int | None = None) -> DataFrame:
+    """One row with mean and scale (population deviation, 1 where it is next to 0), from one pass with map-side sums."""
     d = features or width(points)
-    at = [F.get("x", F.lit(j)) for j in range(d)]
-    deviation = [F.when(F.stddev_pop(c) < TINY, 1.0).otherwise(F.stddev_pop(c)) for c in at]
-    return points.agg(F.array(*map(F.avg, at)).alias("mean"), F.array(*deviation).alias("scale"))
+    safe = lambda s: F.when(s < TINY, F.lit(1.0)).otherwise(s)
+    if d <= SIDE_BY_SIDE:
+        at = [F.get("x", F.lit(j)) for j in range(d)]
+        one = points.agg(F.array(*map(F.avg, at)).alias("mean"), F.array(*map(F.stddev_pop, at)).alias("deviation"))
+        return one.select("mean", F.transform("deviation", safe).alias("scale"))
+    each = points.select(F.posexplode("x").alias("j", "v")).groupBy("j").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    row = each.agg(F.array_sort(F.collect_list(F.struct("j", "m", "s"))).alias("all"))  # a struct for each feature
+    return row.select(F.transform("all", lambda f: f["m"]).alias("mean"), F.transform("all", lambda f: safe(f["s"])).alias("scale"))
 
 
 def standardized(points: DataFrame, of: DataFrame | None = None) -> DataFrame:

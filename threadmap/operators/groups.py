@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import distance, sqdist
 from ..sources.tables import save
-from .cloud import width
+from .cloud import SIDE_BY_SIDE, width
 from .neighbors import density_threshold, knn, kth_scale
 
 #: Centers that may be sent to all tasks as one row.
@@ -29,9 +29,13 @@ def nearest_center(points: DataFrame, centers: DataFrame) -> DataFrame:
 
 
 def group_means(points: DataFrame, key: str, features: int | None = None) -> DataFrame:
-    """key, c, n: the mean of each group, features aggregated side by side in one pass."""
+    """key, c, n: the mean of each group, from one pass with map-side sums."""
     d = features or width(points)
-    return points.groupBy(key).agg(F.array(*(F.avg(F.get("x", F.lit(j))) for j in range(d))).alias("c"), F.count("*").alias("n"))
+    if d <= SIDE_BY_SIDE:
+        return points.groupBy(key).agg(F.array(*(F.avg(F.get("x", F.lit(j))) for j in range(d))).alias("c"), F.count("*").alias("n"))
+    each = points.select(key, F.posexplode("x").alias("j", "v")).groupBy(key, "j").agg(F.avg("v").alias("m"), F.count("*").alias("n"))
+    row = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("j", "m"))).alias("all"), F.max("n").alias("n"))  # a struct for each feature
+    return row.select(key, F.transform("all", lambda f: f["m"]).alias("c"), "n")
 
 
 def kmeans_step(points: DataFrame, centers: DataFrame) -> DataFrame:

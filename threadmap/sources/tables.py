@@ -19,18 +19,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the folder that spark.checkpoint.dir names and reads it back: the lineage ends there.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path in the folder that spark.checkpoint.dir names, which driver and executors share.
 
     Where the setting is missing a temporary folder is used, on a local master only.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
         if not (sc.master or "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _own.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="threadmap-"))
-    path = f"{base.rstrip('/')}/threadmap/{tag}-{uuid.uuid4().hex}"
+        if sc.applicationId not in _own:
+            _own[sc.applicationId] = tempfile.mkdtemp(prefix="threadmap-")
+        base = _own[sc.applicationId]
+    return f"{base.rstrip('/')}/threadmap/{name}"
+
+
+def save(df: DataFrame, tag: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: the lineage ends there."""
+    path = shared_path(df.sparkSession, f"{tag}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
