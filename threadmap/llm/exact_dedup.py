@@ -43,19 +43,18 @@ def slot(key: Column, depth: int = MAX_DEPTH) -> Column:
 def directory(entries: DataFrame, capacity: int = BUCKET_CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
     """The directory (slot, bucket, local_depth) after all splits; at most 2**max_depth rows.
 
-    Entries are counted by their max_depth leading bits once. Each round doubles the
-    directory and splits those buckets that are overfull, on these counts alone.
+    Entries are counted by their max_depth leading bits once. Of these counts come those of
+    the directory at each depth, which doubles from one to the next; a slot's bucket is the
+    one at the first depth that isn't overfull, so only overfull buckets are split.
     """
     counts = entries.groupBy(slot(F.col("key"), max_depth).alias("slot")).count()
     spark = entries.sparkSession
-    table = spark.range(1 << max_depth).select(F.col("id").cast("int").alias("slot")).join(F.broadcast(counts), "slot", "left")
-    table = save(table.select("slot", F.coalesce("count", F.lit(0)).alias("n")), "directory-counts")
-    depth = F.lit(None).cast("int")
-    sums = {d: table.groupBy(F.shiftright("slot", max_depth - d).alias(f"p{d}")).agg(F.sum("n").alias(f"n{d}")) for d in range(max_depth)}
-    for d in range(max_depth):
-        table = table.withColumn(f"p{d}", F.shiftright("slot", max_depth - d)).join(F.broadcast(sums[d]), f"p{d}")
-        depth = F.coalesce(depth, F.when(F.col(f"n{d}") <= capacity, d))
-    table = table.withColumn("local_depth", F.coalesce(depth, F.lit(max_depth)))
+    slots = spark.range(1 << max_depth).select(F.col("id").cast("int").alias("slot")).join(F.broadcast(counts), "slot", "left")
+    slots = save(slots.select("slot", F.coalesce("count", F.lit(0)).alias("n")), "directory-counts")
+    at = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth - 1))).alias("d")).withColumn("p", F.expr(f"shiftright(slot, {max_depth} - d)"))
+    fitting = at.groupBy("d", "p").agg(F.sum("n").alias("n")).where(F.col("n") <= capacity).select("d", "p")
+    least = at.join(fitting, ["d", "p"]).groupBy("slot").agg(F.min("d").alias("d"))
+    table = slots.join(least, "slot", "left").select("slot", F.coalesce("d", F.lit(max_depth)).alias("local_depth"))
     first = F.expr(f"shiftleft(shiftright(slot, {max_depth} - local_depth), {max_depth} - local_depth)")
     return table.select("slot", first.cast("int").alias("bucket"), "local_depth")
 
