@@ -45,6 +45,8 @@ def kmeans_step(points: DataFrame, centers: DataFrame) -> DataFrame:
 
 def kmeans(points: DataFrame, k: int, rounds: int = 80, seed: int = 0) -> DataFrame:
     """center, c: k-means with parallel k-means++ seeds."""
+    if k < 2:
+        return group_means(points.withColumn("center", F.lit(0)), "center").select("center", "c")
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 

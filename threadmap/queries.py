@@ -40,7 +40,7 @@ SCALES = ", s AS (SELECT i AS row_id, greatest(sqrt(max(d2)), 1e-8) AS scale FRO
 UNION = ", u AS (SELECT least(i, j) AS src, greatest(i, j) AS dst, min(d2) AS d2, count(*) AS times FROM n GROUP BY ALL)"
 COND = ", q AS (SELECT src, dst, sqrt(d2) AS length, exp(-d2 / (a.scale * b.scale)) AS conductance FROM u JOIN s a ON a.row_id = src JOIN s b ON b.row_id = dst)"
 SEGS = (
-    C + ", v AS (SELECT label, c, row_number() OVER (ORDER BY label) - 1 AS seg, lead(c) OVER (ORDER BY label) AS nx FROM c)"
+    C + ", v AS (SELECT label, c, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS seg, lead(c) OVER (ORDER BY label) AS nx FROM c)"
     ", g0 AS (SELECT seg, c AS s, list_transform(range(1, 65), lambda k: nx[k] - c[k]) AS v FROM v WHERE nx IS NOT NULL)"
     ", g1 AS (SELECT *, list_sum(list_transform(v, lambda t: t * t)) AS vv FROM g0)"
     ", g AS (SELECT *, sqrt(vv) AS length, sum(sqrt(vv)) OVER (ORDER BY seg) / sum(sqrt(vv)) OVER () AS t1 FROM g1)"
@@ -165,7 +165,7 @@ def nearest_center(spark, sf_dir):
     return groups.nearest_center(points, label_centers(points)).select("row_id", "label", "center", _r("d2"))
 
 
-@query("q14_kmeans_step", f"""WITH {Z}, f AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS center, x AS c FROM z ORDER BY row_id LIMIT 8),
+@query("q14_kmeans_step", f"""WITH {Z}, f AS (SELECT CAST(row_number() OVER (ORDER BY row_id) - 1 AS INTEGER) AS center, x AS c FROM z ORDER BY row_id LIMIT 8),
        n AS (SELECT row_id, arg_min(center, d2) AS center FROM (SELECT row_id, center, {SQDIST.format('x', 'c')} AS d2 FROM z, f) GROUP BY 1)
        SELECT center, count(*) AS n, round(avg(x[1]), 6) AS first, round(avg(x[64]), 6) AS last FROM n JOIN z USING (row_id) GROUP BY 1""")
 def kmeans_step(spark, sf_dir):
