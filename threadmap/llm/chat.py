@@ -1,6 +1,6 @@
 """Chat formatting: conversations that share initial turns are merged into prefix trees.
 
-A turn is written as ``### role: text </turn>`` and a newline. Backslash, ``###`` and
+A turn is written as ``### role: text </turn>`` and a newline. Backslash, ``#`` and
 ``</turn>`` inside a text are escaped by a backslash, so formatting can be undone. A
 conversation's turns get the chained digest of all turns up to them. Conversations are
 ordered by the arrays of their digests, so that those with a common beginning stand next
@@ -34,7 +34,7 @@ from .bpe import byte_letters
 from .common import filesystem, partitions, save, scratch
 
 START, COLON, END = "### ", ": ", " </turn>\n"
-_CONTROL = re.compile(r"\\|###|</turn>")
+_CONTROL = re.compile(r"\\|#|</turn>")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
 

@@ -81,7 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-_ESCAPE = "replace(replace(replace({0}, '\\', '\\\\'), '###', '\\###'), '</turn>', '\\</turn>')"
+_ESCAPE = "replace(replace(replace({0}, '\\', '\\\\'), '#', '\\#'), '</turn>', '\\</turn>')"
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_prefix_tree": f"""
