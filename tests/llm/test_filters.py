@@ -57,6 +57,14 @@ def test_exact_dedup_keeps_rows_of_null_ids_and_repeated_rows(spark):
     assert sorted((r["doc_id"] or -1, r["keep_id"] or -1, r["group_size"]) for r in got) == [(-1, -1, 1), (-1, 3, 2), (3, 3, 2), (5, 5, 2), (5, 5, 2)]
 
 
+def test_exact_dedup_filter_keeps_clean_rows_without_id(spark):
+    docs = documents(spark, ["x", "x", "y", "Y", "z", None, "w"], [None, 3, 5, 6, None, 9, 3])
+    got = exact_dedup.drop_duplicates(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in got.where("text is not null").collect()) == [(-1, "z"), (3, "w"), (3, "x"), (6, "Y")]
+    assert got.where("text is null").count() == 1
+
+
 def test_directory_splits_only_overfull_buckets(spark):
     keys = [i << 60 for i in range(4)] + [(1 << 62) + i for i in range(3)]
     entries = spark.createDataFrame([(k,) for k in keys], "key long")

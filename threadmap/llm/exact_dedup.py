@@ -87,6 +87,12 @@ def duplicates(docs: DataFrame, capacity: int = BUCKET_CAPACITY, max_depth: int
 
 
 def drop_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs whose doc_id is the one that stays of its group of equal texts."""
-    index = build_index(docs, text=text, doc_id=doc_id).select(F.col("keep_id").alias(doc_id)).where(F.col(doc_id).isNotNull())
-    return docs.join(index, doc_id, "left_semi")
+    """The rows of docs whose doc_id is the one that stays of its group of equal texts.
+
+    Rows of null doc_id stay where no other row has their text with an id.
+    """
+    index = build_index(docs, text=text, doc_id=doc_id).select("key", "sha256", "keep_id")
+    norm = ascii_lower(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.xxhash64(norm).alias("key"), F.sha2(norm.cast("binary"), 256).alias("sha256"))
+    same = (rows["key"] == index["key"]) & (rows["sha256"] == index["sha256"]) & rows["id"].eqNullSafe(index["keep_id"])
+    return rows.join(index, same, "left_semi").select("row.*")
