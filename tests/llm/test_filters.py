@@ -131,6 +131,31 @@ def test_near_duplicates_are_found_and_others_left(spark):
     assert kept == {*range(8), *range(16, 26)}
 
 
+def test_near_duplicates_within_families_that_are_just_below_the_similarity(spark):
+    texts = []
+    for f in range(6):
+        base = prose(100 + f, 104, 10**6)  # 100 shingles, and as many more as the tail has words
+        texts += [f"{base} {prose(1000 * f + i, 12 if i in (20, 40) else 14, 10**6)}" for i in range(42)]
+    sets = [set(near_dedup.shingle_hashes(near_dedup.words_of(t), 5).tolist()) for t in texts]
+    pairs = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert pairs == {(42 * f + 20, 42 * f + 40) for f in range(6)}
+    got = {(r["component_id"], r["doc_id"]) for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
+    assert got == pairs
+
+
+def test_earlier_hits_are_all_of_other_labels():
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 1 << 63, 4, dtype=np.uint64)[rng.integers(0, 4, 300)] ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
+    group, label, done = np.sort(rng.integers(0, 3, 300)), rng.integers(0, 9, 300), np.zeros(300, np.int64)
+    want = {(i, j) for i in range(300) for j in range(i) if group[i] == group[j] and label[i] != label[j] and int(fps[i] ^ fps[j]).bit_count() <= 2}
+    got = []
+    for most in (1, 3, 200):
+        member, other, done = bitslice.earlier_hits(fps, group, 2, label, done, most)
+        assert np.bincount(member).max() <= most
+        got += zip(member.tolist(), other.tolist())
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 # ---- decontamination ---------------------------------------------------------------------
 
 

@@ -137,3 +137,45 @@ def nearest_earlier(fps: np.ndarray, group: np.ndarray, radius: int) -> np.ndarr
         some = hits != 0
         found[open_[some]] = nearest[some]
         wave += 1
+
+
+def earlier_hits(fps: np.ndarray, group: np.ndarray, radius: int, label: np.ndarray, done: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """member, other, done: members before each one in its group, within the radius and of another label.
+
+    Each member goes on from the position done of its group, gives up to most others, and
+    its new position is returned; that is its own where none are left.
+    """
+    b = Blocks(fps, group)
+    done, left = np.array(done, np.int64), np.full(len(fps), most, np.int64)
+    # the members of each block by label, as masks
+    names, label = np.unique(label, return_inverse=True)
+    code = b.block * (len(names) + 1) + label
+    codes, place = np.unique(code, return_inverse=True)
+    same = np.zeros(len(codes), np.uint64)
+    np.bitwise_or.at(same, place, ONE << (b.at % 64).astype(np.uint64))
+    members, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while True:
+        open_ = np.flatnonzero((done < b.at) & (left > 0))
+        if not len(open_):
+            return np.concatenate(members), np.concatenate(others), done
+        wave = done[open_] // 64
+        block, position = b.group_block[open_] + wave, b.at[open_] - wave * 64
+        before = np.where(position >= 64, FULL, (ONE << np.minimum(position, 63).astype(np.uint64)) - ONE)
+        want = block * (len(names) + 1) + label[open_]
+        at = np.minimum(np.searchsorted(codes, want), len(codes) - 1)
+        own = np.where(codes[at] == want, same[at], ZERO)
+        allowed = b.filled[block] & before & ~own & (FULL << (done[open_] % 64).astype(np.uint64))
+        hits, _, _ = b.compare(open_, block, allowed, radius)
+        done[open_] = np.minimum(b.at[open_], (wave + 1) * 64)
+        rows = np.flatnonzero(hits)
+        while len(rows):
+            low = hits[rows] & (ZERO - hits[rows])
+            bit = np.bitwise_count(low - ONE).astype(np.int64)
+            q = open_[rows]
+            members.append(q)
+            others.append(b.start[block[rows]] + bit)
+            hits[rows] ^= low
+            left[q] -= 1
+            full = left[q] == 0
+            done[q[full]] = np.minimum(b.at[q], wave[rows] * 64 + bit + 1)[full]
+            rows = rows[(hits[rows] != 0) & ~full]
