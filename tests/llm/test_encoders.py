@@ -241,6 +241,20 @@ def test_disclosing_terms_are_found_and_texts_sanitised(spark):
     assert pii.spans(docs).count() == 209 and pii.spans(docs.limit(0)).count() == 0
 
 
+def test_copies_leave_shares_and_rare_entities_are_judged(spark):
+    filler = [f"common {' '.join(f'w{i % 40}x{j}' for j in range(20))} {i}" for i in range(300)]
+    often = [f"common quibble +1 (743) 555-3824 ask {i} common" for i in range(3)]
+    once = ["common flat 7b of ostrander at jo@example.org common"]
+    shares = []
+    for copies in (0, 400):
+        docs = documents(spark, [*filler, *often, *once, *[often[0]] * copies])
+        shares.append({(r["entity"], r["term"]): round(r["share"], 9) for r in pii.disclosures(docs, pii.found(docs)).collect()})
+    assert shares[0] == shares[1]
+    assert shares[0]["phone:17435553824", "quibble"] == 1
+    assert shares[0]["email:jo@example.org", "ostrander"] == 1 and shares[0]["email:jo@example.org", "7b"] == 1
+    assert "common" not in {t for _, t in shares[0]}
+
+
 # ---- language model ----------------------------------------------------------------------
 
 

@@ -2,12 +2,12 @@
 
 Base spans are email addresses, IP addresses, card and phone numbers. Each found value is
 a protected entity. Terms near its mentions are weighed by what the corpus tells: with p(t)
-the share of texts that hold a term, p(e) that of texts that hold the entity, and p(t, e)
-that of distinct contexts in which both meet, the term gives log2(p(t,e) / (p(t) p(e))) of
-the -log2 p(e) bits that name the entity. A term that gives at least the share REMOVE of
-these is removed, one that gives at least GENERALISE is replaced by its kind. Terms that
-meet an entity in fewer than SUPPORT distinct contexts are left, so copies of a text do not
-count as evidence. All counts are over all texts.
+the share of distinct texts that hold a term, p(e) that of those that hold the entity, and
+p(t, e) that of those in which both meet in a context, the term gives
+log2(p(t,e) / (p(t) p(e))) of the -log2 p(e) bits that name the entity. A term that gives at
+least the share REMOVE of these is removed, one that gives at least GENERALISE is replaced by
+its kind. Copies of a text count once in each of the shares, so they change none of them. An
+entity of a single text is judged like any other. All counts are over all texts.
 
 Defined cases: a null text counts as empty and has no spans. Repeated rows get equal
 results each; rows of null doc_id are kept. Offsets are code points, the end exclusive.
@@ -16,7 +16,6 @@ Empty tables give empty results. Other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,9 +29,11 @@ from .common import LOWER_TABLE, save
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: Words on either side of a mention that are its context.
 CONTEXT_WORDS = 12
-SUPPORT, GENERALISE, REMOVE, LEAST_LETTERS = 3, 0.75, 0.9, 3
+GENERALISE, REMOVE = 0.75, 0.9
 #: Candidate terms up to which they are sent to all tasks (some 20 MB); more are counted by a shuffle.
 BROADCAST_TERMS = 200_000
+#: Texts with copies up to which their hashes are sent to all tasks (some 30 MB); more are joined by a shuffle.
+BROADCAST_COPIES = 1_000_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -90,8 +91,8 @@ def term_of(word: str) -> str:
     return word.strip(_EDGE).lower()
 
 
-def contexts(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[str, str, int, int, int]]:
-    """entity, term, hash of the context, start, end: the terms around each mention that no base span covers."""
+def contexts(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[str, str, int, int]]:
+    """entity, term, start, end: the terms around each mention that no base span covers."""
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     out = []
     for a, kind, b, value in spans:
@@ -99,18 +100,21 @@ def contexts(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[st
         first = next((i for i, w in enumerate(words) if w[1] > a), len(words))
         last = next((i for i in range(first, len(words)) if words[i][0] >= b), len(words))
         near = [*words[max(0, first - CONTEXT_WORDS) : first], *words[last : last + CONTEXT_WORDS]]
-        window = hashlib.blake2b(" ".join(text[p:q] for p, q in near).encode("utf-8", "surrogatepass"), digest_size=8).digest()
         for p, q in near:
             raw = text[p:q]
             left = len(raw) - len(raw.lstrip(_EDGE))
             term = term_of(raw)
             p, q = p + left, p + left + len(raw.strip(_EDGE))
-            if len(term) >= LEAST_LETTERS and term.isalpha() and not any(p < e and s < q for s, _, e, _ in spans):
-                out.append((entity, term, int.from_bytes(window, "little", signed=True), p, q))
+            if any(map(str.isalnum, term)) and not any(p < e and s < q for s, _, e, _ in spans):
+                out.append((entity, term, p, q))
     return out
 
 
-_FOUND = "doc_id long, row_hash long, base array<struct<start:int,kind:int,end:int>>, entities array<string>, terms array<struct<entity:string,term:string,context:long,start:int,end:int>>"
+_FOUND = "doc_id long, row_hash long, base array<struct<start:int,kind:int,end:int>>, entities array<string>, terms array<struct<entity:string,term:string,start:int,end:int>>"
+
+
+def _hash(text: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def found(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -122,38 +126,44 @@ def found(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
             yield frame[["doc_id", "row_hash"]].assign(
                 base=[[{"start": a, "kind": k, "end": b} for a, k, b, _ in s] for s in spans],
                 entities=[sorted({f"{KINDS[k]}:{v}" for _, k, _, v in s}) for s in spans],
-                terms=[[dict(zip(("entity", "term", "context", "start", "end"), c)) for c in contexts(t, s)] if s else [] for t, s in zip(frame["text"], spans)],
+                terms=[[dict(zip(("entity", "term", "start", "end"), c)) for c in contexts(t, s)] if s else [] for t, s in zip(frame["text"], spans)],
             )
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_hash"), F.col(text).alias("text"))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _hash(text).alias("row_hash"), F.col(text).alias("text"))
     return source.mapInPandas(scan, _FOUND)
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """term, texts: in how many texts each of the terms is."""
+def term_counts(docs: DataFrame, terms: DataFrame, copied: DataFrame, text: str = "text") -> DataFrame:
+    """term, texts: in how many distinct texts each of the terms is. copied (row_hash, times) has the texts with copies."""
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     chosen = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in terms.collect()) if few else None)
+    if copied.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES:
+        copied = F.broadcast(copied)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = chosen.value
         for frame in batches:
             counts: Counter = Counter()
-            for t in frame["text"]:
+            for t, times in zip(frame["text"], frame["times"]):
                 own = {term_of(w) for w in set((t or "").split())}
-                counts.update(own if wanted is None else own & wanted)
-            yield pd.DataFrame({"term": list(counts), "texts": list(counts.values())}).astype({"term": str, "texts": "int64"})
+                counts.update(((w, times) for w in own) if wanted is None else ((w, times) for w in own & wanted))
+            yield pd.DataFrame([(w, n, times) for (w, times), n in counts.items()], columns=["term", "rows", "times"]).astype({"term": str, "rows": "int64", "times": "int64"})
 
-    counted = docs.select(F.col(text).alias("text")).mapInPandas(count, "term string, texts long").groupBy("term").agg(F.sum("texts").alias("texts"))
+    source = docs.select(F.col(text).alias("text"), _hash(text).alias("row_hash")).join(copied, "row_hash", "left").select("text", F.coalesce("times", F.lit(1)).alias("times"))
+    counted = source.mapInPandas(count, "term string, rows long, times long").groupBy("term", "times").agg(F.sum("rows").alias("rows"))
+    counted = counted.groupBy("term").agg(F.sum(F.expr("rows div times")).alias("texts"))  # all copies of a text hold the term, so nothing remains
     return counted.join(terms, "term", "left_semi")
 
 
 def disclosures(docs: DataFrame, rows: DataFrame, text: str = "text") -> DataFrame:
     """entity, term, share: the terms that disclose an entity, with the share of its bits that they give."""
-    total = docs.count()
-    met = rows.select(F.explode("terms").alias("t")).select("t.entity", "t.term", "t.context").distinct()
-    pairs = save(met.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT), "pii-pairs")
-    of_entity = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("of_entity"))
-    of_term = term_counts(docs, pairs.select("term").distinct(), text)
+    texts = rows.groupBy("row_hash").agg(F.count("*").alias("times"))
+    total = texts.count()
+    copied = save(texts.where("times > 1"), "pii-copied")
+    met = rows.select("row_hash", F.explode("terms").alias("t")).select("t.entity", "t.term", "row_hash").distinct()
+    pairs = save(met.groupBy("entity", "term").agg(F.count("*").alias("both")), "pii-pairs")
+    of_entity = rows.select("row_hash", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
+    of_term = term_counts(docs, pairs.select("term").distinct(), copied, text)
     bits = F.log2(total / F.col("of_entity"))
     given = F.log2(F.col("both") * total / (F.col("texts") * F.col("of_entity")))
     share = F.when(bits > 0, given / bits).otherwise(0.0)
@@ -182,7 +192,7 @@ def listed(spans) -> F.Column:
 def sanitised(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, text: base spans replaced by their kind, disclosing terms generalised to [TERM] or removed."""
     own = spans(docs, text, doc_id).dropDuplicates(["doc_id", "row_hash"])
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _hash(text).alias("row_hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     both = source.join(own.withColumnRenamed("doc_id", "d"), source["doc_id"].eqNullSafe(F.col("d")) & (source["row_hash"] == own["row_hash"]), "left")
 
     @F.pandas_udf("string")
