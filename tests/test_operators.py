@@ -128,3 +128,17 @@ def test_out_of_fold_accuracy(spark):
 
     rows = spark.createDataFrame([(i, [float(i % 2), float(i)], i % 2) for i in range(60)], "row_id long, features array<double>, label int")
     assert ft.out_of_fold_accuracy(rows, DecisionTreeClassifier(), 3) == 1.0
+
+
+def test_nearest_takes_the_least_ids_of_ties_and_holds_far_from_the_origin():
+    from threadmap.operators.neighbors import _nearest
+
+    rng = np.random.default_rng(5)
+    tied = np.repeat(rng.normal(size=(3, 4)), 100, axis=0)
+    far = 1e8 + rng.integers(0, 9, (300, 4)) / 4
+    for x in (tied, far):
+        ids = rng.permutation(len(x))
+        rows, j, d2 = _nearest(x, ids, x, ids, 6)
+        want = [(i, n, d) for i in range(len(x)) for d, n in sorted((float(((x[i] - x[m]) ** 2).sum()), int(ids[m])) for m in range(len(x)) if m != i)[:6]]
+        assert list(zip(rows.tolist(), j.tolist())) == [w[:2] for w in want]
+        assert np.allclose(d2, [w[2] for w in want])

@@ -34,21 +34,26 @@ def _gram(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _nearest(a: np.ndarray, a_ids: np.ndarray, b: np.ndarray, b_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For rows of a the k nearest rows of b other than themselves: places in a, ids in b, squared distances.
 
-    The expanded form finds somewhat more candidates than k; their distances are then summed directly.
+    The expanded form only rules out rows that its rounding can't bring among the k nearest; the distances
+    of all others, of which ties make any number, are summed directly.
     """
     d2 = _gram(a, b)
     d2[a_ids[:, None] == b_ids[None, :]] = np.inf
-    m = min(len(b), k + 8)
-    near = np.argpartition(d2, m - 1, axis=1)[:, :m] if m < len(b) else np.tile(np.arange(len(b)), (len(a), 1))
-    exact = np.zeros(near.shape)
+    if k < len(b):
+        # each of the two forms is off by less than this for any row of b
+        slack = 4 * (a.shape[1] + 4) * np.finfo(float).eps * ((a * a).sum(1) + (b * b).sum(1).max())
+        kth = np.partition(d2, k - 1, axis=1)[:, k - 1]
+        near = d2 <= (kth + 2 * slack)[:, None]
+    else:
+        near = np.isfinite(d2)
+    rows, at = np.nonzero(near & np.isfinite(d2))
+    exact = np.zeros(len(rows))
     for j in range(a.shape[1]):
-        exact += (a[:, j][:, None] - b[:, j][near]) ** 2
-    exact[b_ids[near] == a_ids[:, None]] = np.inf
-    order = np.lexsort((b_ids[near], exact), axis=1)[:, :k]
-    rows = np.repeat(np.arange(len(a)), order.shape[1])
-    ids, d2 = np.take_along_axis(b_ids[near], order, 1).ravel(), np.take_along_axis(exact, order, 1).ravel()
-    some = np.isfinite(d2)
-    return rows[some], ids[some], d2[some]
+        exact += (a[rows, j] - b[at, j]) ** 2
+    order = np.lexsort((b_ids[at], exact, rows))
+    rows, at, exact = rows[order], at[order], exact[order]
+    some = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[some], b_ids[at[some]], exact[some]
 
 
 def packs(points: DataFrame, pack_rows: int = PACK_ROWS) -> tuple[DataFrame, np.ndarray]:
@@ -60,9 +65,9 @@ def packs(points: DataFrame, pack_rows: int = PACK_ROWS) -> tuple[DataFrame, np.
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             if len(frame):
-                d2 = _gram(_matrix(frame["x"]), shared.value)
-                cell = d2.argmin(1)
-                yield frame.assign(cell=cell, away=np.sqrt(np.maximum(d2[np.arange(len(cell)), cell], 0)))
+                x = _matrix(frame["x"])
+                cell = _gram(x, shared.value).argmin(1)
+                yield frame.assign(cell=cell, away=np.sqrt(((x - shared.value[cell]) ** 2).sum(1)))
 
     held = save(points.select("row_id", "x").mapInPandas(assign, "row_id long, x array<double>, cell int, away double"), "cells")
     sizes = held.groupBy("cell").agg(F.ceil(F.count("*") / pack_rows).cast("int").alias("parts"))
