@@ -59,6 +59,8 @@ def test_segment_tree_merges_leftmost_lowest_rank():
             _, i = min(found)
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
         assert m.encode_pieces([piece])[0].tolist() == [m.vocab[s] for s in symbols]
+        if piece:
+            assert m._merge_long(piece, max(2, 1 << (len(piece) - 1).bit_length())) == [m.vocab[s] for s in symbols]
 
 
 # ---- token files -------------------------------------------------------------------------
@@ -89,6 +91,13 @@ def test_grammars_expand_to_what_they_compress(seed):
     ids = rng.choice([0, 1, 1, 1, 2, 3, 9], 5000) if seed else np.array([5] * 1001)
     g = repair.compress(ids, 10, stop=0, least=4)
     assert len(g.left) and len(g.symbols) < len(ids) and (repair.expand(g) == ids).all() and 0 not in g.left
+    left = Counter()
+    last = {}
+    for i, pair in enumerate(zip(g.symbols.tolist(), g.symbols[1:].tolist())):
+        if pair[0] and last.get(pair) != i - 1:  # disjoint occurrences
+            left[pair] += 1
+            last[pair] = i
+    assert max(left.values()) < 4  # no pair is frequent any more
     for a, b in [(0, 1), (17, 600), (len(ids) - 3, len(ids)), (8, 8)]:
         assert (repair.decode_range(g, a, b) == ids[a:b]).all()
     again, columns = repair.load(repair.dump(g, {"n": np.array([1, 2], "<i8")}))
@@ -260,13 +269,16 @@ def test_copies_leave_shares_and_rare_entities_are_judged(spark):
 
 def small_model():
     rng = np.random.default_rng(0)
-    w = attention.start_weights(attention.Shape(70), np.ones(70), 1)
-    return w, rng.integers(0, 70, 130), np.array([1, 60, 0 + 24, 45])
+    shape = attention.Shape(70, 20)
+    follows, ends = rng.integers(0, 9, (71, 70)).astype(float), rng.integers(0, 9, 70).astype(float)
+    follows[:70, :20] = follows[70, 20:] = 0
+    w = {n: p + 0.2 * rng.standard_normal(p.shape).astype(np.float32) for n, p in attention.start_weights(shape, 1).items()}
+    return attention.Model(shape, *attention.corpus_tables(shape, follows, ends), w), rng.integers(0, 70, 130), np.array([1, 60, 0 + 24, 45])
 
 
 def test_each_id_is_scored_once_as_a_softmax_over_all_ids():
-    w, ids, lengths = small_model()
-    got = attention.score(w, ids, lengths)
+    model, ids, lengths = small_model()
+    got, begins = model.score(ids, lengths)
     start, back = 70, attention.WINDOW - attention.STRIDE
     first = np.cumsum(lengths) - lengths
     for t, n in enumerate(lengths):
@@ -275,20 +287,37 @@ def test_each_id_is_scored_once_as_a_softmax_over_all_ids():
             j = i // attention.STRIDE * attention.STRIDE
             place = j - back + np.arange(attention.WINDOW)
             before = np.array([[own[p - 1] if 0 < p < n else start for p in place]])
-            z, _ = attention._body(w, before)
+            z, _ = attention._body(model.weights, before)
             row = np.repeat(z[0, i - j + back][None], 70, 0)
-            every = attention.log_probabilities(w, row, np.arange(70))
+            every, begin = model.log_probabilities(row, np.full(70, before[0, i - j + back]), np.arange(70))
             assert got[first[t] + i] == pytest.approx(every[own[i]], abs=1e-4)
-            assert np.exp(every.astype(float)).sum() == pytest.approx(1, abs=1e-4)
+            assert begins[first[t] + i] == pytest.approx(begin[0], abs=1e-4)
+            p = np.exp(every.astype(float))
+            assert p[:20].sum() == pytest.approx(1, abs=1e-4)
+            assert p[:20].sum() * np.exp(begin[0]) + p[20:].sum() == pytest.approx(1, abs=1e-4)
+
+
+@pytest.mark.parametrize("context", [[], [[3, 40], [5]], [[1, 30, 31, 32]] * 9])
+def test_masses_of_words_add_up_to_one_at_most(context):
+    """All words of one, two or three ids after a context, and the end of the text."""
+    model, _, _ = small_model()
+    rest = range(20, 70)
+    words = [[s] for s in range(19)] + [[s, o] for s in range(19) for o in rest] + [[2, o, p] for o in rest for p in rest]
+    texts = [[*context, w, [19]] for w in words]
+    per_token = np.array([len(x) for t in texts for x in t])
+    p = lm_score.token_probabilities(model, np.array([i for t in texts for x in t for i in x]), per_token, np.array([len(t) for t in texts]))
+    at = np.cumsum([len(t) for t in texts]) - 2
+    end = lm_score.token_probabilities(model, np.array([i for x in [*context, [19]] for i in x]), np.array([len(x) for x in [*context, [19]]]), np.array([len(context) + 1]))[-1]
+    assert 0.1 < p[at].sum() + end < 1 + 1e-5
 
 
 def test_gradients_agree_with_differences():
-    w, ids, _ = small_model()
-    w = {n: p.astype(np.float64) for n, p in w.items()}
-    before, targets = ids[:96].reshape(4, 24), ids[1:97].reshape(4, 24)
+    model, ids, _ = small_model()
+    w, base = {n: p.astype(np.float64) for n, p in model.weights.items()}, model.base.astype(np.float64)
+    before, targets = ids[:96].reshape(4, 24), model.cluster[ids[1:97]].reshape(4, 24)
     used = np.ones((4, 24), bool)
     used[0, 5] = False
-    _, g = attention._gradients(w, before, targets, used)
+    _, g = attention.gradients(w, base, before, targets, used)
     rng = np.random.default_rng(1)
     for n in w:
         at = tuple(rng.integers(0, s) for s in w[n].shape)
@@ -298,13 +327,31 @@ def test_gradients_agree_with_differences():
         values = []
         for step in (1e-4, -1e-4):
             w[n][at] = old + step
-            values.append(attention._gradients(w, before, targets, used)[0])
+            values.append(attention.gradients(w, base, before, targets, used)[0])
         w[n][at] = old
         assert (values[0] - values[1]) / 2e-4 == pytest.approx(g[n][at], abs=2e-4), n
 
 
+def test_training_windows_are_parts_of_the_texts(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(n)) for i, n in enumerate([0, 1, 7, 8, 9, 40, 100])] + [None]
+    docs = documents(spark, texts).select("doc_id", "text")
+    got = [np.frombuffer(r["w"], np.int16).tolist() for r in lm_score.windows_of(docs, BYTE, 1).collect()]
+    ids = lm_score.Ids(BYTE)
+    expected = []
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            words = [*(t or "").encode().split(), lm_score.END]
+            for at in range(0, len(words), lm_score.WINDOW_WORDS):
+                own = [] if at else [ids.shape.ids]
+                own += ids._of_words(words[at : at + lm_score.WINDOW_WORDS])[0].tolist()
+                own = (own + [-1] * attention.WINDOW)[: attention.WINDOW + 1]
+                if own[1] >= 0:
+                    expected.append(own)
+    assert sorted(got) == sorted(expected)
+
+
 def test_scores_agree_with_counts_and_learn(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "HEAD", 30)
+    monkeypatch.setattr(lm_score, "EVERY", 2)
     rng = np.random.default_rng(0)
     syllables = ["ba", "re", "ti", "on", "ka", "lu"]
     texts = [" ".join("".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(60)) for _ in range(120)] + ["", None, "É A a"]
@@ -320,6 +367,16 @@ def test_scores_agree_with_counts_and_learn(spark, monkeypatch):
         assert r["base_score"] == pytest.approx(sum(np.log10((c[w] + 1) / (total + distinct + 1)) for w in ws))
         assert r["score"] < 0
     out = [i for i in range(120) if held[i]]
-    # A vocabulary this small suits counts best, of which the mixture has 30 words here.
+    # A vocabulary this small suits counts best.
     assert sum(got[i]["score"] for i in out) > 1.05 * sum(got[i]["base_score"] for i in out)
     assert lm_score.scored(docs.limit(0), BYTE).count() == 0
+    monkeypatch.setattr(lm_score, "HEAD", 30)
+    for r in lm_score.scored(docs, BYTE).collect():  # the counts that are joined change nothing
+        assert r["score"] == pytest.approx(got[r["doc_id"]]["score"], abs=1e-4) and r["n_known"] == got[r["doc_id"]]["n_known"]
+
+
+def test_scores_of_empty_tables_and_odd_columns(spark):
+    odd = spark.createDataFrame([(1, "a b", "x", 3), (2, None, "y", 4), (None, "a b", "z", 5), (1, "a b", "x", 3)], "doc_id long, text string, word string, row long")
+    got = lm_score.scored(odd, BYTE)
+    assert sorted(r["n_tokens"] for r in got.collect()) == [1, 3, 3, 3]
+    assert lm_score.scored(odd.limit(0), BYTE).count() == 0
