@@ -165,6 +165,34 @@ def test_shared_turns_are_emitted_once_and_attend_to_their_ancestors(spark):
     assert nodes < len(chats()) and shared == 16
 
 
+def test_trees_of_random_conversations_share_every_turn_of_a_shard(spark):
+    """Prefixes of others, equal ones, deep and wide forks: each node once, each path as it was, whatever the shards."""
+    import gzip
+    import json
+
+    r = random.Random(3)
+    talks = [[(r.choice(["user", "assistant"]), r.choice("xyz" if i % 3 else "x")) for _ in range(r.randrange(1, 9))] for i in range(250)]
+    talks += [t[: r.randrange(1, len(t) + 1)] for t in talks[:60]]
+    rows = [(c, i, *turn, 5) for c, t in enumerate(talks) for i, turn in enumerate(t)]
+    manifest = chat.write(spark.createDataFrame(rows, TURNS), BYTE)
+    seen = {}
+    for m in manifest.collect():
+        lines = [json.loads(x) for x in gzip.open(m["path"].removeprefix("file://"))]
+        tree = {x["node"]: x for x in lines if "end" not in x}
+        keys = Counter((x["parent"], tuple(x["ids"])) for x in tree.values())
+        assert max(keys.values()) == 1
+        for x in tree.values():
+            above, p = set(), x["parent"]
+            while p >= 0:
+                above |= set(range(tree[p]["start"], tree[p]["start"] + len(tree[p]["ids"])))
+                p = tree[p]["parent"]
+            assert above == {i for a, b in x["attend"] for i in range(a, b)} and len(above) == x["position"]
+        seen.update((x["end"], m["path"]) for x in lines if "end" in x)
+    assert len(seen) == len(talks)
+    got = {x["conv_id"]: x["turns_sha256"] for x in chat.read(manifest, BYTE).collect()}
+    assert got == {c: hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in t).encode()).hexdigest() for c, t in enumerate(talks)}
+
+
 def test_escapes_are_undone():
     for text in [CONTROL_TEXT, "\\", "\\\\###</turn>", "####", "</turn></turn>", "a\\\n"]:
         assert chat.unescape(chat.escape(text)) == text

@@ -2,36 +2,42 @@
 
 A turn is written as ``### role: text </turn>`` and a newline. Backslash, ``#`` and
 ``</turn>`` inside a text are escaped by a backslash, so formatting can be undone. A
-conversation's turns get the chained digest of all turns up to them. Conversations are
-ordered by the arrays of their digests, so that those with a common beginning stand next
-to each other, and are dealt in that order to shards. Each shard is a packed sequence of
-its own: its writer walks the conversations and emits each turn that is not shared with
-the one before, depth-first. A node carries its token ids, the position id of its first
-token in its conversation, the token range under the loss mask (an assistant's text), and
-the intervals of the shard's stream that it attends to: those of its ancestors. A shared
-turn is emitted once in a shard. Only the path of the current conversation is in memory.
+conversation's turns get the chained digest of all turns up to them, which names a node of
+the tree. Nodes with several children are forks. A conversation's place in the order of the
+tree is given by the digests that it has right after forks, and by its length, so
+conversations with a common beginning stand next to each other. They are dealt in that order
+to shards. Each shard is a packed sequence of its own: its writer walks the conversations and
+emits each turn that is not shared with the one before, depth-first. A node carries its token
+ids, the position id of its first token in its conversation, the token range under the loss
+mask (an assistant's text), and the intervals of the shard's stream that it attends to: those
+of its ancestors, merged where they touch. A shared turn is emitted once in a shard. Writer
+and reader hold the forks of the current path alone, never all of its turns.
 
 Defined cases: null roles and texts count as empty; turns of null conv_id are one
 conversation; turns of equal number are ordered by role and text, null numbers first;
 repeated rows are repeated turns. An empty table gives no shards. A conversation of any
-length is streamed; its order key alone, 16 bytes a turn, is gathered. Other columns are
-ignored.
+length is streamed in the task that digests it; of its turns, 16 bytes for each fork on its
+path are gathered. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 import re
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
 from .common import filesystem, partitions, save, scratch
+from .token_files import RunEncoder
 
 START, COLON, END = "### ", ": ", " </turn>\n"
 _CONTROL = re.compile(r"\\|#|</turn>")
@@ -55,116 +61,178 @@ def role_of(head: str) -> str:
 
 
 class Tokens:
-    """Ids of a byte-level vocabulary, and back to text without loss."""
+    """Ids of a byte-level vocabulary, without special ids, and back to text without loss."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.encoder = RunEncoder(path, special=False)
         byte_of = {letter: b for b, letter in byte_letters().items()}
-        added = self.library.get_added_tokens_decoder()
-        self.bytes = {i: bytes(byte_of[c] for c in t) for t, i in self.library.get_vocab().items() if i not in added}
-
-    def encode(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
+        library = self.encoder.library
+        added = library.get_added_tokens_decoder()
+        self.bytes = [b""] * library.get_vocab_size()
+        for t, i in library.get_vocab().items():
+            if i not in added:
+                self.bytes[i] = bytes(byte_of[c] for c in t)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        out = []
+        for ids, sizes in self.encoder.encode(pa.array(texts, pa.string())):
+            listed, at = ids.tolist(), 0
+            for n in sizes.tolist():
+                out.append(listed[at : at + n])
+                at += n
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8")
 
 
+_tokens: dict[str, Tokens] = {}
+
+
+def tokens_of(path: str) -> Tokens:
+    """The worker's tokens of a tokenizer file."""
+    if path not in _tokens:
+        _tokens[path] = Tokens(path)
+    return _tokens[path]
+
+
 def numbered(conversations: DataFrame) -> DataFrame:
-    """conv_id, at, role, text, digest: turns in order, with the digest of all turns up to each."""
+    """conv_id, at, role, text, parent, digest: turns in order, with the digests of all turns before and up to each."""
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
     rows = rows.repartition(partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state, at = object(), None, 0
+        current, state, at, digest = object(), None, 0, b""
         for frame in batches:
-            places, digests = [], []
+            places, parents, digests = [], [], []
             for c, role, text in zip(frame["conv_id"], frame["role"], frame["text"]):
                 c = None if pd.isna(c) else c
                 if state is None or c != current:
-                    current, state, at = c, hashlib.sha256(), 0
+                    current, state, at, digest = c, hashlib.sha256(), 0, b""
                 for part in (role.encode("utf-8", "surrogatepass"), text.encode("utf-8", "surrogatepass")):
                     state.update(len(part).to_bytes(8, "little") + part)
                 places.append(at)
-                digests.append(state.digest()[:16])
+                parents.append(digest)
+                digests.append(digest := state.digest()[:16])
                 at += 1
-            yield frame[["conv_id", "role", "text"]].assign(at=places, digest=digests)
+            yield frame[["conv_id", "role", "text"]].assign(at=places, parent=parents, digest=digests)
+
+    return rows.mapInPandas(chain, "conv_id long, role string, text string, at int, parent binary, digest binary")
 
-    return rows.mapInPandas(chain, "conv_id long, role string, text string, at int, digest binary")
 
+def ordered(turns: DataFrame) -> DataFrame:
+    """c, path, forks, turns: for each conversation the digests after forks, their places, and its length."""
+    nodes = turns.select("parent", "digest").distinct()
+    forks = nodes.groupBy("parent").agg(F.count("*").alias("children")).where("children > 1").select("parent")
+    placed = turns.select("conv_id", "at", "parent", "digest")
+    after = placed.where("at > 0").join(forks, "parent", "left_semi").union(placed.where("at = 0").select("parent", "conv_id", "at", "digest"))
+    paths = after.groupBy(F.col("conv_id").alias("c")).agg(F.array_sort(F.collect_list(F.struct("at", "digest"))).alias("p"))
+    lengths = turns.groupBy(F.col("conv_id").alias("d")).agg(F.count("*").alias("turns"))
+    joined = paths.join(lengths, paths["c"].eqNullSafe(lengths["d"]))
+    return joined.select("c", F.transform("p", lambda x: x["digest"]).alias("path"), F.transform("p", lambda x: x["at"]).alias("forks"), "turns")
 
-def _merged(intervals: list[list[int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in intervals:
-        if out and out[-1][1] == a:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return out
+
+def _grown(intervals: list[list[int]], start: int, stop: int) -> list[list[int]]:
+    """Intervals and one more, which continues the last where they touch."""
+    if intervals and intervals[-1][1] == start:
+        return [*intervals[:-1], [intervals[-1][0], stop]]
+    return [*intervals, [start, stop]]
 
 
 def write(conversations: DataFrame, tokenizer: str) -> DataFrame:
     """Writes the shards to the shared folder; the saved manifest (path, conversations)."""
     spark = conversations.sparkSession
     turns = save(numbered(conversations), "turns")
-    paths = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"]).alias("path"))
-    ordered = paths.repartitionByRange(partitions(spark), "path", "conv_id").sortWithinPartitions("path", "conv_id")
-    ranked = save(ordered.select(F.col("conv_id").alias("c"), F.monotonically_increasing_id().alias("rank")), "ranks")
-    placed = turns.join(ranked, turns["conv_id"].eqNullSafe(ranked["c"])).select("rank", "conv_id", "at", "role", "text", "digest")
+    by = ["path", "turns", "c"]
+    order = ordered(turns).repartitionByRange(partitions(spark), *by).sortWithinPartitions(*by)
+    ranked = save(order.select("c", "forks", F.monotonically_increasing_id().alias("rank")), "ranks")
+    placed = turns.join(ranked, turns["conv_id"].eqNullSafe(ranked["c"]))
+    placed = placed.select("rank", "conv_id", "at", "role", "text", "digest", F.array_contains("forks", F.col("at")).alias("fork"))
     dealt = placed.repartitionByRange(partitions(spark), "rank").sortWithinPartitions("rank", "at")
     base = scratch(spark, "chat")
 
-    def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(base)
         fs.create_dir(root, recursive=True)
-        tokens, heads = Tokens(tokenizer), {}
-        end_ids = tokens.encode(END)
-        out, name, done = None, f"{base}/{uuid.uuid4().hex}.jsonl.gz", 0
-        path: list[tuple[bytes, int, list[int], int]] = []  # digest, node, its interval, position after it
-        node = offset = depth = 0
-        rank, conv = None, None
+        tokens, heads = tokens_of(tokenizer), {}
+        (end_ids,) = tokens.encode([END])
+        raw = out = None
+        name, done = f"{base}/{uuid.uuid4().hex}.jsonl.gz", 0
+        # what a node leaves to its children: turns up to it, its number, the intervals up to it, the position after it
+        tip: tuple[int, int, list[list[int]], int] = (0, -1, [], 0)
+        forks: list[list] = [[tip, None]]  # forks of the path, each with the digest of its child there
+        node = offset = passed = 0
+        shared, rank, conv = True, None, None
 
         def end() -> None:
             nonlocal done
-            del path[depth:]
-            out.write((json.dumps({"end": conv, "node": path[-1][1]}) + "\n").encode())
+            out.write((json.dumps({"end": conv, "node": tip[1]}) + "\n").encode())
             done += 1
 
-        for frame in batches:
-            if out is None and len(frame):
-                out = fs.open_output_stream(filesystem(name)[1], compression="gzip")
-            for r, c, role, text, digest in zip(frame["rank"], frame["conv_id"], frame["role"], frame["text"], frame["digest"]):
-                if r != rank:
-                    if rank is not None:
-                        end()
-                    rank, conv, depth = r, None if pd.isna(c) else int(c), 0
-                if depth < len(path) and path[depth][0] == bytes(digest):
-                    depth += 1
-                    continue
-                del path[depth:]
-                if role not in heads:
-                    heads = {**(heads if len(heads) < 1000 else {}), role: tokens.encode(header(role))}
-                head, body = heads[role], tokens.encode(escape(text))
-                ids = head + body + end_ids
-                position = path[-1][3] if path else 0
-                line = {
-                    "node": node, "parent": path[-1][1] if path else -1, "start": offset, "position": position, "head": len(head), "ids": ids,
-                    "loss": [len(head), len(head) + len(body)] if role == "assistant" else [0, 0], "attend": _merged([p[2] for p in path]),
-                }
-                out.write((json.dumps(line, separators=(",", ":")) + "\n").encode())
-                path.append((bytes(digest), node, [offset, offset + len(ids)], position + len(ids)))
-                node, offset, depth = node + 1, offset + len(ids), depth + 1
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                rows = batch.slice(a, 512).to_pydict()
+                if out is None:
+                    raw = fs.open_output_stream(filesystem(name)[1], compression=None)
+                    out = gzip.GzipFile(fileobj=raw, mode="wb", compresslevel=1)
+                new = [r for r in dict.fromkeys(rows["role"]) if r not in heads]
+                heads = {**(heads if len(heads) < 1000 else {}), **dict(zip(new, tokens.encode([header(r) for r in new])))}
+                heads.update((r, tokens.encode([header(r)])[0]) for r in set(rows["role"]) if r not in heads)
+                bodies = tokens.encode([escape(t) for t in rows["text"]])
+                for r, c, at, role, digest, fork, body in zip(rows["rank"], rows["conv_id"], rows["at"], rows["role"], rows["digest"], rows["fork"], bodies):
+                    if r != rank:
+                        if rank is not None:
+                            end()
+                        rank, conv, shared, passed, parent = r, c, True, 0, None
+                    if shared:
+                        if at == tip[0]:
+                            shared, parent = False, tip
+                        elif not fork:
+                            continue
+                        else:
+                            passed += 1
+                            if forks[passed - 1][1] == digest:
+                                continue
+                            del forks[passed:]
+                            shared, parent = False, forks[-1][0]
+                    if fork and forks[-1][0][0] == at:
+                        forks[-1][1] = digest
+                    elif fork:
+                        forks.append([parent, digest])
+                    head = heads[role]
+                    ids = head + body + end_ids
+                    line = {
+                        "node": node, "parent": parent[1], "fork": fork, "start": offset, "position": parent[3], "head": len(head), "ids": ids,
+                        "loss": [len(head), len(head) + len(body)] if role == "assistant" else [0, 0], "attend": parent[2],
+                    }
+                    out.write((json.dumps(line, separators=(",", ":")) + "\n").encode())
+                    parent = tip = (at + 1, node, _grown(parent[2], offset, offset + len(ids)), parent[3] + len(ids))
+                    node, offset = node + 1, offset + len(ids)
         if rank is not None:
             end()
             out.close()
-            yield pd.DataFrame({"path": [name], "conversations": [done]})
+            raw.close()
+            yield pa.RecordBatch.from_pydict({"path": [name], "conversations": [done]})
+
+    return save(dealt.mapInArrow(shard, "path string, conversations long"), "chat-manifest")
+
+
+@dataclass
+class _Read:
+    """What the reader knows at a node of the turns up to it."""
+
+    node: int
+    turns: int
+    text: object
+    loss: int
+    masked: object
+    chars: int
+    tokens: int
 
-    return save(dealt.mapInPandas(shard, "path string, conversations long"), "chat-manifest")
+    def copy(self) -> _Read:
+        return _Read(self.node, self.turns, self.text.copy(), self.loss, self.masked.copy(), self.chars, self.tokens)
 
 
 def read(manifest: DataFrame, tokenizer: str) -> DataFrame:
@@ -172,30 +240,40 @@ def read(manifest: DataFrame, tokenizer: str) -> DataFrame:
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long"
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = Tokens(tokenizer)
+        tokens = tokens_of(tokenizer)
         for listed in batches:
             for name, expected in zip(listed["path"], listed["conversations"]):
                 fs, path = filesystem(name)
-                stack: list[tuple] = [(-1, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0)]
-                rows, count = [], 0
+                tip = _Read(-1, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0)
+                forks = [tip.copy()]
+                rows, count, heads = [], 0, {}
                 with fs.open_input_stream(path, compression="gzip") as stream:
                     for line in _lines(stream):
                         x = json.loads(line)
-                        while stack[-1][0] != (x["node"] if "end" in x else x["parent"]):
-                            stack.pop()
-                        _, turns, all_text, loss, loss_text, chars, length = stack[-1]
                         if "end" in x:
-                            rows.append((x["end"], turns, all_text.hexdigest(), loss, loss_text.hexdigest(), chars, length))
+                            if x["node"] != tip.node:
+                                raise ValueError(f"{name} ends a conversation apart from its last turn")
+                            rows.append((x["end"], tip.turns, tip.text.hexdigest(), tip.loss, tip.masked.hexdigest(), tip.chars, tip.tokens))
                             count += 1
                             continue
-                        formatted = [tokens.decode(ids) for ids in (x["ids"][: x["head"]], x["ids"][x["head"] :])]
-                        role, text = role_of(formatted[0]), unescape(formatted[1][: -len(END)])
-                        all_text, loss_text = all_text.copy(), loss_text.copy()
-                        all_text.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                        a, b = x["loss"]
-                        masked = unescape(tokens.decode(x["ids"][a:b]))
-                        loss_text.update(masked.encode("utf-8", "surrogatepass"))
-                        stack.append((x["node"], turns + 1, all_text, loss + len(masked), loss_text, chars + sum(map(len, formatted)), length + len(x["ids"])))
+                        if x["parent"] != tip.node:
+                            while forks[-1].node != x["parent"]:
+                                forks.pop()
+                            tip = forks[-1].copy()
+                        elif x["fork"] and forks[-1].node != tip.node:
+                            forks.append(tip.copy())
+                        ids, (a, b) = x["ids"], x["loss"]
+                        key = tuple(ids[: x["head"]])
+                        if key not in heads:
+                            heads = {**(heads if len(heads) < 1000 else {}), key: tokens.decode(key)}
+                        masked = tokens.decode(ids[a:b])
+                        body = masked + tokens.decode(ids[b:]) if b else tokens.decode(ids[x["head"] :])
+                        role, text = role_of(heads[key]), unescape(body[: -len(END)])
+                        tip.text.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                        masked = unescape(masked)
+                        tip.masked.update(masked.encode("utf-8", "surrogatepass"))
+                        tip.node, tip.turns, tip.loss = x["node"], tip.turns + 1, tip.loss + len(masked)
+                        tip.chars, tip.tokens = tip.chars + len(heads[key]) + len(body), tip.tokens + len(ids)
                 if count != expected:
                     raise ValueError(f"{name} has {count} conversations, not {expected}")
                 frame = pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
