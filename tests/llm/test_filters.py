@@ -65,6 +65,34 @@ def test_exact_dedup_filter_keeps_clean_rows_without_id(spark):
     assert got.where("text is null").count() == 1
 
 
+def test_exact_dedup_filter_keeps_one_of_repeated_rows(spark):
+    docs = documents(spark, ["x", "X", "x", "y", "y", "z", "q", "q"], [4, 4, 2, None, None, None, 1, 1])
+    got = exact_dedup.drop_duplicates(docs)
+    assert sorted((r["doc_id"] or -1, r["text"].lower()) for r in got.collect()) == [(-1, "y"), (-1, "z"), (1, "q"), (4, "x")]
+
+
+def test_exact_dedup_comes_through_directory_and_chain(spark, monkeypatch):
+    """Rows that the directory sends to another bucket, or entries with other bytes, are not found."""
+    docs = documents(spark, [f"t{i % 40}" for i in range(80)])
+    rows = exact_dedup.lookups(docs)
+    slots = exact_dedup.directory(rows, capacity=2, max_depth=6)
+    index = exact_dedup.build_index(docs, slots, 6)
+    assert index.select("bucket").distinct().count() > 8 and index.where("chain <> 0").count() == 0
+    assert exact_dedup.found(rows, index, slots, 6).count() == 80
+    wrong = slots.withColumn("bucket", F.col("bucket") + 1)
+    assert exact_dedup.found(rows, index, wrong, 6).count() < 80
+    assert exact_dedup.found(rows, index.withColumn("sha256", F.reverse("sha256")), slots, 6).count() == 0
+    # texts that meet under one key are chained
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.lit(5).cast("long"))
+    rows = exact_dedup.lookups(docs)
+    slots = exact_dedup.directory(rows, capacity=2, max_depth=6)
+    index = exact_dedup.build_index(docs, slots, 6)
+    assert sorted(r["chain"] for r in index.collect()) == list(range(40))
+    assert exact_dedup.found(rows, index, slots, 6).where("group_size = 2").count() == 80
+    monkeypatch.setattr(exact_dedup, "MANY_ROWS", 2)
+    assert exact_dedup.found(rows, index, slots, 6).where("group_size = 2").count() == 80
+
+
 def test_directory_splits_only_overfull_buckets(spark):
     keys = [i << 60 for i in range(4)] + [(1 << 62) + i for i in range(3)]
     entries = spark.createDataFrame([(k,) for k in keys], "key long")
