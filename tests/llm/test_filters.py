@@ -225,6 +225,25 @@ def test_decontamination_agrees_with_brute_force(spark):
     assert kept == set(range(len(texts))) - {d for d, _ in want}
 
 
+def test_decontamination_finds_swapped_short_repeated_and_long_texts(spark):
+    """Blocks in another order, texts shorter than an item, words that repeat without end, and very long texts."""
+    sixty, nine = prose(31, 60).split(), prose(32, 9).split()
+    items = [(1, " ".join(sixty)), (2, " ".join(nine)), (3, "ha " * 60), (4, "ho hum " * 20), (5, " ".join(sixty[:40] + prose(33, 20).split())), (1, prose(34, 12))]
+    texts = [
+        prose(35, 30) + " " + " ".join(sixty[30:] + sixty[:30]) + " " + prose(36, 9), " ".join(nine[:8]), " ".join(nine[:7]), "ha " * 1000, "hum " + "ho hum " * 30 + "ha " * 20,
+        prose(37, 10_000) + " " + " ".join(sixty[:20] + ["new"] + sixty[20:]) + " " + prose(38, 10_000), " ".join(sixty[20:40] + sixty[:20] + sixty[40:]), " ".join(sixty[:50]),
+    ]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {}
+    for r in decontaminate.contaminations(documents(spark, texts), benchmark).collect():
+        got[r["doc_id"], r["item_id"]] = max(got.get((r["doc_id"], r["item_id"]), (0, 0)), (r["similarity"], -r["start"]))
+    want = {}
+    for name, text in items:
+        for (d, i), (score, start) in brute_contaminations(texts, [(name, text)]).items():
+            want[d, i] = max(want.get((d, i), (0, 0)), (score, -start))
+    assert got == want and {(0, 1), (1, 2), (3, 3), (5, 1)} <= set(want) and (2, 2) not in want
+
+
 def test_decontamination_without_items_or_documents(spark):
     items = spark.createDataFrame([(1, None)], "item_id long, text string")
     assert decontaminate.contaminations(documents(spark, ODD), items).count() == 0

@@ -2,16 +2,18 @@
 
 A window of a document is as long as an item. It matches where the weighted Jaccard
 similarity of the five-word shingles of both, with their counts as weights, is at
-least 0.8. Such a window shares a weight of 2t/(1+t) of the item's shingles or more,
-so it holds at least one of a few anchor shingles of the item, whose weight exceeds the
-rest. Windows are laid around each anchor that a document has, shifted by as many words
-as insertions and deletions can move them at that similarity. Each window gets a
-SimHash of its shingles. Windows meet an item in a multi-index of fingerprint blocks:
-with one more block than the radius, fingerprints within the radius agree in one block.
-What is within the radius is verified on the shingles themselves.
-
-All work is DataFrame operations. The anchors are broadcast only where their number is
-checked to be small; else they are joined by their hash.
+least 0.8. Such a window holds all but a fifth of the item's shingles by weight, so it holds
+at least one of a few anchor shingles of the item, those that fewest items have, whose weight
+exceeds that. Where a document has an anchor of an item, all places of the item's shingles in
+it are found, and windows are laid at every place where enough of them stand, in whatever
+order they do. Each window gets a SimHash of its shingles. Windows meet an item in a
+multi-index of fingerprint blocks: with one more block than the radius, fingerprints within
+the radius agree in one block. What is within the radius is verified on the shingles
+themselves.
+
+All work is DataFrame operations. Anchors, the shingles of items and the keys of documents
+with anchors are broadcast only where their number is checked to be small; else they are
+joined by hash. The words of a text are held once for each item that it may match.
 
 Defined cases: null texts count as empty; empty texts and items match nothing. An item
 of fewer than five words is one shingle. A text shorter than an item is one window.
@@ -35,20 +37,15 @@ SIMILARITY = 0.8
 #: Differing bits up to which a window is verified. At a similarity of 0.8 the expected
 #: distance is 9.7 bits with a standard deviation of 2.9, so this is five of them more.
 RADIUS = 24
-#: Anchors up to which they are broadcast: 12 bytes each and the table's overhead.
-BROADCAST_ANCHORS = 200_000
+#: Anchors, shingles of items, and keys of documents up to which each of these is broadcast: some 50 bytes each.
+BROADCAST_ROWS = 200_000
 KEY = ["doc_id", "row_hash", "item_id", "start"]
 
 
 def words(text: Column) -> Column:
-    """The words of the text, A-Z in lower case; an array of one empty word where there is none."""
-    plain = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), f"^{SPACE_CLASS}+", "")
-    return F.split(plain, f"{SPACE_CLASS}+")
-
-
-def _tidy(array: Column) -> Column:
-    """Without the empty words that white space at the end leaves."""
-    return F.filter(array, lambda w: w != "")
+    """The words of the text, A-Z in lower case."""
+    plain = F.btrim(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, f"{SPACE_CLASS}+"))
 
 
 def _shingles(array: Column, width: Column) -> Column:
@@ -60,11 +57,11 @@ def _shingles(array: Column, width: Column) -> Column:
 
 
 def _items(benchmark: DataFrame, width: int, similarity: float) -> DataFrame:
-    """item_id, words, n, k (shingle width), shingles, total (their number), slack (shingles that may miss)."""
-    tidy = benchmark.select(F.col("item_id"), _tidy(words(F.col("text"))).alias("words")).where(F.size("words") > 0).distinct()
+    """item_id, words, n, k (shingle width), shingles, total (their number), slack (the weight that may miss)."""
+    tidy = benchmark.select(F.col("item_id"), words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
     sized = tidy.withColumn("n", F.size("words")).withColumn("k", F.least(F.lit(width), F.col("n")))
     full = sized.withColumn("shingles", _shingles(F.col("words"), F.col("k"))).withColumn("total", F.size("shingles"))
-    return full.withColumn("slack", F.floor(F.col("total") * (1 - similarity) / (1 + similarity) + 1e-9).cast("int"))
+    return full.withColumn("slack", F.floor(F.col("total") * (1 - similarity) + 1e-9).cast("int"))
 
 
 def _fingerprints(rows: DataFrame, keys: list[str], hashes: str) -> DataFrame:
@@ -85,39 +82,67 @@ def _blocks(fp: str, radius: int) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("i"), p.alias("v")) for i, p in enumerate(parts)))
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """The rows, to be broadcast where they are few."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+def _probes(texts: DataFrame, wanted: DataFrame, widths: list[int]) -> DataFrame:
+    """doc_id, row_hash, size, pos and the columns of wanted (h, k, ...): where runs of k words of texts (doc_id, row_hash, w) hash to h."""
+    placed = texts.select("doc_id", "row_hash", "w", F.posexplode("w").alias("pos", "first"))
+    found = []
+    for k in widths:
+        run = F.concat_ws(" ", "first", *(F.get("w", F.col("pos") + j) for j in range(1, k)))
+        probes = placed.where(F.col("pos") + k <= F.size("w")).select("doc_id", "row_hash", F.size("w").alias("size"), "pos", F.xxhash64(run).alias("h"))
+        found.append(probes.join(_small(wanted.where(F.col("k") == k)), "h"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def contaminations(
     docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
     """doc_id, item_id, start, n_words, similarity: the best window of each document and item that match."""
     items = save(_items(benchmark, width, similarity), "items")
-    listed = items.select("item_id", "n", "k", "slack", "total", F.posexplode("shingles").alias("at", "shingle"))
-    weights = listed.groupBy("item_id", "n", "total", "shingle").agg(F.count("*").alias("weight"))
-    before = F.sum("weight").over(Window.partitionBy("item_id", "n", "total").orderBy(F.xxhash64("shingle"), "shingle").rowsBetween(Window.unboundedPreceding, -1))
-    chosen = weights.withColumn("before", F.coalesce(before, F.lit(0))).join(items.select("item_id", "n", "total", "slack").distinct(), ["item_id", "n", "total"])
-    chosen = chosen.where(F.col("before") <= F.col("slack")).select("item_id", "shingle").distinct()
-    anchors = listed.join(chosen, ["item_id", "shingle"]).select(F.xxhash64("shingle").alias("h"), "k", "item_id", "n", "slack", "at")
-    anchors = save(anchors, "anchors")
-    few = anchors.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS
+    listed = items.select("item_id", "n", "k", "total", F.explode("shingles").alias("shingle"))
+    weights = save(listed.groupBy("item_id", "n", "k", "total", "shingle").agg(F.count("*").alias("weight")), "item-shingles")
+    shingles = weights.select(F.xxhash64("shingle").alias("h"), "item_id", "n", "k", "total")
+    rarity = weights.groupBy("shingle").agg(F.count("*").alias("items"))
+    rarest = Window.partitionBy("item_id", "n", "total").orderBy("items", F.xxhash64("shingle"), "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = weights.join(rarity, "shingle").withColumn("before", F.coalesce(F.sum("weight").over(rarest), F.lit(0)))
+    chosen = chosen.where(F.col("before") <= F.floor(F.col("total") * (1 - similarity) + 1e-9))
+    anchors = save(chosen.select(F.xxhash64("shingle").alias("h"), "item_id", "n", "k"), "anchors")
     widths = sorted(r[0] for r in anchors.select("k").distinct().collect())
-
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row_hash"), words(F.col(text)).alias("w"))
-    placed = source.select("doc_id", "row_hash", "w", F.posexplode("w").alias("pos", "first"))
-    found = []
-    for k in widths:
-        run = F.concat_ws(" ", "first", *(F.get("w", F.col("pos") + j) for j in range(1, k)))
-        probes = placed.where(F.col("pos") + k <= F.size("w")).withColumn("h", F.xxhash64(run))
-        own = anchors.where(F.col("k") == k)
-        found.append(probes.join(F.broadcast(own) if few else own, "h"))
-    if not found:
+    if not widths:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, n_words int, similarity double")
-    hits = reduce(DataFrame.union, (x.select("doc_id", "row_hash", "w", "pos", "item_id", "n", "k", "slack", "at") for x in found))
-    shifted = hits.withColumn("shift", F.explode(F.sequence(-F.col("slack"), F.col("slack"))))
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at") + F.col("shift"), F.size("w") - F.col("n")))
-    windows = (
-        shifted.withColumn("start", start)
-        .select(*KEY, "n", "k", _tidy(F.slice("w", F.col("start") + 1, F.col("n"))).alias("window"))
-        .dropDuplicates([*KEY, "n"])
-    )
+
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row_hash"), F.col(text).alias("text"))
+    found = _probes(source.select("doc_id", "row_hash", words(F.col("text")).alias("w")), anchors, widths)
+    pairs = save(found.select("doc_id", "row_hash", "item_id", "n").distinct(), "pairs")
+    suspects = pairs.select(F.col("doc_id").alias("d"), F.col("row_hash").alias("r")).distinct()
+    own = source["doc_id"].eqNullSafe(F.col("d")) & (source["row_hash"] == F.col("r"))
+    texts = source.join(_small(suspects), own, "left_semi").dropDuplicates(["doc_id", "row_hash"])
+    texts = save(texts.select("doc_id", "row_hash", words(F.col("text")).alias("w")), "suspects")
+
+    hits = _probes(texts, shingles, widths)
+    pair = [hits[c].eqNullSafe(pairs[c]) for c in ("doc_id", "row_hash", "item_id", "n")]
+    hits = hits.join(pairs, pair, "left_semi").groupBy("doc_id", "row_hash", "item_id", "n", "k", "total", "size").agg(F.array_sort(F.collect_set("pos")).alias("p"))
+    whole = F.col("size") >= F.col("n")
+    held = F.when(whole, F.col("total")).otherwise(F.col("size") - F.col("k") + 1)
+    least = F.ceil(similarity * (held + F.col("total")) / (1 + similarity) - 1e-9).cast("int")
+    hits = hits.withColumn("least", least).where(F.size("p") >= F.col("least"))
+
+    def begins(i: Column) -> Column:
+        """The windows whose first place of a shingle is number i, and which hold enough of them."""
+        place = lambda j: F.get("p", j)
+        low = F.greatest(F.coalesce(place(i - 1), F.lit(-1)) + 1, place(i + F.col("least") - 1) - F.col("total").cast("int") + 1)
+        high = F.least(place(i), F.col("size") - F.col("n"))
+        return F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+
+    starts = F.when(whole, F.flatten(F.transform(F.sequence(F.lit(0), F.size("p") - F.col("least")), begins))).otherwise(F.array(F.lit(0)))
+    laid = hits.select("doc_id", "row_hash", "item_id", "n", "k", starts.alias("starts")).where(F.size("starts") > 0)
+    where = texts.select(F.col("doc_id").alias("d"), F.col("row_hash").alias("r"), "w")
+    placed = laid.join(where, laid["doc_id"].eqNullSafe(where["d"]) & (laid["row_hash"] == where["r"]))
+    windows = placed.withColumn("start", F.explode("starts")).select(*KEY, "n", "k", F.slice("w", F.col("start") + 1, F.col("n")).alias("window"))
     windows = save(windows.select(*KEY, "n", _shingles(F.col("window"), F.col("k")).alias("shingles")), "windows")
     hashed = F.transform("shingles", lambda s: F.xxhash64(s))
     own = _fingerprints(windows.withColumn("hs", hashed), [*KEY, "n"], "hs")
@@ -130,7 +155,7 @@ def contaminations(
     same = [windows[c].eqNullSafe(candidates[c]) for c in (*KEY, "n")]
     counted = windows.join(candidates, same, "left_semi").select(*KEY, "n", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
     counted = counted.groupBy(*KEY, "n", "size", "shingle").agg(F.count("*").alias("c"))
-    shared = counted.join(weights, ["item_id", "n", "shingle"]).groupBy(*KEY, "n", "size", "total").agg(F.sum(F.least("c", "weight")).alias("common"))
+    shared = counted.join(weights.drop("k"), ["item_id", "n", "shingle"]).groupBy(*KEY, "n", "size", "total").agg(F.sum(F.least("c", "weight")).alias("common"))
     scored = shared.withColumn("similarity", F.col("common") / (F.col("size") + F.col("total") - F.col("common")))
     best = scored.where(F.col("similarity") >= similarity - 1e-9).groupBy("doc_id", "item_id").agg(
         F.max(F.struct("similarity", (-F.col("start")).alias("back"), F.col("n").alias("n_words"))).alias("m")
