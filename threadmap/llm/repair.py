@@ -1,9 +1,10 @@
 """Re-Pair grammar compression of id sequences.
 
-Frequent pairs of adjacent symbols are replaced by nonterminals, round after round. A
-round counts pairs, gives a nonterminal to each of the most frequent ones, and replaces
-their occurrences from the left where they overlap. Rules keep the length of what they
-expand to, so any range of ids can be decoded without expanding what is before it.
+Frequent pairs of adjacent symbols are replaced by nonterminals, round after round, until
+no pair is frequent. A round counts pairs, gives a nonterminal to each frequent one, and
+replaces their occurrences from the left where they overlap; a pair that others leave too
+few places gets none in that round. Rules keep the length of what they expand to, so any
+range of ids can be decoded without expanding what is before it.
 """
 
 from __future__ import annotations
@@ -11,13 +12,15 @@ from __future__ import annotations
 import json
 import struct
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
 MAGIC = b"RPG1"
-#: Rounds, rules that a round adds at most, and occurrences that a pair needs.
-ROUNDS, ROUND_RULES, LEAST_COUNT = 8, 1_800, 48
-_BUCKETS = 22
+#: Disjoint occurrences that a pair needs to become a rule.
+LEAST_COUNT = 48
+_BUCKETS = 21
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -29,83 +32,108 @@ class Grammar:
     right: np.ndarray
     symbols: np.ndarray
 
-    @property
+    @cached_property
     def lengths(self) -> np.ndarray:
         """The number of ids that each rule expands to."""
-        out = np.ones(len(self.left), np.int64)
-        for i in range(len(out)):
-            a, b = int(self.left[i]) - self.base, int(self.right[i]) - self.base
+        out = [1] * len(self.left)
+        for i, (a, b) in enumerate(zip((self.left - self.base).tolist(), (self.right - self.base).tolist())):
             out[i] = (out[a] if a >= 0 else 1) + (out[b] if b >= 0 else 1)
-        return out
-
-
-def _frequent(seq: np.ndarray, usable: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the most frequent pairs and their pair's number, most frequent first."""
-    key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64)
-    bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKETS)).astype(np.int32)
-    bucket[~usable] = 0
-    counts = np.bincount(bucket, minlength=1 << _BUCKETS)
-    counts[0] = 0
-    heavy = np.flatnonzero(counts >= least)
-    if not len(heavy):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    heavy = heavy[np.argsort(-counts[heavy], kind="stable")[:most]]
-    chosen = np.zeros(1 << _BUCKETS, bool)
-    chosen[heavy] = True
-    at = np.flatnonzero(chosen[bucket] & usable)
-    pairs, which, n = np.unique(key[at], return_inverse=True, return_counts=True)
-    keep = n >= least
-    number = np.full(len(pairs), -1, np.int64)
-    order = np.flatnonzero(keep)[np.argsort(-n[keep], kind="stable")[:most]]
-    number[order] = np.arange(len(order))
-    which = number[which]
-    return np.stack([at[which >= 0], which[which >= 0]]), pairs[order]
-
-
-def compress(ids: np.ndarray, base: int, stop: int | None = None, rounds: int = ROUNDS, per_round: int = ROUND_RULES, least: int = LEAST_COUNT) -> Grammar:
-    """The grammar of ids, which are less than base. No rule begins with the id stop, so none crosses it."""
-    seq, lefts, rights, rules = ids.astype(np.int64), [], [], 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+        return np.array(out, np.int64)
+
+
+def _frequent(key: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each key the number of its value among those that occur so often, or -1; and these values."""
+    bits = min(_BUCKETS, max(8, len(key).bit_length()))
+    bucket = ((key * _MIX) >> np.uint64(64 - bits)).astype(np.int32)
+    heavy = (np.bincount(bucket, minlength=1 << bits) >= least)[bucket]
+    at = np.flatnonzero(heavy)
+    own = key[at]
+    ordered = np.sort(own)
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
+    pairs = ordered[first[np.diff(np.r_[first, len(ordered)]) >= least]]
+    number = np.full(len(key), -1, np.int32)
+    if len(pairs):
+        slot = np.full(1 << bits, -1, np.int32)  # of pairs in one bucket the last has it; the others are searched
+        place = ((pairs * _MIX) >> np.uint64(64 - bits)).astype(np.int32)
+        slot[place] = np.arange(len(pairs))
+        shared = np.flatnonzero(slot[place] != np.arange(len(pairs)))
+        found = slot[bucket[at]]
+        found[pairs[found] != own] = -1
+        if len(shared):
+            left = np.flatnonzero((found < 0) & np.isin(bucket[at], place[shared]))
+            other = np.minimum(np.searchsorted(pairs, own[left]), len(pairs) - 1)
+            found[left] = np.where(pairs[other] == own[left], other, -1)
+        number[at] = found
+    return number, pairs
+
+
+def _disjoint(at: np.ndarray) -> np.ndarray:
+    """Which of the places are taken where neighbours can't both be: every second one of a run, from the left."""
+    fresh = np.r_[True, np.diff(at) != 1]
+    start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+    return (np.arange(len(at)) - start) % 2 == 0
+
+
+def compress(ids: np.ndarray, base: int, stop: int | None = None, least: int = LEAST_COUNT) -> Grammar:
+    """The grammar of ids, which are less than base. No rule begins with the id stop, so none crosses it.
+
+    A round replaces all pairs that occur ``least`` times, so what can be frequent in the next
+    one holds a nonterminal of this one, and only those places are counted. Where none is left,
+    all places are counted again, and that ends it only where no pair is frequent.
+    """
+    seq, lefts, rights, rules = ids.astype(np.int32), [], [], 0
+    fresh = 0  # symbols from here on are new to the count
+    while len(seq) > 1:
         usable = seq[:-1] != stop if stop is not None else np.ones(len(seq) - 1, bool)
-        found, pairs = _frequent(seq, usable, per_round, least)
-        if not len(pairs):
-            break
-        at, which = found
-        fresh = np.r_[True, np.diff(at) != 1]
-        start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - start) % 2 == 0
-        at, which = at[take], which[take]
-        used = np.flatnonzero(np.bincount(which, minlength=len(pairs)) > 0)
-        number = np.zeros(len(pairs), np.int64)
-        number[used] = np.arange(len(used))
-        lefts.append((pairs[used] >> np.uint64(32)).astype(np.int64))
-        rights.append((pairs[used] & np.uint64(0xFFFFFFFF)).astype(np.int64))
-        seq[at] = base + rules + number[which]
+        if fresh:
+            new = seq >= fresh
+            usable &= new[:-1] | new[1:]
+        place = np.flatnonzero(usable)
+        wide = seq.view(np.uint32).astype(np.uint64)
+        number, pairs = _frequent((wide[:-1] << np.uint64(32) | wide[1:])[place], least)
+        some = np.flatnonzero(number >= 0)
+        at, which = place[some], number[some]
+        took = _disjoint(at) if len(at) else np.zeros(0, bool)
+        enough = np.bincount(which[took], minlength=len(pairs)) >= least
+        if len(pairs) and not enough.any():  # pairs took places from each other: the most frequent one alone
+            alone = which == np.bincount(which).argmax()
+            at, which = at[alone], which[alone]
+            took = _disjoint(at)
+            enough = np.bincount(which[took], minlength=len(pairs)) >= least
+        if not enough.any():
+            if not fresh:
+                break
+            fresh = 0
+            continue
+        took &= enough[which]
+        at, which = at[took], which[took]
+        name = np.cumsum(enough) - 1
+        lefts.append((pairs[enough] >> np.uint64(32)).astype(np.int64))
+        rights.append((pairs[enough] & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        fresh = base + rules
+        seq[at] = fresh + name[which]
         kept = np.ones(len(seq), bool)
         kept[at + 1] = False
-        seq, rules = seq[kept], rules + len(used)
+        seq, rules = seq[kept], rules + int(enough.sum())
     join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return Grammar(base, join(lefts), join(rights), seq)
+    return Grammar(base, join(lefts), join(rights), seq.astype(np.int64))
 
 
 def _tables(g: Grammar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and length in a flat table of what each rule expands to."""
     lengths = g.lengths
     starts = np.cumsum(lengths) - lengths
-    flat = np.zeros(int(lengths.sum()), np.int64)
-    for i in range(len(lengths)):
-        at = starts[i]
-        for s in (int(g.left[i]), int(g.right[i])):
-            if s < g.base:
-                flat[at] = s
-                at += 1
+    flat: list[int] = []
+    first = starts.tolist()
+    size = lengths.tolist()
+    for pair in zip(g.left.tolist(), g.right.tolist()):
+        for s in pair:
+            r = s - g.base
+            if r < 0:
+                flat.append(s)
             else:
-                r = s - g.base
-                flat[at : at + lengths[r]] = flat[starts[r] : starts[r] + lengths[r]]
-                at += lengths[r]
-    return starts, lengths, flat
+                flat += flat[first[r] : first[r] + size[r]]
+    return starts, lengths, np.array(flat, np.int64)
 
 
 def expand(g: Grammar, symbols: np.ndarray | None = None) -> np.ndarray:

@@ -5,9 +5,9 @@ by text. Each task encodes its texts with the tokenizers library, appends the en
 each, and writes shards of a bounded number of ids, each compressed on its own. Writers
 give each attempt's file its own name, and only files of the saved manifest are read.
 
-What the library made of a run of text between spaces is kept by that run, up to a number
-of runs: such runs are encoded independently of each other, except where white space
-stands next to a space, and then the text is cut as the library's pattern cuts it.
+What the library's pattern cuts is encoded piece by piece by the library's model, and kept by
+the piece, up to a number of pieces. The cuts stand before a space, unless white space stands
+next to it, so each distinct run of text between spaces is cut once.
 
 Defined cases: a null text counts as empty, so it is the end id alone. Null doc_ids come
 first. Strings of special tokens become special ids, as the library has it by default.
@@ -21,77 +21,146 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import repair
+from .bpe import byte_letters
 from .common import filesystem, partitions, save, scratch
+from .words import Table, distinct, ranges, slices, split_at_spaces, sums
 
-END_ID, SHARD_IDS, KEPT_RUNS = 0, 4_000_000, 300_000
+END_ID, SHARD_IDS, KEPT = 0, 2_000_000, 1_000_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-_CUT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+_RARE = re.compile("[\x1c-\x1f\x85\u0250-\U0010ffff]")
+#: The cut of byte-level vocabularies of this kind, a fixed value.
+_CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
 class RunEncoder:
-    """Encodes texts with a byte-level vocabulary; keeps what runs of text become."""
+    """Encodes texts with a byte-level vocabulary: the library's model on each piece of the library's cut.
 
-    def __init__(self, path: str):
+    Texts are split at spaces; each distinct run is cut once, and the ids of pieces are kept.
+    A run that is empty, or begins or ends with white space, can't stand alone; a text with one
+    is cut whole. Texts with characters whose classes differ between versions of Unicode, or
+    with a special token's string, go to the library.
+    """
+
+    def __init__(self, path: str, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.library.encode_special_tokens = not special
+        self.model = self.library.model
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()] if special else []
         self.size = self.library.get_vocab_size()
-        #: Ids of a run that follows a space, by the run without it; None where it can't stand alone.
-        self.after: dict[str, bytes | None] = {}
-        self.plain: dict[str, bytes] = {}
-
-    def _ids(self, runs: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(runs, add_special_tokens=False)]
-
-    def _learn(self, kept: dict, runs: set[str], prefix: str) -> None:
-        if len(kept) > KEPT_RUNS:
-            kept.clear()
-        new = [r for r in runs if r not in kept]
-        for r in new:
-            if prefix and (not r or r[0].isspace() or r[-1].isspace()):
-                kept[r] = None
-        new = [r for r in new if r not in kept]
-        for r, ids in zip(new, self._ids([prefix + r for r in new])):
-            kept[r] = ids
-
-    def _pieces(self, text: str) -> bytes:
-        """A text that isn't plain runs between single spaces."""
-        if _ODD_SPACE.search(text) or any(s in text for s in self.special):
-            return self._ids([text])[0]
-        cut = _CUT.findall(text)
-        if any(c not in self.plain for c in cut):
-            self._learn(self.plain, set(cut), "")
-        kept = self.plain
-        return b"".join([kept[c] if c in kept else self._ids([c])[0] for c in cut])
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
-        for at in range(0, len(texts), 256):
-            part = [t or "" for t in texts[at : at + 256]]
-            split = [t.split(" ") for t in part]
-            self._learn(self.after, {r for s in split for r in s[1:]}, " ")
-            kept = self.after
-            for text, (first, *rest) in zip(part, split):
-                ids = [kept[r] for r in rest]
-                if None in ids or (first[-1:].isspace() and rest) or "<|" in text or _ODD_SPACE.search(text):
-                    out.append(self._pieces(text))
-                else:
-                    out.append((self._pieces(first) if first else b"") + b"".join(ids))
+        self.letters = byte_letters()
+        self.pieces = Table(self._of_pieces, KEPT)
+
+    def _of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out, sizes, tokenize = array("I"), [], self.model.tokenize
+        for p in pieces:
+            letters = p.replace(" ", "\u0120") if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in tokenize(letters)]
+            out.extend(ids)
+            sizes.append(len(ids))
+        return np.array(out, "<u4"), np.array(sizes, np.int64)
+
+    def _of_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs that follow a space. A space begins each of them in their joined text, so their cuts are told apart."""
+        if not runs:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        pieces = _CUT.findall(" " + " ".join(runs))
+        first = np.flatnonzero(np.fromiter((p[0] == " " for p in pieces), bool, len(pieces)))
+        ids, sizes = self._ids_of(pieces)
+        return ids, np.add.reduceat(sizes, first)
+
+    def _ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.pieces.room()
+        return self.pieces.ids(self.pieces.codes(pieces))
+
+    def _one(self, text: str) -> np.ndarray:
+        """The ids of a text that is cut whole."""
+        plain = not any(s in text for s in self.special) and not (_ODD_SPACE if text.isascii() else _RARE).search(text)
+        if plain:
+            return self._ids_of(_CUT.findall(text))[0]
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _entangled(self, runs: pa.Array) -> np.ndarray:
+        """Which runs are empty, begin or end with white space, or have rare characters or a special token's string."""
+        offsets = np.frombuffer(runs.buffers()[1], np.int32)[runs.offset : runs.offset + len(runs) + 1].astype(np.int64)
+        data = np.frombuffer(runs.buffers()[2] or b"", np.uint8)[: offsets[-1]]
+        # from 0xC9 on characters from U+0240 on begin; 0xC2 begins U+0085 and U+00A0, which are white space
+        odd = (data >= 0xC9) | ((data >= 0x1C) & (data <= 0x1F))
+        odd[1:] |= (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
+        before = np.r_[0, np.cumsum(odd)]
+        out = before[offsets[1:]] > before[offsets[:-1]]
+        out |= offsets[1:] == offsets[:-1]
+        some = np.flatnonzero(~out)
+        white = np.zeros(256, bool)
+        white[[0x20, *range(0x09, 0x0E)]] = True
+        out[some] = white[data[offsets[:-1][some]]] | white[data[offsets[1:][some] - 1]]
+        for s in self.special:
+            out |= pc.match_substring(runs, s).to_numpy(zero_copy_only=False)
         return out
 
+    def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each slice of the texts, in order, all their ids and the number of ids of each text."""
+        for a, b in slices(column):
+            texts = column.slice(a, b - a)
+            flat, counts = split_at_spaces(texts)
+            which, found = distinct(flat)
+            ends = np.cumsum(counts)
+            after = np.ones(len(which), bool)
+            after[ends - counts] = False
+            # the first run of a text follows no space; rare and entangled runs make their text one that is cut whole
+            alone = ~self._entangled(found)
+            runs = found.to_pylist()
+            whole = np.zeros(len(counts), bool)
+            whole[np.repeat(np.arange(len(counts)), counts)[~alone[which]]] = True
+            first = which[ends - counts]
+            later = which[after & np.repeat(~whole, counts)]
+            used = np.zeros(len(runs), bool)
+            used[later] = True
+            own_ids, own_sizes = self._of_runs([r for r, u in zip(runs, used.tolist()) if u])
+            number = (np.cumsum(used) - 1)[later]
+            sizes = own_sizes[number]
+            ids = own_ids[ranges((np.cumsum(own_sizes) - own_sizes)[number], sizes)]
+            of_text = np.zeros(len(counts), np.int64)
+            of_text[~whole] = sums(sizes, counts[~whole] - 1)
+            cut = [_CUT.findall(runs[f]) for f in first[~whole].tolist()]
+            own_ids, own_sizes = self._ids_of([p for pieces in cut for p in pieces])
+            of_first = np.zeros(len(counts), np.int64)
+            of_first[~whole] = sums(own_sizes, np.array([*map(len, cut)], np.int64))
+            at, own, parts, out = 0, 0, [], of_first + of_text
+            for i, (m, n) in enumerate(zip(of_first.tolist(), of_text.tolist())):
+                if whole[i]:
+                    parts.append(self._one(texts[i].as_py() or ""))
+                    out[i] = len(parts[-1])
+                    continue
+                parts += [own_ids[own : own + m], ids[at : at + n]]
+                own, at = own + m, at + n
+            yield np.concatenate(parts) if parts else np.zeros(0, "<u4"), out
+
+
+_encoders: dict[str, RunEncoder] = {}
+
+
+def encoder_of(path: str) -> RunEncoder:
+    """The worker's encoder for a tokenizer file."""
+    if path not in _encoders:
+        _encoders[path] = RunEncoder(path)
+    return _encoders[path]
+
 
 def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Writes the files; the saved manifest (part, shard, path, documents, ids), which has them in order of (part, shard)."""
@@ -100,22 +169,22 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, text: str = "te
     base = scratch(docs.sparkSession, "token-files")
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = RunEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         fs, root = filesystem(base)
         fs.create_dir(root, recursive=True)
-        end, part = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
-        kept: list[bytes] = []
+        end, part = np.array([end_id], "<u4"), TaskContext.get().partitionId()
+        kept: list[np.ndarray] = []
         numbers: list[int | None] = []
         held, done = 0, []
 
         def flush() -> None:
             nonlocal held
-            ids = np.frombuffer(b"".join(kept), "<u4")
+            ids = np.concatenate(kept)
             grammar = repair.compress(ids, encoder.size, end_id)
             columns = {
                 "doc_id": np.array([n or 0 for n in numbers], "<i8"),
                 "no_id": np.array([n is None for n in numbers], "u1"),
-                "n_tokens": np.array([len(k) // 4 for k in kept], "<i8"),
+                "n_tokens": np.array([len(k) for k in kept], "<i8"),
             }
             name = f"{uuid.uuid4().hex}.rpg"
             with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
@@ -126,12 +195,14 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, text: str = "te
             held = 0
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for n, ids in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist())):
-                    kept.append(ids + end)
-                    numbers.append(n)
-                    held += len(ids) // 4 + 1
+            names = iter(batch.column(0).to_pylist())
+            for ids, sizes in encoder.encode(batch.column(1)):
+                at = 0
+                for n in sizes.tolist():
+                    kept.append(np.concatenate([ids[at : at + n], end]))
+                    numbers.append(next(names))
+                    at += n
+                    held += n + 1
                     if held >= SHARD_IDS:
                         flush()
         if kept:
