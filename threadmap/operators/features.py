@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import one_hot
+from ..sources.tables import save
+from .lookups import numbered, tile
 
 
 def route_features(rows: DataFrame, routes: int, residuals: bool = True) -> DataFrame:
@@ -64,7 +66,7 @@ def out_of_fold_accuracy(rows: DataFrame, estimator, n: int = 5) -> float:
     """The accuracy of an ML classifier on features (array) and label, each fold predicted from the others."""
     from pyspark.ml.functions import array_to_vector
 
-    dealt = folds(rows, n).select("fold", array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label")).cache()
+    dealt = save(folds(rows, n).select("fold", array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label")), "folds")
     parts = [estimator.fit(dealt.where(F.col("fold") != f)).transform(dealt.where(F.col("fold") == f)).select("label", "prediction") for f in range(n)]
     every = parts[0]
     for p in parts[1:]:
@@ -73,14 +75,12 @@ def out_of_fold_accuracy(rows: DataFrame, estimator, n: int = 5) -> float:
 
 
 def angular_sectors(points: DataFrame, sectors: int) -> DataFrame:
-    """row_id, angle, sector: rows about the mean in order of angle, dealt to sectors of even size, larger ones first.
-
-    One window over all rows: for the rows of one neighbourhood.
-    """
+    """row_id, angle, sector: rows about the mean in order of angle, dealt to sectors of even size, larger ones first."""
     middle = F.broadcast(points.agg(F.avg(F.get("x", F.lit(0))).alias("mx"), F.avg(F.get("x", F.lit(1))).alias("my")))
     angle = F.atan2(F.get("x", F.lit(1)) - F.col("my"), F.get("x", F.lit(0)) - F.col("mx"))
     turned = points.join(middle).select("row_id", angle.alias("angle"))
-    return turned.withColumn("sector", F.ntile(sectors).over(Window.orderBy("angle", "row_id")))
+    order = numbered(turned, "angle", "row_id")
+    return order.select("row_id", "angle", tile(F.col("number"), F.col("whole"), sectors).alias("sector"))
 
 
 def normalized_counts(counts: DataFrame, cell: str, gene: str, count: str, size: float = 1e4) -> DataFrame:

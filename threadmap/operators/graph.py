@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import distance
 from ..sources.tables import save
 
 
@@ -54,7 +55,56 @@ def cycle_rank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return c.join(edges.agg(F.count("*").alias("edges"))).withColumn("cycle_rank", F.col("edges") - F.col("nodes") + F.col("components"))
 
 
+def mst_augmented(nodes: DataFrame, edges: DataFrame, wider: DataFrame) -> DataFrame:
+    """src, dst, length, is_mst: edges, and those of the spanning forest of wider ones (which hold them) that they lack."""
+    tree = spanning_forest(nodes, wider).select("src", "dst", "length", F.lit(True).alias("t"))
+    own = edges.select("src", "dst", "length", F.lit(False).alias("t"))
+    return own.union(tree).groupBy("src", "dst").agg(F.min("length").alias("length"), F.min("t").alias("is_mst"))
+
+
+def bridges(points: DataFrame, of: DataFrame, centers: int = 2_000) -> DataFrame:
+    """src, dst, length: the shortest edges that join the components (row_id, component) of a cloud to one tree.
+
+    In each round every component takes its shortest edge to another one. Of two components the
+    smaller one's rows, checked to be few, are compared with all rows; more raise.
+    """
+    held, chosen = save(points.select("row_id", "x").join(of, "row_id"), "bridged"), None
+    while True:
+        sizes = held.groupBy("component").agg(F.count("*").alias("n"))
+        largest = sizes.orderBy(F.desc("n"), "component").first()
+        if largest is None or sizes.count() < 2:
+            break
+        few = held.where(F.col("component") != largest["component"])
+        if few.limit(centers + 1).count() > centers:
+            raise ValueError(f"more than {centers} rows outside of the largest component")
+        table = F.broadcast(few.agg(F.collect_list(F.struct(F.col("row_id").alias("r"), F.col("component").alias("c"), F.col("x").alias("y"))).alias("all")))
+        away = F.transform(F.filter("all", lambda s: s["c"] != F.col("component")), lambda s: F.struct(distance(F.col("x"), s["y"]).alias("length"), F.least("row_id", s["r"]).alias("src"), F.greatest("row_id", s["r"]).alias("dst"), s["c"].alias("c")))
+        near = held.join(table).select(F.explode(away).alias("e"))
+        best = save(near.groupBy("e.c").agg(F.min(F.struct("e.length", "e.src", "e.dst")).alias("e")).select("e.*").distinct().select("src", "dst", "length"), "bridges")
+        chosen = best if chosen is None else save(chosen.union(best).distinct(), "bridges")
+        old = held.select("row_id", "component")
+        a, b = old.select(F.col("row_id").alias("src"), F.col("component").alias("ca")), old.select(F.col("row_id").alias("dst"), F.col("component").alias("cb"))
+        joined = best.join(a, "src").join(b, "dst").select(F.col("ca").alias("src"), F.col("cb").alias("dst"))
+        names = components(sizes.select(F.col("component").alias("node")), joined).select(F.col("node").alias("component"), F.col("component").alias("to"))
+        held = save(held.join(names, "component").select("row_id", "x", F.col("to").alias("component")), "bridged")
+    return chosen if chosen is not None else points.sparkSession.createDataFrame([], "src long, dst long, length double")
+
+
 def terminal_chains(edges: DataFrame, degrees: DataFrame, longest: float) -> DataFrame:
     """Edges that end in a leaf and are no longer than that: the branches to prune in one round."""
     leaf = degrees.where("degree = 1").select(F.col("row_id").alias("leaf"))
-    return edges.where(F.col("length") <= longest).join(leaf, (F.col("src") == F.col("leaf")) | (F.col("dst") == F.col("leaf")), "left_semi")
+    short = edges.where(F.col("length") <= longest)
+    at_src, at_dst = F.col("src") == F.col("leaf"), F.col("dst") == F.col("leaf")
+    return short.join(leaf, at_src, "left_semi").unionByName(short.join(leaf, at_src, "left_anti").join(leaf, at_dst, "left_semi"))
+
+
+def pruned(edges: DataFrame, longest: float) -> DataFrame:
+    """The edges left after short terminal branches are taken away, round after round, until none is left."""
+    from .neighbors import degrees
+
+    now = save(edges, "pruned")
+    while True:
+        gone = save(terminal_chains(now, degrees(now), longest), "terminal")
+        if gone.isEmpty():
+            return now
+        now = save(now.join(gone.select("src", "dst"), ["src", "dst"], "left_anti"), "pruned")

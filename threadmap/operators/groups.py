@@ -131,6 +131,22 @@ def hierarchy(points: DataFrame, target: int = 1000, k: int = 8, quantile: float
     return levels, ancestry
 
 
+def composed(lower: DataFrame, upper: DataFrame) -> DataFrame:
+    """row_id, rep: the representatives (row_id, rep) of representatives. Each of lower has one in upper, where it is a row."""
+    return lower.select("row_id", F.col("rep").alias("via")).join(upper.select(F.col("row_id").alias("via"), "rep"), "via").select("row_id", "rep")
+
+
+def shared_descendants(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a_rep, b_rep, shared: how many rows of the cloud both representatives stand for, where any."""
+    own = a.select("row_id", F.col("rep").alias("a_rep")).join(b.select("row_id", F.col("rep").alias("b_rep")), "row_id")
+    return own.groupBy("a_rep", "b_rep").agg(F.count_distinct("row_id").alias("shared"))
+
+
+def corridor(ancestry: DataFrame, kept: DataFrame) -> DataFrame:
+    """row_id: rows of the cloud whose representative is one of kept (rep)."""
+    return ancestry.join(kept.select("rep").distinct(), "rep", "left_semi").select("row_id")
+
+
 def descendant_support(ancestry: DataFrame) -> DataFrame:
     """level, rep, descendants, share: how many rows of the cloud, and which share, a representative stands for."""
     counted = ancestry.groupBy("level", "rep").agg(F.count_distinct("row_id").alias("descendants"))

@@ -153,8 +153,14 @@ def local_scale(points: DataFrame) -> DataFrame:
 
     Equal rows are joined to one of them first, and weigh by their number.
     """
-    groups = points.groupBy("x").agg(F.min("row_id").alias("row_id"), F.count("*").alias("times"))
-    near = knn(groups, 2).where(F.col("d2") > DUPLICATE).groupBy(F.col("i").alias("row_id")).agg(F.sqrt(F.min("d2")).alias("d"))
+    groups = save(points.groupBy("x").agg(F.min("row_id").alias("row_id"), F.count("*").alias("times")), "distinct-rows")
+    n, k = groups.count(), 2
+    while True:
+        # where the k nearest rows of some are all duplicates within the tolerance, more are looked at
+        near = save(knn(groups, min(k, max(1, n - 1))).where(F.col("d2") > DUPLICATE).groupBy(F.col("i").alias("row_id")).agg(F.sqrt(F.min("d2")).alias("d")), "scales")
+        if k >= n - 1 or groups.join(near, "row_id", "left_anti").isEmpty():
+            break
+        k *= 8
     middle = near.join(groups.select("row_id", "times"), "row_id").agg(F.percentile("d", 0.5, F.col("times")).alias("scale"))
     return middle.select(F.greatest(F.coalesce("scale", F.lit(LEAST_SCALE)), F.lit(LEAST_SCALE)).alias("scale"))
 

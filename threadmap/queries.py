@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from .functions import vectors as vec
 from .operators import cloud as cl
 from .operators import features as ft
-from .operators import graph, groups, routes
+from .operators import frames, graph, groups, lookups, routes
 from .operators import neighbors as nb
 from .plans import model
 from .sources import generators
 from .sources.tables import cloud, save, table
+from .streaming import apply
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -383,6 +384,202 @@ def principal_covariance(spark, sf_dir):
     return cl.covariance(points, 4).select("i", "j", F.round("value", 4).alias("value"))
 
 
+#: Clouds of two features: suppliers and parts. And one of three, the first of the embeddings, with its route.
+_SUPPLIERS = "e AS (SELECT s_suppkey AS row_id, s_nationkey::DOUBLE AS x, s_acctbal / 1000 AS y FROM supplier)"
+_PARTS = "e AS (SELECT p_partkey AS row_id, p_size::DOUBLE AS x, p_retailprice / 50 AS y FROM part)"
+_NEAR = _SUPPLIERS + """, p AS (SELECT a.row_id AS i, b.row_id AS j, b.x - a.x AS dx, b.y - a.y AS dy FROM e a JOIN e b ON a.row_id <> b.row_id),
+       n AS (SELECT *, dx * dx + dy * dy AS d2 FROM p QUALIFY row_number() OVER (PARTITION BY i ORDER BY dx * dx + dy * dy, j) <= 6),
+       o AS (SELECT i AS row_id, 0.5 * atan2(2 * sum(dx * dy), sum(dx * dx) - sum(dy * dy)) AS angle FROM n GROUP BY 1),
+       t AS (SELECT row_id, cos(angle) * s AS tx, sin(angle) * s AS ty FROM (SELECT *, CASE WHEN abs(cos(angle)) >= abs(sin(angle)) THEN sign(cos(angle)) ELSE sign(sin(angle)) END AS s FROM o))"""
+_THREE = PROJ.replace("range(1, 65)", "range(1, 4)").replace("list_transform(embedding,", "list_transform(embedding[1:3],")
+_LARGEST = "CASE WHEN abs({0}) >= abs({1}) AND abs({0}) >= abs({2}) THEN sign({0}) WHEN abs({1}) >= abs({2}) THEN sign({1}) ELSE sign({2}) END"
+_NORMAL = _THREE + f""", f0 AS (SELECT row_id, t0 + alpha * (t1 - t0) AS position, d2, x[1] - s[1] - alpha * v[1] AS r1, x[2] - s[2] - alpha * v[2] AS r2, x[3] - s[3] - alpha * v[3] AS r3,
+         v[1] / sqrt(vv) AS a, v[2] / sqrt(vv) AS b, v[3] / sqrt(vv) AS c FROM (SELECT *, list_sum(list_transform(v, lambda t: t * t)) AS vv FROM r)),
+       f1 AS (SELECT *, 1 - a * a AS p0, -a * b AS q0, -a * c AS o0 FROM f0),
+       f2 AS (SELECT *, {_LARGEST.format("p0", "q0", "o0")} / sqrt(p0 * p0 + q0 * q0 + o0 * o0) AS k FROM f1), f3 AS (SELECT *, p0 * k AS p1, q0 * k AS q1, o0 * k AS o1 FROM f2),
+       f4 AS (SELECT *, -a * b - q1 * p1 AS p2, 1 - b * b - q1 * q1 AS q2, -b * c - q1 * o1 AS o2 FROM f3),
+       f5 AS (SELECT *, {_LARGEST.format("p2", "q2", "o2")} / sqrt(p2 * p2 + q2 * q2 + o2 * o2) AS k2 FROM f4),
+       w AS (SELECT row_id, position, d2, r1 * p1 + r2 * q1 + r3 * o1 AS n0, (r1 * p2 + r2 * q2 + r3 * o2) * k2 AS n1 FROM f5)"""
+
+
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cloud(table(spark, sf_dir, "supplier").withColumn("y", F.col("s_acctbal") / 1000), "s_suppkey", ["s_nationkey", "y"])
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cloud(table(spark, sf_dir, "part").withColumn("y", F.col("p_retailprice") / 50), "p_partkey", ["p_size", "y"])
+
+
+def normal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = cl.standardized(embeddings(spark, sf_dir).withColumn("x", F.slice("x", 1, 3)))
+    placed = routes.decomposed(routes.project(points, save(label_route(points), "label-route")))
+    return save(frames.normal_coordinates(placed), "normal")
+
+
+@query("q45_windowed_events", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def windowed_events(spark, sf_dir):
+    windows = apply.windowed_values(table(spark, sf_dir, "events"), "ts", "event_type", "value")
+    return windows.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", _r("total", 4))
+
+
+@query("q46_snapped_centers", f"WITH {C} SELECT label AS center, row_id, round(d2, 6) AS d2 FROM (SELECT c.label, z.row_id, {SQDIST.format('z.x', 'c.c')} AS d2 FROM z, c) QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(d2, 9), row_id) = 1")
+def snapped_centers(spark, sf_dir):
+    points = standardized_embeddings(spark, sf_dir)
+    return lookups.snapped(label_centers(points), points).select("center", "row_id", _r("d2"))
+
+
+@query("q47_interpolated_route", "WITH " + SEGS + """, k AS (SELECT unnest([0.0, 0.2, 0.55, 0.9, 1.0])::DOUBLE AS place), y AS (SELECT * FROM k, h WHERE place BETWEEN t0 AND t1 QUALIFY row_number() OVER (PARTITION BY place ORDER BY seg) = 1)
+       SELECT place, round(s[1] + (place - t0) / (t1 - t0) * v[1], 6) AS first, round(s[64] + (place - t0) / (t1 - t0) * v[64], 6) AS last, round(v[1] / sqrt(vv), 6) AS tangent_first FROM y""")
+def interpolated_route(spark, sf_dir):
+    segs = label_route(standardized_embeddings(spark, sf_dir)).withColumn("t0", F.when(F.col("seg") == 0, F.lit(0.0)).otherwise(F.col("t0")))
+    at = lookups.interpolated(segs.withColumn("t1", F.when(F.col("t1") > 1 - 1e-12, F.lit(1.0)).otherwise(F.col("t1"))), [0.0, 0.2, 0.55, 0.9, 1.0])
+    return at.select("place", F.round(F.col("x")[0], 6).alias("first"), F.round(F.col("x")[63], 6).alias("last"), F.round(F.col("tangent")[0], 6).alias("tangent_first"))
+
+
+@query("q48_grid_lookup", """WITH k AS (SELECT p_partkey AS row_id, (p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()) AS position FROM part)
+       SELECT row_id, least(floor(position * 63), 62)::INT AS place, round(position * 63 - least(floor(position * 63), 62), 6) AS share, ceil(position * 63 - 0.5)::INT AS knot FROM k""")
+def grid_lookup(spark, sf_dir):
+    prices = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_retailprice").alias("p"))
+    ends = F.broadcast(prices.agg(F.min("p").alias("lo"), F.max("p").alias("hi")))
+    position = (F.col("p") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    place, share = lookups.on_grid(position, 64)
+    return prices.join(ends).select("row_id", place.alias("place"), F.round(share, 6).alias("share"), lookups.nearest_knot(position, 64).alias("knot"))
+
+
+@query("q49_sliding_windows", """WITH k AS (SELECT value, row_number() OVER (ORDER BY ts, event_id) - 1 AS number, count(*) OVER () AS whole FROM events), y AS (SELECT w AS "window", value FROM k, range((SELECT count(*) FROM events)) AS t(w) WHERE number >= w * 25 AND number < w * 25 + 50 AND w * 25 + 50 <= whole AND w < whole / 25)
+       SELECT "window", count(*) AS n, round(avg(value), 6) AS mean FROM y GROUP BY 1""")
+def sliding_windows(spark, sf_dir):
+    rows = lookups.sliding_windows(table(spark, sf_dir, "events").select("ts", "event_id", "value"), 50, 25, "ts", "event_id")
+    return rows.groupBy("window").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("q50_angular_order", "WITH " + _PARTS + ", m AS (SELECT avg(x) AS mx, avg(y) AS my FROM e) SELECT row_id, row_number() OVER (ORDER BY atan2(y - my, x - mx), row_id) - 1 AS number FROM e, m")
+def angular_order(spark, sf_dir):
+    points = parts(spark, sf_dir)
+    middle = F.broadcast(points.agg(F.avg(F.col("x")[0]).alias("mx"), F.avg(F.col("x")[1]).alias("my")))
+    angle = F.atan2(F.col("x")[1] - F.col("my"), F.col("x")[0] - F.col("mx"))
+    return lookups.numbered(points.join(middle).select("row_id", angle.alias("angle")), "angle", "row_id").select("row_id", "number")
+
+
+_AWAY = "sqrt((e.x - {0}.x) * (e.x - {0}.x) + (e.y - {0}.y) * (e.y - {0}.y))"
+
+
+@query("q51_spaced_seeds", "WITH " + _PARTS + f""", a AS (SELECT * FROM e ORDER BY y DESC, row_id LIMIT 1), b AS (SELECT e.* FROM e, a WHERE {_AWAY.format("a")} >= 6 ORDER BY e.y DESC, e.row_id LIMIT 1),
+       c AS (SELECT e.* FROM e, a, b WHERE {_AWAY.format("a")} >= 6 AND {_AWAY.format("b")} >= 6 ORDER BY e.y DESC, e.row_id LIMIT 1) SELECT 0 AS seed, row_id FROM a UNION ALL SELECT 1, row_id FROM b UNION ALL SELECT 2, row_id FROM c""")
+def spaced_seeds(spark, sf_dir):
+    return lookups.spaced_seeds(parts(spark, sf_dir).withColumn("price", F.col("x")[1]), "price", 3, 6.0).select("seed", "row_id")
+
+
+@query("q52_farthest_points", "WITH " + _PARTS + f""", a AS (SELECT * FROM e ORDER BY row_id LIMIT 1), b AS (SELECT e.* FROM e, a ORDER BY round({_AWAY.format("a")}, 9) DESC, e.row_id LIMIT 1),
+       c AS (SELECT e.*, round(least({_AWAY.format("a")}, {_AWAY.format("b")}), 9) AS away FROM e, a, b ORDER BY away DESC, e.row_id LIMIT 1) SELECT 0 AS seed, row_id FROM a UNION ALL SELECT 1, row_id FROM b UNION ALL SELECT 2, row_id FROM c""")
+def farthest_points(spark, sf_dir):
+    return lookups.farthest_points(parts(spark, sf_dir), 3).select("seed", "row_id")
+
+
+def _customers(spark, sf_dir):
+    lower = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_nationkey").cast("long").alias("rep"))
+    return lower, table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("row_id"), F.col("n_regionkey").cast("long").alias("rep"))
+
+
+@query("q53_composed_ancestry", "SELECT n_regionkey::BIGINT AS rep, count(*) AS descendants, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
+def composed_ancestry(spark, sf_dir):
+    whole = groups.composed(*_customers(spark, sf_dir)).withColumn("level", F.lit(2))
+    return groups.descendant_support(whole).select("rep", "descendants", _r("share"))
+
+
+@query("q54_shared_descendants", "SELECT n_regionkey::BIGINT AS a_rep, (c_custkey % 7)::BIGINT AS b_rep, count(*) AS shared FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2")
+def shared_descendants(spark, sf_dir):
+    lower, upper = _customers(spark, sf_dir)
+    return groups.shared_descendants(groups.composed(lower, upper), lower.select("row_id", (F.col("row_id") % 7).alias("rep")))
+
+
+@query("q55_corridor", "SELECT c_custkey AS row_id FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey IN (1, 3)")
+def corridor(spark, sf_dir):
+    return groups.corridor(groups.composed(*_customers(spark, sf_dir)), spark.createDataFrame([(1,), (3,)], "rep long"))
+
+
+@query("q56_location_dispersion", f"WITH {E}, d AS (SELECT label, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM e), k AS (SELECT label, j, var_pop(v) AS s FROM d GROUP BY 1, 2) SELECT label, round(sqrt(sum(s)), 6) AS dispersion FROM k GROUP BY 1")
+def location_dispersion(spark, sf_dir):
+    return frames.location_dispersion(embeddings(spark, sf_dir), "label").select("label", _r("dispersion"))
+
+
+@query("q57_local_tangents", "WITH " + _NEAR + " SELECT row_id, round(tx, 5) AS first, round(ty, 5) AS second FROM t")
+def local_tangents(spark, sf_dir):
+    points = suppliers(spark, sf_dir)
+    t = frames.local_tangents(points, save(nb.knn(points, 6), "neighbors"))
+    return t.select("row_id", F.round(F.col("tangent")[0], 5).alias("first"), F.round(F.col("tangent")[1], 5).alias("second"))
+
+
+@query("q58_edge_costs", "WITH " + _NEAR + """, u AS (SELECT least(i, j) AS src, greatest(i, j) AS dst, min(d2) AS d2 FROM n GROUP BY 1, 2), s AS (SELECT i AS row_id, greatest(sqrt(max(d2)), 1e-8) AS scale FROM n GROUP BY 1),
+       q AS (SELECT src, dst, sqrt(d2) AS length, exp(-d2 / (a.scale * b.scale)) / (SELECT quantile_cont(scale, 0.5) FROM s) AS c FROM u JOIN s a ON a.row_id = src JOIN s b ON b.row_id = dst)
+       SELECT src, dst, round(greatest(length / (SELECT quantile_cont(length, 0.5) FROM q) + 0.5 * (1 - abs(a.tx * b.tx + a.ty * b.ty)) + 0.25 / greatest(least(greatest(c, 0), 1), 1e-6), 1e-8), 4) AS cost
+       FROM q JOIN t a ON a.row_id = src JOIN t b ON b.row_id = dst""")
+def edge_costs(spark, sf_dir):
+    points = suppliers(spark, sf_dir)
+    near = save(nb.knn(points, 6), "neighbors")
+    edges = nb.conductances(nb.union_edges(near), nb.kth_scale(near))
+    return frames.edge_costs(edges, frames.local_tangents(points, near)).select("src", "dst", _r("cost", 4))
+
+
+@query("q59_normal_coordinates", "WITH " + _NORMAL + " SELECT row_id, round(n0, 5) AS first, round(n1, 5) AS second FROM w")
+def normal_coordinates(spark, sf_dir):
+    return normal_rows(spark, sf_dir).select("row_id", F.round(F.col("normal")[0], 5).alias("first"), F.round(F.col("normal")[1], 5).alias("second"))
+
+
+@query("q60_residual_coordinates", "WITH " + _NORMAL + """, ya AS (SELECT g, abs(position - g / 4.0) AS away, n0, n1 FROM w, range(5) AS t(g)), kx AS (SELECT *, exp(-0.5 * pow((away - min(away) OVER (PARTITION BY g)) / 0.1, 2)) AS k FROM ya),
+       cv AS (SELECT g, sum(k * n0 * n0) AS aa, sum(k * n0 * n1) AS ab, sum(k * n1 * n1) AS bb FROM kx GROUP BY 1), ox AS (SELECT g, 0.5 * atan2(2 * ab, aa - bb) AS angle FROM cv),
+       lx AS (SELECT g, cos(angle) * s AS ax, sin(angle) * s AS ay FROM (SELECT *, CASE WHEN abs(cos(angle)) >= abs(sin(angle)) THEN sign(cos(angle)) ELSE sign(sin(angle)) END AS s FROM ox))
+       SELECT row_id, round(n0 * ax + n1 * ay, 4) AS coordinate, round(sqrt(greatest(d2 - pow(n0 * ax + n1 * ay, 2), 0)), 4) AS unexplained FROM w JOIN lx ON g = floor(position * 4)""")
+def residual_coordinates(spark, sf_dir):
+    rows, grid = normal_rows(spark, sf_dir), [0.0, 0.25, 0.5, 0.75, 1.0]
+    placed = frames.residual_coordinates(rows, frames.fitted_axes(rows, grid, 0.1, 1, 2), grid)
+    return placed.select("row_id", F.round(F.col("residual_coordinates")[0], 4).alias("coordinate"), F.round("unexplained_residual_norm", 4).alias("unexplained"))
+
+
+@query("q61_cross_sections", "WITH " + _NORMAL + """, k AS (SELECT least(floor(position * 4), 3)::INT AS place, count(*) AS n, var_pop(n0) AS aa, covar_pop(n0, n1) AS ab, var_pop(n1) AS bb FROM w GROUP BY 1)
+       SELECT place, n, round(sqrt((aa + bb) / 2 + sqrt(pow((aa - bb) / 2, 2) + ab * ab)), 5) AS major, round(sqrt(greatest((aa + bb) / 2 - sqrt(pow((aa - bb) / 2, 2) + ab * ab), 0)), 5) AS minor FROM k""")
+def cross_sections(spark, sf_dir):
+    return frames.cross_sections(normal_rows(spark, sf_dir), 4).select("place", "n", _r("major", 5), _r("minor", 5))
+
+
+_TREE = ORACLE_SQL["q39_spanning_tree"].rsplit("SELECT w.a::BIGINT", 1)[0]
+
+
+@query("q62_mst_augmented", _TREE + """SELECT w.a::BIGINT AS src, w.b::BIGINT AS dst, round(w.w, 6) AS length, NOT (w.a % 2 = 0 AND w.b % 2 = 0) AS is_mst
+       FROM w JOIN k USING (a, b) WHERE k.via = 10 AND w.a < w.b AND (w.w <= k.w OR (w.a % 2 = 0 AND w.b % 2 = 0))""")
+def mst_augmented(spark, sf_dir):
+    """The edges between even labels, and the spanning tree of all labels."""
+    nodes, edges = _center_edges(spark, sf_dir)
+    return graph.mst_augmented(nodes, edges.where("src % 2 = 0 AND dst % 2 = 0"), edges).select("src", "dst", _r("length"), "is_mst")
+
+
+@query("q63_bridges", f"""WITH {C}, w AS (SELECT a.label AS a, b.label AS b, a.label % 3 AS p, b.label % 3 AS q, sqrt({SQDIST.format('a.c', 'b.c')}) AS w FROM c a JOIN c b ON a.label < b.label AND a.label % 3 <> b.label % 3),
+       s AS (SELECT least(p, q) AS p, greatest(p, q) AS q, min(w) AS m, arg_min(a, w) AS a, arg_min(b, w) AS b FROM w GROUP BY 1, 2) SELECT a::BIGINT AS src, b::BIGINT AS dst, round(m, 6) AS length FROM s QUALIFY row_number() OVER (ORDER BY m) <= 2""")
+def bridges(spark, sf_dir):
+    """The shortest edges that make one tree of three components, which labels give by their remainder."""
+    c = label_centers(standardized_embeddings(spark, sf_dir)).select(F.col("center").cast("long").alias("row_id"), F.col("c").alias("x"))
+    return graph.bridges(c, c.select("row_id", (F.col("row_id") % 3).alias("component"))).select("src", "dst", _r("length"))
+
+
+@query("q64_terminal_chains", _TREE + """, y AS (SELECT w.a::BIGINT AS src, w.b::BIGINT AS dst, w.w AS length FROM w JOIN k USING (a, b) WHERE k.via = 10 AND w.a < w.b AND w.w <= k.w), g AS (SELECT unnest([src, dst]) AS n FROM y), l AS (SELECT n FROM g GROUP BY 1 HAVING count(*) = 1)
+       SELECT src, dst, round(length, 6) AS length FROM y WHERE (src IN (SELECT n FROM l) OR dst IN (SELECT n FROM l)) AND length <= (SELECT avg(length) FROM y)""")
+def terminal_chains(spark, sf_dir):
+    tree = save(graph.spanning_forest(*_center_edges(spark, sf_dir)), "tree")
+    return graph.terminal_chains(tree, nb.degrees(tree), tree.agg(F.avg("length")).first()[0]).select("src", "dst", _r("length"))
+
+
+@query("hierarchy_invariants", "SELECT count(*) AS n, count(*) AS least_covered, count(*) AS most_covered, true AS of_cloud, true AS shrinks, true AS nested FROM embeddings")
+def hierarchy_invariants(spark, sf_dir):
+    """Each level's representatives stand for every row once, are rows, are fewer than before, and are among those before."""
+    points = embeddings(spark, sf_dir)
+    levels, ancestry = groups.hierarchy(points, target=200)
+    covered = ancestry.groupBy("level").agg(F.count_distinct("row_id").alias("rows"), F.count("*").alias("all"), F.count_distinct("rep").alias("reps"))
+    shrinks = covered.agg(F.sort_array(F.collect_list(F.struct("level", "reps"))).alias("l")).select(F.forall(F.sequence(F.lit(1), F.size("l") - 1), lambda i: F.get("l", i)["reps"] < F.get("l", i - 1)["reps"]).alias("shrinks"))
+    known = levels.join(points.select(F.col("row_id").alias("rep"), F.lit(1).alias("k")), "rep", "left").agg(F.every(F.col("k").isNotNull()).alias("of_cloud"))
+    above = levels.where("level > 0").select((F.col("level") - 1).alias("level"), "rep").join(levels.select("level", "rep", F.lit(1).alias("k")), ["level", "rep"], "left").agg(F.every(F.col("k").isNotNull()).alias("nested"))
+    return points.agg(F.count("*").alias("n")).join(covered.agg(F.min("rows").alias("least_covered"), F.max("all").alias("most_covered"))).join(known).join(shrinks).join(above)
+
+
 @query("hierarchy_levels")
 def hierarchy_levels(spark, sf_dir):
     levels, ancestry = groups.hierarchy(embeddings(spark, sf_dir), target=200)

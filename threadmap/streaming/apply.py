@@ -22,6 +22,9 @@ def projected(stream: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def windowed_values(stream: DataFrame, time: str, key: str, value: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """start, key, n, total of tumbling windows; rows later than that are left out once the window is done."""
-    w = F.window(time, size)
+    """start, key, n, total of tumbling windows; rows later than that are left out once the window is done.
+
+    A time without zone is taken to be in the session's zone.
+    """
+    stream, w = stream.withColumn(time, F.col(time).cast("timestamp")), F.window(time, size)
     return stream.withWatermark(time, late).groupBy(w.alias("w"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), key, "n", "total")
