@@ -265,7 +265,7 @@ def test_base_spans_agree_with_the_patterns():
         assert [s[:3] for s in pii.base_spans(t)] == brute_spans(t), t
 
 
-def test_disclosing_terms_are_found_and_texts_sanitised(spark):
+def test_disclosing_terms_are_found_and_texts_sanitised(spark, monkeypatch):
     filler = [" ".join(f"word{chr(97 + (i * 7 + j) % 26)}{chr(97 + j % 26)}" for j in range(30)) + " common" for i in range(200)]
     secret = [f"{filler[i][:40]} zorblax {filler[i + 1][:30]} call +1 (743) 555-3824 common {filler[i + 2][:40]}" for i in range(6)]
     docs = documents(spark, [*filler, *secret, secret[0], "", None], [*range(208), None])
@@ -275,7 +275,36 @@ def test_disclosing_terms_are_found_and_texts_sanitised(spark):
     out = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
     assert all("zorblax" not in out[i] and "[PHONE]" in out[i] and "555" not in out[i] for i in range(200, 206))
     assert all(out[i] == filler[i] for i in range(200)) and out[207] == "" and out[None] == ""
-    assert pii.spans(docs).count() == 209 and pii.spans(docs.limit(0)).count() == 0
+    assert pii.sanitised(docs).count() == 209 and pii.sanitised(docs.limit(0)).count() == 0
+    few = {r["doc_id"]: (r["text"], r["base"], r["all"]) for r in pii.sanitised(docs).collect()}
+    monkeypatch.setattr(pii, "BROADCAST_TOLD", 0)  # more terms than that are joined, to the same end
+    assert {r["doc_id"]: (r["text"], r["base"], r["all"]) for r in pii.sanitised(docs).collect()} == few
+
+
+def test_contexts_agree_with_a_plain_search_and_are_linear():
+    import time
+
+    def plain(text, spans):
+        words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        out = []
+        for a, kind, b, value in spans:
+            first = next((i for i, w in enumerate(words) if w[1] > a), len(words))
+            last = next((i for i in range(first, len(words)) if words[i][0] >= b), len(words))
+            for p, q in [*words[max(0, first - pii.CONTEXT_WORDS) : first], *words[last : last + pii.CONTEXT_WORDS]]:
+                raw = text[p:q]
+                p += len(raw) - len(raw.lstrip(pii._EDGE))
+                q = p + len(raw.strip(pii._EDGE))
+                if any(map(str.isalnum, pii.term_of(raw))) and not any(p < e and s < q for s, _, e, _ in spans):
+                    out.append((f"{pii.KINDS[kind]}:{value}", pii.term_of(raw), p, q))
+        return out
+
+    r = random.Random(5)
+    for _ in range(150):
+        t = " ".join(r.choice(["a@b.c", "1.2.3.4", "+1 (743) 555-3824", "o'neil", "(word)", "...", "4539 1488 0343 6467", "x,a@b.c;y"]) for _ in range(30))
+        assert pii.contexts(t, pii.base_spans(t)) == plain(t, pii.base_spans(t)), t
+    long = " ".join(f"name{i} user{i}@example.org said {i % 9}" for i in range(20_000))
+    began = time.time()
+    assert len(pii.contexts(long, pii.base_spans(long))) > 200_000 and time.time() - began < 20
 
 
 def test_copies_leave_shares_and_rare_entities_are_judged(spark):

@@ -184,6 +184,60 @@ def test_earlier_hits_are_all_of_other_labels():
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("edits", [(2, 3), (2, 2), (1, 4)])
+def test_near_duplicates_lose_no_pair_of_edited_copies(spark, edits):
+    """Clusters of copies with edits here and there, whose similarities lie about the threshold; compared with all pairs."""
+    rng, least = np.random.default_rng(sum(edits)), 0.8
+    texts = []
+    for c in range(40):
+        base = prose(500 + c, 240, 3000).split()
+        for k in range(10):
+            words = list(base)
+            for at in rng.integers(0, 240, edits[k % 2]):
+                words[at] = f"e{rng.integers(0, 10**6)}"
+            texts.append(" ".join(words))
+    sets = [set(near_dedup.shingle_hashes(near_dedup.words_of(t), 5).tolist()) for t in texts]
+    pairs = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert pairs == {(42 * f + 20, 42 * f + 40) for f in range(6)}
+    got = {(r["component_id"], r["doc_id"]) for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
+    assert got == pairs
+
+
+def test_earlier_hits_are_all_of_other_labels():
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 1 << 63, 4, dtype=np.uint64)[rng.integers(0, 4, 300)] ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
+    group, label, done = np.sort(rng.integers(0, 3, 300)), rng.integers(0, 9, 300), np.zeros(300, np.int64)
+    want = {(i, j) for i in range(300) for j in range(i) if group[i] == group[j] and label[i] != label[j] and int(fps[i] ^ fps[j]).bit_count() <= 2}
+    got = []
+    for most in (1, 3, 200):
+        member, other, done = bitslice.earlier_hits(fps, group, 2, label, done, most)
+        assert np.bincount(member).max() <= most
+        got += zip(member.tolist(), other.tolist())
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("edits, least", [(2, 0.8), (5, 0.8)])
+def test_near_duplicates_lose_no_pair_of_edited_copies(spark, edits, least):
+    """Clusters of copies with edits here and there, whose similarities lie about the threshold; compared with all pairs."""
+    rng = np.random.default_rng(edits)
+    texts = []
+    for c in range(30):
+        base = prose(500 + c, 120, 3000).split()
+        for _ in range(8):
+            words = list(base)
+            for at in rng.integers(0, 120, edits):
+                words[at] = f"e{rng.integers(0, 10**6)}"
+            texts.append(" ".join(words))
+    sets = [set(near_dedup.shingle_hashes(near_dedup.words_of(t), 5).tolist()) for t in texts]
+    label = np.arange(len(texts))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9]
+    for _ in range(20):
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
+    assert len(pairs) > 300 and [got.get(i, i) for i in range(len(texts))] == label.tolist()
+
+
 # ---- decontamination ---------------------------------------------------------------------
 
 
@@ -284,6 +338,45 @@ def test_toxicity_on_held_out_and_disguised_texts(spark, toxic_corpus):
     assert kept.columns == docs.columns and kept.where("doc_id >= 400").count() == 2
 
 
+def letters_of(texts):
+    """The language model of texts, counted plainly."""
+    table = toxicity.class_table()
+    n = toxicity.trigram_counts(texts, table).astype(float).reshape((toxicity.CLASSES,) * 3)
+    pairs = n.sum(0) + 0.1
+    return np.log((n + 5 * pairs / pairs.sum(1, keepdims=True)) / (n.sum(2, keepdims=True) + 5)).astype(np.float32)
+
+
+def every_reading(decoder, word):
+    """All paths through the word's lattice: what each reads as, and its score."""
+    paths = [(0, "", 0.0)]
+    while any(i < len(word) for i, _, _ in paths):
+        paths = [(to, read + out, s - cost) for i, read, s in paths for to, out, cost in (decoder._steps(word, i) if i < len(word) else [(i, "", 0.0)])]
+    out = {}
+    for _, read, s in paths:
+        classes = [0, 0, *map(decoder._class, read), 0]
+        s += sum(decoder.model[p][q][r] for p, q, r in zip(classes, classes[1:], classes[2:]))
+        out[read] = max(out.get(read, -1e9), s)
+    return out
+
+
+def test_viterbi_search_agrees_with_all_paths():
+    decoder = toxicity.Decoder(letters_of(["you idiot", "an ass is not stupid", "a toad sat", "the idiots said so", "less is more"] * 30))
+    for word in ["1d10t", "a$$", "stuuupid", "y o u", "i d i o t", "a s s", "7h3", "l3ss!!!", "m.0.r.e", "(@t", "oooo", "x"]:
+        every = every_reading(decoder, word)
+        assert every[decoder.restore(word)] == pytest.approx(max(every.values()), abs=1e-3), word
+    assert decoder.restore("y o u i d i o t") == "you idiot" and decoder.restore("a s s") == "ass"
+
+
+def test_spaced_letters_are_read_and_columns_stay(spark, toxic_corpus):
+    texts, labels = toxic_corpus
+    spaced = ["word5 y o u i d i o t word9", "word8 m o r o n", "a b c word7 word1"]
+    frame = spark.createDataFrame(labels, "doc_id long, toxic int")
+    docs = documents(spark, [*(t.replace("idiot", "you idiot") for t in texts), *spaced]).withColumn("__score", F.lit(7)).withColumn("score", F.lit("x"))
+    kept = toxicity.drop_toxic(docs, frame)
+    assert kept.columns == docs.columns and kept.where("__score = 7 and score = 'x'").count() == kept.count()
+    assert [r["doc_id"] for r in kept.where("doc_id >= 400").collect()] == [402]
+
+
 def test_toxicity_without_labels_or_documents(spark, toxic_corpus):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.scored(documents(spark, ODD), none).agg(F.max("predicted")).first()[0] == 0

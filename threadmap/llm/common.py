@@ -2,51 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import save, table  # noqa: F401
+from ..sources.tables import shared_path as scratch  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 LOWER_TABLE = str.maketrans(UPPER, LOWER)
 #: White space that separates words: space and 0x09 to 0x0D.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the one that the cluster names in ``spark.checkpoint.dir``. Where that is
-    unset (local runs and tests) a temporary folder is made, on a local master only.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        if not (sc.master or "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _own_dirs.get(sc.applicationId)
-        if base is None:
-            base = _own_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="threadmap-")
-    return f"{base.rstrip('/')}/threadmap"
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path for one saved table or file set below the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back, which cuts the lineage."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def filesystem(path: str):
     """The pyarrow file system of a path or URI, and the path within it."""
@@ -71,10 +40,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 #: crc32 of doc_id as decimal text, as in the contracts.
 def crc_of(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -1,31 +1,3 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components of an edge table, as the core has them."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import save
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, root for each node of edges (a long, b long) that is not its component's least node.
-
-    Each step joins an edge with its node's least neighbour, which is found by a
-    map-side aggregation, so the neighbours of a node are never gathered. Edges are
-    saved after each round. Null ends and loops are left out.
-    """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    e = save(e, "edges")
-    before = None
-    while True:
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        e = save(small.where("a <> b").distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
+from ..operators.graph import roots as components  # noqa: F401

@@ -15,8 +15,9 @@ the pairs that are found are verified by the Jaccard similarity of their shingle
 Defined cases: a null text counts as empty. Texts without words have fingerprint zero,
 which links like any other; in ``near_duplicates`` texts without words are never
 duplicates. Texts of fewer words than a shingle are one shingle. Rows that repeat link
-to each other; a null doc_id is linked by its text and never is a component's name
-unless all of its ids are null. Empty tables give empty results. Other columns are
+to each other. In ``components_within`` a null doc_id is linked by its text and never is a
+component's name unless all of its ids are null; ``near_duplicates`` names documents by their
+ids, so it leaves rows without one alone, and ``drop_near_duplicates`` keeps them. Empty tables give empty results. Other columns are
 ignored, or returned unchanged by ``drop_near_duplicates``.
 """
 
@@ -285,5 +286,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, te
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs without those that have a near duplicate of lesser doc_id in their component."""
-    gone = near_duplicates(docs, width, similarity, text, doc_id).select(F.col("doc_id").alias(doc_id))
-    return docs.join(gone, doc_id, "left_anti")
+    gone = near_duplicates(docs, width, similarity, text, doc_id).select(F.col("doc_id").alias("gone"))
+    return docs.join(gone, docs[doc_id] == gone["gone"], "left_anti")

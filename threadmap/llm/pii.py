@@ -17,6 +17,7 @@ Empty tables give empty results. Other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,6 +33,8 @@ CONTEXT_WORDS = 12
 GENERALISE, REMOVE = 0.75, 0.9
 #: Candidate terms up to which they are sent to all tasks (some 20 MB); more are counted by a shuffle.
 BROADCAST_TERMS = 200_000
+#: Disclosing terms, each with its entity, up to which they are sent to all tasks (some 30 MB); more are joined by a shuffle.
+BROADCAST_TOLD = 200_000
 #: Texts with copies up to which their hashes are sent to all tasks (some 30 MB); more are joined by a shuffle.
 BROADCAST_COPIES = 1_000_000
 
@@ -94,19 +97,36 @@ def term_of(word: str) -> str:
 def contexts(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[str, str, int, int]]:
     """entity, term, start, end: the terms around each mention that no base span covers."""
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    starts, ends = [w[0] for w in words], [w[1] for w in words]
+    taken: list[list[int]] = []  # what base spans cover, in order
+    for a, _, b, _ in spans:
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    taken_ends = [t[1] for t in taken]
+    terms: dict[int, tuple[str, int, int] | None] = {}
+
+    def term_at(i: int) -> tuple[str, int, int] | None:
+        p, q = words[i]
+        raw = text[p:q]
+        p += len(raw) - len(raw.lstrip(_EDGE))
+        q = p + len(raw.strip(_EDGE))
+        term = term_of(raw)
+        at = bisect_right(taken_ends, p)
+        covered = at < len(taken) and taken[at][0] < q
+        return (term, p, q) if any(map(str.isalnum, term)) and not covered else None
+
     out = []
     for a, kind, b, value in spans:
         entity = f"{KINDS[kind]}:{value}"
-        first = next((i for i, w in enumerate(words) if w[1] > a), len(words))
-        last = next((i for i in range(first, len(words)) if words[i][0] >= b), len(words))
-        near = [*words[max(0, first - CONTEXT_WORDS) : first], *words[last : last + CONTEXT_WORDS]]
-        for p, q in near:
-            raw = text[p:q]
-            left = len(raw) - len(raw.lstrip(_EDGE))
-            term = term_of(raw)
-            p, q = p + left, p + left + len(raw.strip(_EDGE))
-            if any(map(str.isalnum, term)) and not any(p < e and s < q for s, _, e, _ in spans):
-                out.append((entity, term, p, q))
+        first = bisect_right(ends, a)
+        last = bisect_left(starts, b, first)
+        for i in [*range(max(0, first - CONTEXT_WORDS), first), *range(last, min(len(words), last + CONTEXT_WORDS))]:
+            if i not in terms:
+                terms[i] = term_at(i)
+            if terms[i]:
+                out.append((entity, *terms[i]))
     return out
 
 
@@ -170,10 +190,64 @@ def disclosures(docs: DataFrame, rows: DataFrame, text: str = "text") -> DataFra
     return pairs.join(of_entity, "entity").join(of_term, "term").withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
 
 
-def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, row_hash, base and all: arrays of (start, kind, end[, share]) of each row in order; kind numbers KINDS."""
+def _everything(base, added: list[tuple[int, int, float]]) -> list[dict]:
+    """Base spans and terms (start, end, share) in order."""
+    own = [(x["start"], x["kind"], x["end"], 1.0) for x in base]
+    return [dict(zip(("start", "kind", "end", "share"), x)) for x in sorted([*own, *((a, 4, b, share) for a, b, share in added)])]
+
+
+def _replaced(text: str, found) -> str:
+    """The text with base spans replaced by their kind, terms generalised to [TERM] or removed."""
+    out, at = [], 0
+    for x in found:
+        if x["start"] < at:
+            continue
+        out.append(text[at : x["start"]])
+        out.append(f"[{KINDS[x['kind']].upper()}]" if x["kind"] < 4 or x["share"] < REMOVE else "")
+        at = x["end"]
+    return "".join([*out, text[at:]])
+
+
+_SPAN = "struct<start:int,kind:int,end:int>"
+_APPLIED = f"doc_id long, base array<{_SPAN}>, all array<{_SPAN[:-1]},share:double>>, text string"
+
+
+def sanitised(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, base, all, text of each row: base spans and all spans (start, kind, end[, share]) in order, kind numbering KINDS.
+
+    In the text base spans are replaced by their kind, and disclosing terms generalised to [TERM] or removed.
+    """
     rows = save(found(docs, text, doc_id), "pii-found")
     told = save(disclosures(docs, rows, text), "pii-disclosures")
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _hash(text).alias("row_hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if told.limit(BROADCAST_TOLD + 1).count() <= BROADCAST_TOLD:
+        shared = docs.sparkSession.sparkContext.broadcast({(r["entity"], r["term"]): r["share"] for r in told.collect()})
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            shares = shared.value
+            for frame in batches:
+                out = []
+                for t in frame["text"]:
+                    spans, best = base_spans(t), {}
+                    for entity, term, a, b in contexts(t, spans) if spans else ():
+                        share = shares.get((entity, term))
+                        if share is not None:
+                            best[a, b] = max(share, best.get((a, b), 0.0))
+                    base = [{"start": a, "kind": k, "end": b} for a, k, b, _ in spans]
+                    every = _everything(base, [(a, b, x) for (a, b), x in best.items()])
+                    out.append((base, every, _replaced(t, every)))
+                base, every, texts = zip(*out) if out else ((), (), ())
+                yield pd.DataFrame({"doc_id": frame["doc_id"], "base": base, "all": every, "text": texts})
+
+        return source.select("doc_id", "text").mapInPandas(run, _APPLIED)
+    own = spans_joined(rows, told).dropDuplicates(["doc_id", "row_hash"])
+    both = source.join(own.withColumnRenamed("doc_id", "d"), source["doc_id"].eqNullSafe(F.col("d")) & (source["row_hash"] == own["row_hash"]))
+    replaced = F.pandas_udf(lambda texts, every: pd.Series([_replaced(t, e) for t, e in zip(texts, every)]), "string")
+    return both.select("doc_id", "base", "all", replaced("text", "all").alias("text"))
+
+
+def spans_joined(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """doc_id, row_hash, base and all of each of the found rows, where the terms that were told are too many for one task."""
     places = rows.select("doc_id", "row_hash", F.explode("terms").alias("t")).select("doc_id", "row_hash", "t.entity", "t.term", "t.start", "t.end").distinct()
     added = places.join(told, ["entity", "term"]).groupBy("doc_id", "row_hash", "start", "end").agg(F.max("share").alias("share"))
     added = added.groupBy(F.col("doc_id").alias("d"), F.col("row_hash").alias("h")).agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "share")).alias("added"))
@@ -187,26 +261,3 @@ def listed(spans) -> F.Column:
     """kind:start:end, joined by commas."""
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
-
-
-def sanitised(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, text: base spans replaced by their kind, disclosing terms generalised to [TERM] or removed."""
-    own = spans(docs, text, doc_id).dropDuplicates(["doc_id", "row_hash"])
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _hash(text).alias("row_hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    both = source.join(own.withColumnRenamed("doc_id", "d"), source["doc_id"].eqNullSafe(F.col("d")) & (source["row_hash"] == own["row_hash"]), "left")
-
-    @F.pandas_udf("string")
-    def replaced(texts: pd.Series, found: pd.Series) -> pd.Series:
-        def one(t: str, every) -> str:
-            out, at = [], 0
-            for x in [] if every is None else every:
-                if x["start"] < at:
-                    continue
-                out.append(t[at : x["start"]])
-                out.append(f"[{KINDS[x['kind']].upper()}]" if x["kind"] < 4 or x["share"] < REMOVE else "")
-                at = x["end"]
-            return "".join([*out, t[at:]])
-
-        return pd.Series([one(t, s) for t, s in zip(texts, found)])
-
-    return both.select("doc_id", replaced("text", "all").alias("text"))

@@ -58,10 +58,10 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.spans(table(spark, sf_dir, "documents"))
+    found = pii.sanitised(table(spark, sf_dir, "documents"))
     of_kind = lambda i: F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long")
     counts = [of_kind(i).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS[:4])]
-    return found.select("doc_id", *counts, F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed("all").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed("all").alias("spans"), F.sha2(F.col("text").cast("binary"), 256).alias("sanitised_sha256"))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Toxicity scores over texts that a noisy-channel decoder has restored.
 
-Words that look disguised (digits or signs among letters, letters repeated, single
-letters in a row, separators between letters) become a lattice of readings. A Viterbi
-search picks the reading that is likeliest under a character trigram model and the costs
-of the channel. The trigrams are counted over all texts. Words and word beginnings of a
+Words that look disguised (digits or signs among letters, letters repeated, separators
+between letters) and runs of single letters become a lattice of readings; a space within a
+run may be one that was put in, or the end of a word. A Viterbi search picks the reading
+that is likeliest under a character trigram model and the costs of the channel. The trigrams
+are counted over all texts. Words and word beginnings of a
 bounded sample of labelled rows are evidence for the label; a document's score is a
 logistic function of the evidence of its distinct words, raw and restored. Labels, and no
 columns but the text, decide the score.
@@ -47,6 +48,8 @@ READINGS = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e",
 }
 SIGN_COST, DROP_COST, REPEAT_COST = 1.0, 0.5, 1.0
+#: Single letters in a row that are read as a run.
+LEAST_RUN = 3
 
 _BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Classes of characters: 0 for a word's edge, 1-26 a-z, 27-59 the letters 0xDF to 0xFF, 60 others.
@@ -108,6 +111,8 @@ class Decoder:
     def _steps(self, word: str, i: int) -> list[tuple[int, str, float]]:
         """The readings at a place: where each goes on, what it emits, what it costs."""
         c, run = word[i], 1
+        if c == " ":
+            return [(i + 1, "", 0.0), (i + 1, " ", 0.0)]
         while i + run < len(word) and word[i + run] == c:
             run += 1
         steps = [(i + 1, c, 0.0)] if c.isalnum() else [(i + 1, "", DROP_COST)]
@@ -119,7 +124,7 @@ class Decoder:
         return steps
 
     def restore(self, word: str) -> str:
-        """The likeliest reading of the word."""
+        """The likeliest reading of the word, or of a run of letters with a space between each two."""
         best: list[dict] = [{} for _ in range(len(word) + 1)]
         best[0][(0, 0)] = (0.0, None, "")
         for i in range(len(word)):
@@ -152,16 +157,16 @@ def disguised(word: str) -> bool:
 
 
 def spaced(words: list[bytes]) -> list[str]:
-    """Words that are written as four or more single letters in a row."""
-    if sum(map((1).__eq__, map(len, words))) < 4:
+    """Runs of single letters, with a space between each two."""
+    if sum(map((1).__eq__, map(len, words))) < LEAST_RUN:
         return []
     out, run = [], []
     for w in [*words, b"  "]:
         if len(w) == 1 and (w.isalnum() or w in b"@$!|+("):
             run.append(w.decode())
             continue
-        if len(run) >= 4:
-            out.append("".join(run))
+        if len(run) >= LEAST_RUN:
+            out.append(" ".join(run))
         run = []
     return out
 
@@ -208,11 +213,13 @@ class Scorer:
                 x = kept[w] = self.weight(w.decode("utf-8", "replace"))
             if x:
                 total += x
-        return total + sum(map(self.weight_of_reading, set(spaced(words))))
+        return total + sum(map(self.weight_of_run, set(spaced(words))))
 
-    def weight_of_reading(self, letters: str) -> float:
+    def weight_of_run(self, run: str) -> float:
+        """The evidence of a run's words: those of its likeliest reading, or all its letters as one."""
         get = self.model.lexicon.get
-        return max(get(f, 0.0) for form in {letters, self.decoder.restore(letters)} for f in features(form))
+        best = lambda w: max(get(f, 0.0) for f in features(w))
+        return max(sum(map(best, set(self.decoder.restore(run).split()))), best(run.replace(" ", "")))
 
     def score(self, text: str | None) -> float:
         z = self.model.bias + self.model.slope * min(self.evidence(text), 60.0)
@@ -226,7 +233,7 @@ def _distinct_words(text: str | None, decoder: Decoder) -> set[str]:
         out.add(w)
         if disguised(w):
             out.add(decoder.restore(w))
-    return out | {decoder.restore(x) for x in spaced(words)}
+    return out | {w for run in spaced(words) for w in decoder.restore(run).split()}
 
 
 def _lexicon(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
@@ -319,11 +326,17 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
         for part in texts:
             yield pd.Series([scorer.score(t) for t in part], dtype=float)
 
-    kept = docs.withColumn("__score", score(F.col(text))).where(F.col("__score") < THRESHOLD)
-    return kept.drop("__score")
+    return docs.where(score(F.col(text)) < THRESHOLD)
 
 
 def restored(texts: list[str], model: Model) -> list[str]:
-    """The texts with their disguised words restored."""
-    scorer = Scorer(model)
-    return [" ".join(scorer.decoder.restore(core(w)) if disguised(core(w)) else w for w in t.split()) for t in texts]
+    """The texts with their disguised words and runs of letters restored."""
+    decoder, out = Scorer(model).decoder, []
+    for t in texts:
+        words = t.split()
+        for run in spaced([w.encode() for w in words]):
+            letters = run.split(" ")
+            at = next(i for i in range(len(words)) if words[i : i + len(letters)] == letters)
+            words[at : at + len(letters)] = [decoder.restore(run)]
+        out.append(" ".join(decoder.restore(core(w)) if " " not in w and disguised(core(w)) else w for w in words))
+    return out
