@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +63,25 @@ def destandardized(points: DataFrame, of: DataFrame) -> DataFrame:
 
 
 def covariance(points: DataFrame, features: int | None = None) -> DataFrame:
-    """i, j, value: the population covariance, for i <= j, from one pass of map-side sums."""
+    """i, j, value: the population covariance, for i <= j, from one pass of sums that are combined on the map side.
+
+    Wide rows are summed as matrices about the mean, a batch at a time, and a task gives one term for each pair.
+    """
     d = features or width(points)
+    if d > SIDE_BY_SIDE:
+        mean = points.sparkSession.sparkContext.broadcast(np.array(moments(points, d).first()["mean"], float))
+
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            whole, n = np.zeros((d, d)), 0
+            for frame in batches:
+                for at in range(0, len(frame), 4096):
+                    x = np.array(frame["x"].iloc[at : at + 4096].tolist(), float) - mean.value
+                    whole, n = whole + x.T @ x, n + len(x)
+            i, j = np.triu_indices(d)
+            yield pd.DataFrame({"i": i, "j": j, "s": whole[i, j], "n": n}).astype({"n": "int64"})
+
+        every = points.select("x").mapInPandas(sums, "i int, j int, s double, n long")
+        return every.groupBy("i", "j").agg((F.sum("s") / F.sum("n")).alias("value"))
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     one = points.agg(*(F.covar_pop(F.get("x", F.lit(i)), F.get("x", F.lit(j))).alias(f"c{i}_{j}") for i, j in pairs))
     return one.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}_{j}").alias("value")) for i, j in pairs))).alias("c")).select("c.*")
@@ -71,8 +92,6 @@ def principal_axes(points: DataFrame, k: int = 2) -> tuple[list[float], list[lis
 
     A direction's largest coordinate is positive, so signs don't hang on the solver.
     """
-    import numpy as np
-
     d = width(points)
     matrix = np.zeros((d, d))
     for r in covariance(points, d).collect():
@@ -85,12 +104,26 @@ def principal_axes(points: DataFrame, k: int = 2) -> tuple[list[float], list[lis
     return mean, axes.tolist(), np.sqrt(np.maximum(values[order], 0)).tolist()
 
 
-def nearly_linear(points: DataFrame, tolerance: float = 0.12) -> bool:
+#: The second principal deviation over the first up to which a cloud counts as a line.
+LINEAR = 0.12
+
+
+def nearly_linear(points: DataFrame, tolerance: float = LINEAR) -> bool:
     """Whether the second principal deviation is at most the tolerance times the first."""
     _, axes, deviations = principal_axes(points, 2)
     return len(axes) < 2 or deviations[0] <= TINY or deviations[1] / deviations[0] <= tolerance
 
 
+def line_through(points: DataFrame, tolerance: float = LINEAR) -> tuple[list[float], list[float]] | None:
+    """The ends of the principal line's part that the rows stand by, if the cloud is nearly a line of some length."""
+    mean, axes, deviations = principal_axes(points, 2)
+    if deviations[0] <= TINY or (len(axes) > 1 and deviations[1] / deviations[0] > tolerance):
+        return None
+    along = dot(minus(F.col("x"), _literal(mean)), _literal(axes[0]))
+    low, high = points.agg(F.min(along), F.max(along)).first()
+    return tuple([m + t * a for m, a in zip(mean, axes[0])] for t in (low, high))
+
+
 def _literal(values: list[float]) -> Column:
     return F.array(*map(F.lit, values))
 

@@ -9,13 +9,14 @@ from ..functions.vectors import distance
 from ..sources.tables import save
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, component: the least node that edges (src, dst) reach, for each of nodes (node).
+def roots(edges: DataFrame) -> DataFrame:
+    """node, root for each node of edges (a, b) that is not its component's least node.
 
     Stars are contracted: every round joins edges with the least neighbour of a node, which
-    is aggregated on the map side, and saves the edges that are left.
+    is aggregated on the map side, so the neighbours of a node are never gathered, and saves
+    the edges that are left. Null ends and loops are left out.
     """
-    e = save(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a > b").distinct(), "edges")
+    e = save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
     seen = None
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -26,9 +27,14 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         e = save(e.where("a <> b").distinct(), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
-            break
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = now
-    return nodes.join(e.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, component: the least node that edges (src, dst) reach, for each of nodes (node)."""
+    found = roots(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
 def spanning_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:

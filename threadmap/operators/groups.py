@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +16,8 @@ from .neighbors import density_threshold, knn, kth_scale
 
 #: Centers that may be sent to all tasks as one row.
 MOST_CENTERS = 20_000
+#: Rows of a block when members of a group are compared.
+BLOCK_ROWS = 256
 
 
 def as_row(centers: DataFrame, key: str, vector: str) -> DataFrame:
@@ -55,18 +61,40 @@ def kmeans(points: DataFrame, k: int, rounds: int = 80, seed: int = 0) -> DataFr
     return points.sparkSession.createDataFrame(rows, "center int, c array<double>")
 
 
-def medoids(points: DataFrame, key: str, candidates: int | None = None) -> DataFrame:
+def medoids(points: DataFrame, key: str, candidates: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """key, row_id, cost, n: the member of each group of least summed distance to all members, ties to the least id.
 
-    With candidates only so many members, those of least hash, are weighed against all members,
-    which bounds the work of a group by its size; without, members meet in an equi-join on the key.
+    Equal rows of a group are weighed as one, by their number. Distinct rows are cut into blocks of a
+    bounded number, and blocks of one group are compared with each other a pair of blocks at a time, so
+    no task holds a group. With candidates only so many members, those of least hash, are weighed
+    against all members, which bounds the work of a group by its size.
     """
+    distinct = points.groupBy(key, "x").agg(F.min("row_id").alias("row_id"), F.count("*").alias("times"))
     if candidates is None:
-        other = points.select(key, F.col("x").alias("y"))
-        costs = points.join(other, key).groupBy(key, "row_id").agg(F.sum(distance(F.col("x"), F.col("y"))).alias("cost"), F.count("*").alias("n"))
+        held = save(distinct, "medoid-rows")
+        parts = held.groupBy(key).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
+        cut = held.join(parts, key).withColumn("part", F.pmod(F.xxhash64("row_id"), F.col("parts")))
+        packed = cut.groupBy(key, "part").agg(F.collect_list("row_id").alias("ids"), F.collect_list("x").alias("xs"), F.collect_list("times").alias("ts"))
+        packed = save(packed.withColumn("block", F.monotonically_increasing_id()), "medoid-blocks")
+        names = packed.select(key, "block")
+        met = names.select(key, F.col("block").alias("q")).join(names.select(key, F.col("block").alias("p")), key).select("q", "p")
+        left = packed.select(F.col("block").alias("q"), key, F.col("ids").alias("q_ids"), F.col("xs").alias("q_xs"))
+        both = met.join(left, "q").join(packed.select(F.col("block").alias("p"), "xs", "ts"), "p").select(key, "q_ids", "q_xs", "xs", "ts")
+        kind = points.schema[key].dataType.simpleString()
+
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in batches:
+                for k, ids, a, b, times in zip(frame[key], frame["q_ids"], frame["q_xs"], frame["xs"], frame["ts"]):
+                    a, b, times = (np.array([np.asarray(v, float) for v in x]) for x in (a, b, times))
+                    d2 = np.zeros((len(a), len(b)))
+                    for j in range(a.shape[1]):
+                        d2 += (a[:, j][:, None] - b[:, j][None]) ** 2
+                    yield pd.DataFrame({key: [k] * len(a), "row_id": np.asarray(ids), "cost": np.sqrt(d2) @ times, "n": np.full(len(a), int(times.sum()))})
+
+        costs = both.mapInPandas(sums, f"{key} {kind}, row_id long, cost double, n long").groupBy(key, "row_id").agg(F.sum("cost").alias("cost"), F.sum("n").alias("n"))
     else:
         order = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("row_id"), "row_id"))
-        few = points.withColumn("o", order).where(F.col("o") <= candidates).groupBy(key).agg(F.collect_list(F.struct("row_id", F.col("x").alias("y"))).alias("few"))
+        few = distinct.withColumn("o", order).where(F.col("o") <= candidates).groupBy(key).agg(F.collect_list(F.struct("row_id", F.col("x").alias("y"))).alias("few"))
         costs = points.join(few, key).select(key, F.explode(F.transform("few", lambda s: F.struct(s["row_id"].alias("row_id"), distance(F.col("x"), s["y"]).alias("d")))).alias("s"))
         costs = costs.groupBy(key, F.col("s.row_id").alias("row_id")).agg(F.sum("s.d").alias("cost"), F.count("*").alias("n"))
     best = costs.groupBy(key).agg(F.min(F.struct(F.round("cost", 9).alias("cost"), "row_id")).alias("b"), F.max("n").alias("n"))
@@ -99,11 +127,11 @@ def greedy_cover(rows: DataFrame, links: DataFrame) -> DataFrame:
     return done if done is not None else rows.select("row_id", F.col("row_id").alias("seed"))
 
 
-def hierarchy(points: DataFrame, target: int = 1000, k: int = 8, quantile: float = 0.5, least_reduction: float = 0.05, candidates: int = 64) -> tuple[DataFrame, DataFrame]:
+def hierarchy(points: DataFrame, target: int = 1000, k: int = 8, quantile: float = 0.5, least_reduction: float = 0.05, candidates: int | None = None) -> tuple[DataFrame, DataFrame]:
     """levels (level, rep, x) and ancestry (level, row_id, rep): ever fewer representatives, each a row of the cloud.
 
     A level's rows that are near each other at their local scale are grouped, and a group's medoid
-    stands for it on the next level. It ends at the target, or where a level shrinks too little.
+    stands for it on the next level; with candidates it is weighed among so many members only. It ends at the target, or where a level shrinks too little.
     """
     now = save(points.select("row_id", "x"), "level")
     n, level = now.count(), 0

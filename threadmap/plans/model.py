@@ -1,9 +1,9 @@
 """Fitting routes to a cloud, from rows to a table of segments, and applying them.
 
-The cloud is compressed to representatives by a hierarchy of grouped rows or by k-means; the
-representatives' mutual neighbours and spanning forest are the network; its chains between
-rows of degree other than two are the routes. The plan is made of Spark jobs throughout; what
-is collected is a row per chain end at most, never rows of the cloud.
+The cloud is compressed to landmarks by k-means. Every row joins its two nearest landmarks; the
+pairs that enough rows join are the network, and its chains between landmarks of degree other
+than two, and its loops, are the routes. All that touches rows is Spark jobs; the network, which
+the number of landmarks bounds, is made in one task.
 """
 
 from __future__ import annotations
@@ -13,13 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import distance
-from ..operators import graph
-from ..operators.cloud import check, moments, standardized
+from ..operators.cloud import check, line_through, moments, standardized
 from ..operators.groups import kmeans
-from ..operators.neighbors import degrees
 from ..operators.routes import decomposed, project, project_batches, segments
 from ..sources.tables import save
+from .network import joined, routes_of
 
 
 @dataclass
@@ -49,52 +47,24 @@ class RouteModel:
         return RouteModel(*(spark.read.parquet(f"{path}/{name}") for name in ("moments", "segments", "nodes", "edges")))
 
 
-def chains(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """route_id, at, node: maximal chains of the forest edges, between nodes whose degree isn't two.
+def fit(points: DataFrame, landmarks: int = 16, seed: int = 0, validate: bool = True) -> RouteModel:
+    """Routes through the network of k-means landmarks of the standardised cloud; loops are closed routes.
 
-    Inner nodes of a chain are one component of the subgraph of degree-two nodes. The place in
-    a chain is the number of steps from its lesser end, found by joins along the chain.
+    A cloud that is nearly a line is one straight route.
     """
-    d = degrees(edges)
-    inner = d.where("degree = 2").select(F.col("row_id").alias("node"))
-    between = edges.join(inner.select(F.col("node").alias("src")), "src", "left_semi").join(inner.select(F.col("node").alias("dst")), "dst", "left_semi")
-    owner = save(graph.components(inner, between), "chain-owner")
-    a = owner.select(F.col("node").alias("src"), F.col("component").alias("ca"))
-    b = owner.select(F.col("node").alias("dst"), F.col("component").alias("cb"))
-    # An edge belongs to the chain of its inner end; an edge between two ends is a chain of its own.
-    owned = edges.join(a, "src", "left").join(b, "dst", "left").withColumn("chain", F.coalesce("ca", "cb"))
-    key = F.when(F.col("chain").isNotNull(), F.struct(F.lit(1).alias("k"), F.col("chain").alias("p"), F.lit(0).cast("long").alias("q"))).otherwise(
-        F.struct(F.lit(0).alias("k"), F.col("src").alias("p"), F.col("dst").alias("q"))
-    )
-    keyed = save(owned.select(key.alias("key"), "src", "dst"), "chain-edges")
-    both = keyed.select("key", F.col("src").alias("u"), F.col("dst").alias("v")).union(keyed.select("key", F.col("dst").alias("u"), F.col("src").alias("v")))
-    both = save(both, "chain-steps")
-    ends = both.groupBy("key", "u").agg(F.count("*").alias("n")).where("n = 1").groupBy("key").agg(F.min("u").alias("u"))
-    front = save(ends.select("key", "u", F.lit(None).cast("long").alias("back"), F.lit(0).alias("at")), "chain-front")
-    found = front
-    while True:
-        step = front.join(both, ["key", "u"]).where(F.col("back").isNull() | (F.col("v") != F.col("back")))
-        front = save(step.select("key", F.col("v").alias("u"), F.col("u").alias("back"), (F.col("at") + 1).alias("at")), "chain-front")
-        if front.isEmpty():
-            break
-        found = found.union(front)
-    names = found.select("key").distinct()
-    from pyspark.sql import Window
-
-    names = names.withColumn("route_id", F.row_number().over(Window.orderBy("key")) - 1)  # a row for each chain
-    return found.join(names, "key").select("route_id", "at", F.col("u").alias("node"))
-
-
-def fit(points: DataFrame, landmarks: int = 16, seed: int = 0, validate: bool = True) -> RouteModel:
-    """Routes through the spanning tree of k-means landmarks of the standardised cloud."""
     if validate:
         check(points)
     units = save(moments(points), "moments")
     scaled = standardized(points, units)
+    ends = line_through(points)
+    if ends:
+        listed = points.sparkSession.createDataFrame([(i, c) for i, c in enumerate(ends)], "node long, x array<double>")
+        nodes = save(standardized(listed, units).select("node", F.col("x").alias("c")), "landmarks")
+        straight = segments(nodes.select(F.lit(0).alias("route_id"), F.col("node").cast("int").alias("at"), "c"))
+        edges = straight.select(F.lit(0).cast("long").alias("src"), F.lit(1).cast("long").alias("dst"), "length")
+        return RouteModel(units, save(straight, "segments"), nodes, save(edges, "network"))
     nodes = save(kmeans(scaled.select("row_id", "x"), landmarks, seed=seed).select(F.col("center").cast("long").alias("node"), "c"), "landmarks")
-    a = nodes.select(F.col("node").alias("src"), F.col("c").alias("ca"))
-    b = nodes.select(F.col("node").alias("dst"), F.col("c").alias("cb"))
-    every = a.join(F.broadcast(b), F.col("src") < F.col("dst")).select("src", "dst", distance(F.col("ca"), F.col("cb")).alias("length"))  # landmarks only
-    edges = graph.spanning_forest(nodes, save(every, "landmark-pairs"))
-    vertices = chains(nodes, edges).join(nodes, "node").select("route_id", "at", "c")
-    return RouteModel(units, save(segments(vertices), "segments"), nodes, edges)
+    edges, vertices = routes_of(save(joined(scaled, nodes), "joined"))
+    placed = save(vertices.join(F.broadcast(nodes), "node"), "vertices")
+    open_, closed = placed.where("NOT closed").select("route_id", "at", "c"), placed.where("closed").select("route_id", "at", "c")
+    return RouteModel(units, save(segments(open_).unionByName(segments(closed, closed=True)), "segments"), nodes, save(edges, "network"))

@@ -612,8 +612,6 @@ def generated_star(spark, sf_dir):
 @query("streamed_projection", ORACLE_SQL["q20b_project_batches"])
 def streamed_projection(spark, sf_dir):
     """The projection as a stream of the table's file, once, into a table of the shared folder."""
-    import uuid
-
     from .sources.tables import shared_path
     from .streaming.apply import projected
 
@@ -622,7 +620,7 @@ def streamed_projection(spark, sf_dir):
     segs = save(label_route(cl.standardized(static, units)), "label-route")
     stream = spark.readStream.schema(table(spark, sf_dir, "embeddings").schema).option("pathGlobFilter", "embeddings*.parquet").parquet(sf_dir)
     placed = projected(cl.standardized(cloud(stream, "vec_id", "embedding"), units), segs)
-    out = shared_path(spark, f"stream-{uuid.uuid4().hex}")
+    out = shared_path(spark, "stream")
     running = placed.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.schema(placed.schema).parquet(f"{out}/rows").select("row_id", "route_id", "seg", _r("alpha"), _r("position"), _r("d2"))

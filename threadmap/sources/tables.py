@@ -19,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path in the folder that spark.checkpoint.dir names, which driver and executors share.
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder in the one that spark.checkpoint.dir names, which driver and executors share.
 
     Where the setting is missing a temporary folder is used, on a local master only.
     """
@@ -32,16 +32,27 @@ def shared_path(spark: SparkSession, name: str) -> str:
         if sc.applicationId not in _own:
             _own[sc.applicationId] = tempfile.mkdtemp(prefix="threadmap-")
         base = _own[sc.applicationId]
-    return f"{base.rstrip('/')}/threadmap/{name}"
+    return f"{base.rstrip('/')}/threadmap/{sc.applicationId}"
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path for one saved table or set of files."""
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there."""
-    path = shared_path(df.sparkSession, f"{tag}-{uuid.uuid4().hex}")
+    path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_saved(spark: SparkSession) -> None:
+    """Deletes all that this application saved. For when its results are written: frames that still read it fail after this."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cloud(df: DataFrame, row_id: str, features: list[str] | str, carry: tuple[str, ...] = ()) -> DataFrame:
     """row_id, x and the carried columns. features: an array column, or numeric columns in order."""
     x = F.col(features).cast("array<double>") if isinstance(features, str) else F.array(*(F.col(c).cast("double") for c in features))
