@@ -216,28 +216,6 @@ def test_earlier_hits_are_all_of_other_labels():
     assert len(got) == len(set(got)) and set(got) == want
 
 
-@pytest.mark.parametrize("edits, least", [(2, 0.8), (5, 0.8)])
-def test_near_duplicates_lose_no_pair_of_edited_copies(spark, edits, least):
-    """Clusters of copies with edits here and there, whose similarities lie about the threshold; compared with all pairs."""
-    rng = np.random.default_rng(edits)
-    texts = []
-    for c in range(30):
-        base = prose(500 + c, 120, 3000).split()
-        for _ in range(8):
-            words = list(base)
-            for at in rng.integers(0, 120, edits):
-                words[at] = f"e{rng.integers(0, 10**6)}"
-            texts.append(" ".join(words))
-    sets = [set(near_dedup.shingle_hashes(near_dedup.words_of(t), 5).tolist()) for t in texts]
-    label = np.arange(len(texts))
-    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9]
-    for _ in range(20):
-        for i, j in pairs:
-            label[i] = label[j] = min(label[i], label[j])
-    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
-    assert len(pairs) > 300 and [got.get(i, i) for i in range(len(texts))] == label.tolist()
-
-
 # ---- decontamination ---------------------------------------------------------------------
 
 
