@@ -25,7 +25,8 @@ def rows(frame):
 
 
 FAST = ["q01_validate_cloud", "q02_feature_moments", "q04_constant_feature", "q07_knn_mutual", "q15_medoids", "q16_duplicate_groups", "q17_ancestry_compose", "q20_project_polyline",
-        "q20b_project_batches", "q29_support_mean", "q33_target_kind", "q35_log_scaled", "q36_variable_genes", "q37_angular_sectors", "q38_octilinear_bin", "q43_spearman", "streamed_projection"]
+        "q20b_project_batches", "q29_support_mean", "q33_target_kind", "q35_log_scaled", "q36_variable_genes", "q37_angular_sectors", "q38_octilinear_bin", "q43_spearman", "streamed_projection",
+        "q45_windowed_events", "q48_grid_lookup", "q49_sliding_windows", "q53_composed_ancestry", "q55_corridor", "q56_location_dispersion", "q60_residual_coordinates", "q63_bridges"]
 
 
 @pytest.mark.parametrize("name", FAST)
@@ -48,3 +49,20 @@ def test_windowed_stream(spark, tmp_path):
     running = stream.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     running.awaitTermination()
     assert spark.table("windows").groupBy().sum("n").first()[0] == 1000
+
+
+def test_rows_later_than_the_watermark_are_left_out(spark, tmp_path):
+    import time
+
+    from threadmap.streaming import apply
+
+    schema = "ts timestamp_ntz, event_type string, value double"
+    for i, rows in enumerate([[("2024-01-01 10:00", "a", 1.0), ("2024-01-01 12:00", "a", 1.0)], [("2024-01-01 12:05", "a", 1.0)], [("2024-01-01 10:05", "a", 1.0), ("2024-01-01 12:10", "a", 1.0)]]):
+        frame = spark.createDataFrame(rows, "t string, event_type string, value double").selectExpr("CAST(t AS timestamp_ntz) AS ts", "event_type", "value")
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    windows = apply.windowed_values(stream, "ts", "event_type", "value")
+    windows.writeStream.format("memory").queryName("late").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    got = {r["start"]: r["n"] for r in spark.sql("SELECT date_format(start, 'HH:mm') AS start, max(n) AS n FROM late GROUP BY 1").collect()}
+    assert got == {"10:00": 1, "12:00": 3}

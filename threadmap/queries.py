@@ -568,6 +568,30 @@ def terminal_chains(spark, sf_dir):
     return graph.terminal_chains(tree, nb.degrees(tree), tree.agg(F.avg("length")).first()[0]).select("src", "dst", _r("length"))
 
 
+_PLANE = _PARTS + """, m AS (SELECT avg(x) AS mx, avg(y) AS my, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS angle FROM e),
+       o AS (SELECT mx, my, cos(angle) AS c, sin(angle) AS s, CASE WHEN abs(cos(angle)) >= abs(sin(angle)) THEN sign(cos(angle)) ELSE sign(sin(angle)) END AS f, CASE WHEN abs(sin(angle)) >= abs(cos(angle)) THEN sign(-sin(angle)) ELSE sign(cos(angle)) END AS g FROM m),
+       k AS (SELECT row_id, mx, my, c, s, ((x - mx) * c + (y - my) * s) AS along, ((y - my) * c - (x - mx) * s) AS across, f, g FROM e, o)"""
+
+
+@query("q65_principal_coordinates", "WITH " + _PLANE + " SELECT row_id, round(along * f, 5) AS first, round(across * g, 5) AS second FROM k")
+def principal_coordinates(spark, sf_dir):
+    x = F.col("x")
+    return cl.projected_to_axes(parts(spark, sf_dir), 2).select("row_id", F.round(x[0], 5).alias("first"), F.round(x[1], 5).alias("second"))
+
+
+@query("q66_principal_line", "WITH " + _PLANE + " SELECT row_id, round(mx + along * c, 5) AS first, round(my + along * s, 5) AS second FROM k")
+def principal_line(spark, sf_dir):
+    x = F.col("x")
+    return cl.projected_to_line(parts(spark, sf_dir)).select("row_id", F.round(x[0], 5).alias("first"), F.round(x[1], 5).alias("second"))
+
+
+@query("q67_units_round_trip", "WITH " + _PARTS + " SELECT row_id, round(x, 6) AS first, round(y, 6) AS second FROM e")
+def units_round_trip(spark, sf_dir):
+    points, x = parts(spark, sf_dir), F.col("x")
+    units = save(cl.moments(points), "moments")
+    return cl.destandardized(cl.standardized(points, units), units).select("row_id", F.round(x[0], 6).alias("first"), F.round(x[1], 6).alias("second"))
+
+
 @query("hierarchy_invariants", "SELECT count(*) AS n, count(*) AS least_covered, count(*) AS most_covered, true AS of_cloud, true AS shrinks, true AS nested FROM embeddings")
 def hierarchy_invariants(spark, sf_dir):
     """Each level's representatives stand for every row once, are rows, are fewer than before, and are among those before."""
