@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from urllib.parse import urlparse
 
-from pyspark.sql import Column, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import save, table  # noqa: F401
@@ -43,3 +46,35 @@ def partitions(spark: SparkSession) -> int:
 #: crc32 of doc_id as decimal text, as in the contracts.
 def crc_of(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+#: Keys with over one in so many rows go to all tasks when they are joined; there can't be more of them.
+HOT_KEYS = 1000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], count: str) -> DataFrame:
+    """rows and what keyed has for their key; keyed has each key once, and in count how many of the rows have it.
+
+    Null keys are equal. Both are read twice, so they should be saved. Keys that hold over one in HOT_KEYS
+    of the rows are broadcast; all others meet by shuffle.
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    named = keyed.select(*(F.col(c).alias(f"_{c}") for c in on), *(c for c in keyed.columns if c not in on))
+    hot = F.col(count) * HOT_KEYS > total
+    same = lambda: functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on))
+    drop = [f"_{c}" for c in on]
+    many = rows.join(F.broadcast(named.where(hot)), same())
+    few = rows.join(F.broadcast(named.where(hot).select(*drop)), same(), "left_anti").join(named.where(~hot), same())
+    return many.unionByName(few).drop(*drop)
+
+
+def finite_vectors(rows: DataFrame, vector: str) -> DataFrame:
+    """The rows whose vector is there, has a component at least, and holds nothing null, NaN or infinite."""
+    odd = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    return rows.where(F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.coalesce(F.exists(F.col(vector), odd), F.lit(True)))
+
+
+def matrix(column) -> np.ndarray:
+    """The rows of an Arrow column of lists of one length."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)

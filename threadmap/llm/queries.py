@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, lm_score, near_dedup, pii, token_files, toxicity, warc
+from . import bpe, chat, decontaminate, exact_dedup, lm_score, near_dedup, ngram_join, pii, token_files, toxicity, vector_codes, warc, whitening
 from .common import LOWER, UPPER, table
 
 
@@ -68,6 +68,18 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components_within(table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_attention_lm_score": op1_attention_lm_score,
     "op2_repair_token_files": op2_repair_token_files,
@@ -79,11 +91,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_warc": op9_warc,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_ngram_join": op12_ngram_join,
+    "op13_whitening": op13_whitening,
 }
 
+
+def _codes_sql(parts: int, entries: int, rounds: int, scale: int) -> str:
+    """Every round in full: all parts against all entries, then floored means."""
+    sql = f"""WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor({scale} * CAST(v AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+        q AS (SELECT *, row_number() OVER (ORDER BY vec_id, x) AS r FROM k), p AS MATERIALIZED (SELECT r, vec_id, label, part, x[len(x) // {parts} * part + 1 : len(x) // {parts} * (part + 1)] AS v FROM q, range({parts}) AS t(part)),
+        b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY r) - 1 AS e, v AS c FROM p QUALIFY e < {entries})"""
+    for i in range(rounds + 1):
+        sql += f""", a{i} AS MATERIALIZED (SELECT r, vec_id, label, p.part, v, e, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN b{i} USING (part) QUALIFY row_number() OVER (PARTITION BY r, p.part ORDER BY d, e) = 1)"""
+        if i < rounds:
+            sql += f""", u{i} AS (SELECT part, e, unnest(v) AS s, generate_subscripts(v, 1) AS j FROM a{i}), m{i} AS (SELECT part, e, j, CAST(sum(s) AS BIGINT) AS s, count(*) AS n FROM u{i} GROUP BY ALL),
+            f{i} AS (SELECT part, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM m{i} GROUP BY part, e), b{i + 1} AS MATERIALIZED (SELECT part, e, coalesce(f.c, b.c) AS c FROM b{i} b LEFT JOIN f{i} f USING (part, e))"""
+    return sql + f""", g AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{rounds}),
+        o AS (SELECT r, vec_id, label, string_agg(lower(printf('%02x', e)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY ALL)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM o, g"""
+
+
 _ESCAPE = "replace(replace(replace({0}, '\\', '\\\\'), '#', '\\#'), '</turn>', '\\</turn>')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_vector_codes": _codes_sql(vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS, vector_codes.SCALE),
     "op3_chat_prefix_tree": f"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
