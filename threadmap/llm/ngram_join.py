@@ -23,7 +23,7 @@ Defined cases: a null text counts as empty. A text without words has no n-gram,
 its own component. A text of fewer words than an n-gram is one n-gram. Equal texts, and texts of equal sets,
 link. Rows that repeat a doc_id count as rows of their own; a null doc_id links by its
 text and names a component only if all its ids are null. An empty table gives no rows. Other columns
-are ignored. Long texts are taken whole; a batch is cut into slices of about 8 MB of text.
+are ignored. Long texts are taken whole; a batch is cut into slices of about 2 MB of text.
 """
 
 from __future__ import annotations
@@ -53,6 +53,8 @@ BLOCK = 1024
 BITS = 1024
 #: Texts whose sets are asked for are found by a broadcast of so many ids at most, and else by shuffle.
 MOST_BROADCAST = 500_000
+#: Bytes of text whose words are hashed at once.
+SLICE_BYTES = 1 << 21
 _BLOCK_CELLS = 4096
 _U = np.uint64
 
@@ -79,7 +81,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
     """For each text its distinct n-grams as sorted 64-bit hashes."""
     multiply = np.random.default_rng(12).integers(1, 1 << 63, width + 1, dtype=np.uint64) * _U(2) + _U(1)
-    for start, stop in words.slices(column):
+    for start, stop in words.slices(column, SLICE_BYTES):
         flat, counts = words.split_at_white_space(lowered(column.slice(start, stop - start)))
         number, found = words.distinct(flat)
         hashed = np.array([xxhash.xxh64_intdigest(w.as_buffer()) for w in found], np.uint64)[number] if len(found) else np.zeros(0, np.uint64)
@@ -95,6 +97,8 @@ def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
                 yield _mixed((hashed[a:b] * multiply[: b - a]).sum(keepdims=True, dtype=np.uint64) + multiply[width:] * _U(b - a))
             else:
                 yield np.zeros(0, np.uint64)
+        del flat, counts, number, found, hashed, runs
+        pa.default_memory_pool().release_unused()
 
 
 @dataclass
