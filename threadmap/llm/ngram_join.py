@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, words
-from .common import join_counted, partitions, save
+from .common import HOT_KEYS, join_counted, partitions, save
 
 WIDTH, PERCENT = 4, 85
 #: Cells in which n-grams are counted, and classes of counts for each doubling.
@@ -113,6 +113,10 @@ class Order:
         of = self.classes[(hashes & _U(len(self.classes) - 1)).astype(np.int64)].astype(np.uint64)
         return np.sort(of << _U(56) | hashes >> _U(8))
 
+    def class_above(self, count: float) -> int:
+        """The least class whose n-grams may be in more texts than that."""
+        return min(256, int(np.floor(CLASSES * np.log2(max(count, 1)))) + 1)
+
     def fragments(self, keys: np.ndarray) -> list[np.ndarray]:
         return np.split(keys, np.searchsorted(keys, self.pivots[1:]))
 
@@ -183,11 +187,46 @@ def distinct_sets(rows: DataFrame) -> DataFrame:
     return save(of.withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
 
 
-def meetings(sets: DataFrame) -> DataFrame:
-    """key, node, n, at, size: where a set has an n-gram of another one's first ones among its own; size is how many do. Saved."""
-    first = sets.select("node", "n", F.posexplode("prefix").alias("at", "key"))
-    sizes = first.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    return save(first.join(sizes, "key").select("key", "node", "n", "at", "size"), "meetings")
+def meetings(sets: DataFrame, order: Order) -> DataFrame:
+    """key, node, n, at, size: where a set has an n-gram of another one's first ones among its own; size is how many do. Saved.
+
+    N-grams that so many sets may have that one task shouldn't get them all, by the counts of the order, are counted first
+    and joined to their counts; all others, whose groups are bounded by that, are dealt once and counted as they stand in order.
+    """
+    spark = sets.sparkSession
+    first = sets.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "key"))
+    hot = F.shiftrightunsigned("key", 56) >= order.class_above(sets.count() / HOT_KEYS)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+
+        def counted(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            key = rows.column("key").to_numpy()
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sizes = np.diff(np.r_[starts, len(key)])
+            size = np.repeat(sizes, sizes)
+            some = size > 1
+            if some.any():
+                yield from rows.append_column("size", pa.array(size)).filter(pa.array(some)).combine_chunks().to_batches()
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if kept is None else pa.concat_tables([kept, rows])
+            key = rows.column("key").to_numpy()
+            if len(key):
+                cut = len(key) - int(np.argmax(key[::-1] != key[-1])) if key[0] != key[-1] else 0
+                kept = rows.slice(cut)
+                if cut:
+                    yield from counted(rows.slice(0, cut))
+        if kept is not None and len(kept):
+            yield from counted(kept)
+
+    dealt = first.where(~hot).select("key", "node", "n", "at").repartition(partitions(spark), "key").sortWithinPartitions("key")
+    cold = dealt.mapInArrow(shared, "key long, node long, n int, at int, size long")
+    many = first.where(hot)
+    sizes = many.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = cold.unionByName(many.join(sizes, "key").select("key", "node", "n", "at", "size"))
+    return save(met.withColumn("n", F.col("n").cast("long")), "meetings")
 
 
 def _within(n, m, percent: int):
@@ -221,17 +260,20 @@ def star_pairs(open_: DataFrame, seed: int, percent: int = PERCENT) -> DataFrame
 def cell_pairs(open_: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a < b, na, nb: pairs of groups' members (key, node, n, at, root) of different components that length, place and bitmap leave.
 
-    A group is cut into blocks of about BLOCK sets, and two blocks meet in one cell.
+    A group is cut into blocks of about BLOCK sets, and two blocks meet in one cell. A pair that meets in several
+    groups is compared in that of the first n-gram it shares.
     """
     sizes = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = open_.join(sizes, "key").join(sets.select("node", "bitmap"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "node", "n", "at", "root", "bitmap")
+    own = open_.join(sizes, "key").join(sets.select("node", "bitmap", "prefix"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "node", "n", "at", "root", "bitmap", "prefix")
     spark = open_.sparkSession
     dealt = cells.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "node")
 
     def pairs_of(cell: pa.Table) -> Iterator[pa.RecordBatch]:
-        i, block, node, n, at, root = (cell.column(c).to_numpy() for c in ("i", "block", "node", "n", "at", "root"))
+        i, block, node, n, at, root = (cell.column(c).to_numpy().astype(np.int64) for c in ("i", "block", "node", "n", "at", "root"))
         bits = np.frombuffer(b"".join(cell.column("bitmap").to_pylist()), np.uint64).reshape(len(node), -1)
+        prefix = cell.column("prefix").combine_chunks()
+        ends, flat = prefix.offsets.to_numpy(), prefix.values.to_numpy()
         half = int((block == i).sum())
         alone = bool((cell.column("j").to_numpy() == i).all())
         for x in range(half):
@@ -242,6 +284,9 @@ def cell_pairs(open_: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Dat
             if len(y):  # sets differ in as many n-grams as their bitmaps in bits, at least
                 apart = np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64)
                 y = y[(n[y] + n[x] - apart) * (100 + percent) >= 2 * percent * (n[y] + n[x])]
+            if len(y) and at[x]:
+                before = flat[ends[x] : ends[x] + at[x]]
+                y = y[[not at[v] or not np.isin(before, flat[ends[v] : ends[v] + at[v]]).any() for v in y]]
             if len(y):
                 low = node[y] < node[x]
                 yield pa.record_batch([pa.array(np.minimum(node[y], node[x])), pa.array(np.maximum(node[y], node[x])), pa.array(np.where(low, n[y], n[x])), pa.array(np.where(low, n[x], n[y]))], ["a", "b", "na", "nb"])
@@ -343,7 +388,7 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, cells: i
     order = order_of(docs, width, cells, text=text)
     rows = set_rows(docs, order, width, percent, text, doc_id)
     sets = distinct_sets(rows)
-    met = meetings(sets)
+    met = meetings(sets, order)
     segments = Segments(docs, sets, order, width, text, doc_id)
     found: DataFrame | None = None
 

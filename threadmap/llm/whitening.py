@@ -14,7 +14,7 @@ dropped; repeated rows count each; a null id is returned as null. Components wit
 variance (below LEAST_SHARE of the largest eigenvalue) are null in ``whitened`` and
 are left out of ``identity_error``. With fewer dimensions than components asked for there are as many
 as dimensions. An empty table gives no rows. Vectors of different widths and whole numbers of
-LARGEST or more raise ValueError. Other columns are ignored.
+LARGEST or more raise an error. Other columns are ignored.
 """
 
 from __future__ import annotations
