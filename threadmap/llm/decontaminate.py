@@ -8,8 +8,8 @@ exceeds that. Where a document has an anchor of an item, all places of the item'
 it are found, and windows are laid at every place where enough of them stand, in whatever
 order they do. Each window gets a SimHash of its shingles. Windows meet an item in a
 multi-index of fingerprint blocks: with one more block than the radius, fingerprints within
-the radius agree in one block. What is within the radius is verified on the shingles
-themselves.
+the radius agree in one block. What is within the radius is verified by the weights of the
+shingles that both have, which are held as 64-bit hashes.
 
 All work is DataFrame operations. Anchors, the shingles of items and the keys of documents
 with anchors are broadcast only where their number is checked to be small; else they are
@@ -34,9 +34,9 @@ from .common import SPACE_CLASS, ascii_lower, save
 
 WIDTH = 5
 SIMILARITY = 0.8
-#: Differing bits up to which a window is verified. At a similarity of 0.8 the expected
-#: distance is 9.7 bits with a standard deviation of 2.9, so this is five of them more.
-RADIUS = 24
+#: Differing bits up to which a window is verified. Bits differ one as another, with a chance that is largest
+#: where a text lacks one of an item's five shingles: 0.1875. Then over 40 of 64 differ with a chance of 2e-15.
+RADIUS = 40
 #: Anchors, shingles of items, and keys of documents up to which each of these is broadcast: some 50 bytes each.
 BROADCAST_ROWS = 200_000
 KEY = ["doc_id", "row_hash", "item_id", "start"]
@@ -143,19 +143,20 @@ def contaminations(
     where = texts.select(F.col("doc_id").alias("d"), F.col("row_hash").alias("r"), "w")
     placed = laid.join(where, laid["doc_id"].eqNullSafe(where["d"]) & (laid["row_hash"] == where["r"]))
     windows = placed.withColumn("start", F.explode("starts")).select(*KEY, "n", "k", F.slice("w", F.col("start") + 1, F.col("n")).alias("window"))
-    windows = save(windows.select(*KEY, "n", _shingles(F.col("window"), F.col("k")).alias("shingles")), "windows")
-    hashed = F.transform("shingles", lambda s: F.xxhash64(s))
-    own = _fingerprints(windows.withColumn("hs", hashed), [*KEY, "n"], "hs")
-    of_items = _fingerprints(items.withColumn("hs", hashed), ["item_id", "n"], "hs").withColumnRenamed("fp", "item_fp")
+    hashed = F.transform(_shingles(F.col("window"), F.col("k")), lambda s: F.xxhash64(s))
+    windows = save(windows.select(*KEY, "n", hashed.alias("hs")), "windows")
+    own = _fingerprints(windows, [*KEY, "n"], "hs")
+    of_items = _fingerprints(items.withColumn("hs", F.transform("shingles", lambda s: F.xxhash64(s))), ["item_id", "n"], "hs").withColumnRenamed("fp", "item_fp")
     left = own.select(*KEY, "n", "fp", F.explode(_blocks("fp", radius)).alias("e")).select(*KEY, "n", "fp", "e.i", "e.v")
     right = of_items.select("item_id", "n", "item_fp", F.explode(_blocks("item_fp", radius)).alias("e")).select("item_id", "n", "item_fp", "e.i", "e.v")
     met = left.join(right, ["item_id", "n", "i", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
     candidates = met.select(*KEY, "n").distinct()
 
     same = [windows[c].eqNullSafe(candidates[c]) for c in (*KEY, "n")]
-    counted = windows.join(candidates, same, "left_semi").select(*KEY, "n", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
-    counted = counted.groupBy(*KEY, "n", "size", "shingle").agg(F.count("*").alias("c"))
-    shared = counted.join(weights.drop("k"), ["item_id", "n", "shingle"]).groupBy(*KEY, "n", "size", "total").agg(F.sum(F.least("c", "weight")).alias("common"))
+    counted = windows.join(candidates, same, "left_semi").select(*KEY, "n", F.size("hs").alias("size"), F.explode("hs").alias("h"))
+    counted = counted.groupBy(*KEY, "n", "size", "h").agg(F.count("*").alias("c"))
+    of_item = weights.select("item_id", "n", "total", F.xxhash64("shingle").alias("h"), "weight")
+    shared = counted.join(of_item, ["item_id", "n", "h"]).groupBy(*KEY, "n", "size", "total").agg(F.sum(F.least("c", "weight")).alias("common"))
     scored = shared.withColumn("similarity", F.col("common") / (F.col("size") + F.col("total") - F.col("common")))
     best = scored.where(F.col("similarity") >= similarity - 1e-9).groupBy("doc_id", "item_id").agg(
         F.max(F.struct("similarity", (-F.col("start")).alias("back"), F.col("n").alias("n_words"))).alias("m")
