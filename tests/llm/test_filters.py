@@ -1,5 +1,7 @@
 """Toxicity, exact and near deduplication, decontamination: brute force, planted cases, odd rows."""
 
+import random
+import re
 import zlib
 
 import numpy as np
@@ -318,7 +320,7 @@ def every_reading(decoder, word):
     """All paths through the word's lattice: what each reads as, and its score."""
     paths = [(0, "", 0.0)]
     while any(i < len(word) for i, _, _ in paths):
-        paths = [(to, read + out, s - cost) for i, read, s in paths for to, out, cost in (decoder._steps(word, i) if i < len(word) else [(i, "", 0.0)])]
+        paths = [(to, read + out, s - cost) for i, read, s in paths for to, out, cost in (decoder._steps(word, i, len(word) - i - len(word[i:].lstrip(word[i]))) if i < len(word) else [(i, "", 0.0)])]
     out = {}
     for _, read, s in paths:
         classes = [0, 0, *map(decoder._class, read), 0]
@@ -349,3 +351,43 @@ def test_toxicity_without_labels_or_documents(spark, toxic_corpus):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.scored(documents(spark, ODD), none).agg(F.max("predicted")).first()[0] == 0
     assert toxicity.scored(documents(spark, ODD).limit(0), none).count() == 0
+
+
+# ---- short items and long words ------------------------------------------------------------
+
+
+def test_short_items_whose_fingerprints_lie_far_off_are_found(spark):
+    """Nine words and their first eight are at a similarity of exactly 0.8; fingerprints of 20 in 200,000 such pairs differ in over 24 bits."""
+    nine = spark.range(200_000).select("id", F.transform(F.sequence(F.lit(0), F.lit(8)), lambda j: F.concat(F.lit("w"), F.pmod(F.xxhash64(j, F.col("id")), F.lit(10**9)).cast("string"))).alias("w"))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " ")))
+    whole, part = (decontaminate._fingerprints(nine.withColumn("hs", runs(n)), ["id"], "hs") for n in (5, 4))
+    far = whole.join(part.withColumnRenamed("fp", "other").drop("c"), "id").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) > 24).select("id")
+    held = far.join(nine, "id").select("id", F.array_join("w", " ").alias("item"), F.array_join(F.slice("w", 1, 8), " ").alias("text")).collect()
+    assert len(held) >= 10
+    benchmark = spark.createDataFrame([(r["id"], r["item"]) for r in held], "item_id long, text string")
+    docs = spark.createDataFrame([(r["id"], r["text"]) for r in held], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["similarity"]) for r in decontaminate.contaminations(docs, benchmark).collect()}
+    assert got == {(r["id"], r["id"], 0.8) for r in held}
+
+
+def test_long_words_take_time_in_proportion():
+    import time
+
+    decoder = toxicity.Decoder(letters_of(["you idiot", "an ass is not stupid", "a toad sat"] * 30))
+    scorer = toxicity.Scorer(toxicity.Model(np.array(decoder.model), {}, 0.0, 0.0))
+    n = 300_000
+    for text in ("a" * n, "!" * n, "!" * n + "x", "@" * n + "x", "1" + "." * n + "a", " ".join("idiot" * (n // 5)), "a1" * (n // 2)):
+        began = time.time()
+        scorer.score(text)
+        assert time.time() - began < 12, text[:10]
+    assert decoder.restore("a" * 5000) == decoder.restore("a" * 16)
+    assert len(decoder.restore("xyz" * 1000)) == 3000  # pieces are put together
+
+
+def test_edges_and_addresses_are_told_as_before():
+    sign, mark = re.compile(r"([$@+!(|])\1+$|!+$"), re.compile(r"@.+\.|://|^\W*\d[\d.,:+-]*\W*$")
+    rng = random.Random(6)
+    for _ in range(4000):
+        word = "".join(rng.choice("ab1.@!$+-:/(|_") for _ in range(rng.randrange(9)))
+        assert toxicity.core(word) == sign.sub("", word.strip(toxicity._EDGE)).strip(toxicity._EDGE), word
+        assert toxicity.address(word) == bool(mark.search(word)), word

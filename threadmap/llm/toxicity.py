@@ -12,7 +12,8 @@ columns but the text, decide the score.
 Defined cases: null and empty texts have no evidence and get the score of no evidence. A
 label that is null is not learned from; a doc_id with several labels counts as each. With
 no labels at all every score is 0. Null doc_ids are scored like others, held_out null.
-Repeated rows each get a row. Empty tables give empty results. Other columns are ignored,
+Repeated rows each get a row. Very long words and runs are decoded in pieces, in time that is linear
+in their length. Empty tables give empty results. Other columns are ignored,
 or returned unchanged by ``drop_toxic``.
 """
 
@@ -56,8 +57,10 @@ _BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 CLASSES = 61
 _EDGE = ".,;:?\"'`)[]{}*#%&~^<>=/\\_-"
 _DISGUISE = re.compile(r"[^\W\d_][\d@$!|+(€]|[\d@$!|+(€][^\W\d_]|([^\W\d_])\1\1|^(?:[^\W_][.\-_*]){3,}[^\W_]$")
-_ADDRESS = re.compile(r"@.+\.|://|^\W*\d[\d.,:+-]*\W*$")
-_SIGN_RUN = re.compile(r"([$@+!(|])\1+$|!+$")
+_NUMBER = re.compile(r"\d[\d.,:+-]*")
+_LONG_RUN = re.compile(r"(.)\1{16,}", re.DOTALL)
+#: Characters of a word or run that are decoded at once; a longer one goes on from the likeliest reading of what came before.
+PIECE = 1024
 
 
 def class_table() -> np.ndarray:
@@ -103,18 +106,17 @@ class Decoder:
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
-        self.table = class_table()
+        self.low = class_table()[:0x250].tolist()  # all others are of the last class
 
     def _class(self, letter: str) -> int:
-        return int(self.table[ord(letter)])
+        o = ord(letter)
+        return self.low[o] if o < 0x250 else CLASSES - 1
 
-    def _steps(self, word: str, i: int) -> list[tuple[int, str, float]]:
-        """The readings at a place: where each goes on, what it emits, what it costs."""
-        c, run = word[i], 1
+    def _steps(self, word: str, i: int, run: int) -> list[tuple[int, str, float]]:
+        """The readings at a place, from which on a character is repeated run times: where each goes on, what it emits, what it costs."""
+        c = word[i]
         if c == " ":
             return [(i + 1, "", 0.0), (i + 1, " ", 0.0)]
-        while i + run < len(word) and word[i + run] == c:
-            run += 1
         steps = [(i + 1, c, 0.0)] if c.isalnum() else [(i + 1, "", DROP_COST)]
         steps += [(i + 1, x, SIGN_COST) for x in READINGS.get(c, "")]
         if run >= 3:
@@ -124,11 +126,27 @@ class Decoder:
         return steps
 
     def restore(self, word: str) -> str:
-        """The likeliest reading of the word, or of a run of letters with a space between each two."""
+        """The likeliest reading of the word, or of a run of letters with a space between each two.
+
+        Of over 16 equal characters in a row 16 are read: reading more of them is never likelier. Time is linear in the length.
+        """
+        word = _LONG_RUN.sub(lambda m: m[1] * 16, word)
+        read, state = [], (0, 0)
+        for at in range(0, len(word), PIECE):
+            text, state = self._piece(word[at : at + PIECE], state, at + PIECE >= len(word))
+            read.append(text)
+        return "".join(read)
+
+    def _piece(self, word: str, state: tuple[int, int], last: bool) -> tuple[str, tuple[int, int]]:
+        """The likeliest reading of a piece that begins after two classes, and the two that it ends with."""
+        runs = [1] * len(word)
+        for i in range(len(word) - 2, -1, -1):
+            if word[i] == word[i + 1]:
+                runs[i] = runs[i + 1] + 1
         best: list[dict] = [{} for _ in range(len(word) + 1)]
-        best[0][(0, 0)] = (0.0, None, "")
+        best[0][state] = (0.0, None, "")
         for i in range(len(word)):
-            steps = self._steps(word, i) if best[i] else ()
+            steps = self._steps(word, i, runs[i]) if best[i] else ()
             for (a, b), (score, _, _) in best[i].items():
                 for to, out, cost in steps:
                     p, q, s = a, b, score - cost
@@ -138,22 +156,37 @@ class Decoder:
                         p, q = q, c
                     if (p, q) not in best[to] or s > best[to][(p, q)][0]:
                         best[to][(p, q)] = (s, (i, a, b), out)
-        ends = [(s + self.model[p][q][0], (len(word), p, q)) for (p, q), (s, _, _) in best[-1].items()]
+        ends = [(s + (self.model[p][q][0] if last else 0.0), (len(word), p, q)) for (p, q), (s, _, _) in best[-1].items()]
         at, read = max(ends)[1], []
+        end = at[1:]
         while at:
             i, p, q = at
             _, at, out = best[i][(p, q)]
             read.append(out)
-        return "".join(reversed(read))
+        return "".join(reversed(read)), end
 
 
 def core(word: str) -> str:
     """The word without signs at its edges that are punctuation."""
-    return _SIGN_RUN.sub("", word.strip(_EDGE)).strip(_EDGE)
+    w = word.strip(_EDGE)
+    if w and w[-1] in "$@+!(|":
+        rest = w.rstrip(w[-1])
+        if w[-1] == "!" or len(w) - len(rest) > 1:
+            w = rest
+    return w.strip(_EDGE)
+
+
+def address(word: str) -> bool:
+    """Whether the word is a mail or web address, or a number with signs about it."""
+    at = word.find("@")
+    if "://" in word or (at >= 0 and word.rfind(".") >= at + 2):
+        return True
+    letters = [i for i, c in enumerate(word) if c.isalnum() or c == "_"]
+    return bool(letters) and bool(_NUMBER.fullmatch(word[letters[0] : letters[-1] + 1]))
 
 
 def disguised(word: str) -> bool:
-    return bool(_DISGUISE.search(word)) and not _ADDRESS.search(word)
+    return bool(_DISGUISE.search(word)) and not address(word)
 
 
 def spaced(words: list[bytes]) -> list[str]:
@@ -185,9 +218,9 @@ class Model:
 
 
 class Scorer:
-    """Scores texts in a worker; keeps the evidence of words that it has seen, up to a number."""
+    """Scores texts in a worker; keeps the evidence of words that it has seen, up to a number and a length of each."""
 
-    KEPT = 400_000
+    KEPT, LONGEST_KEPT = 400_000, 64
 
     def __init__(self, model: Model):
         self.model, self.decoder = model, Decoder(model.letters)
@@ -210,7 +243,9 @@ class Scorer:
         for w in set(words):
             x = kept.get(w)
             if x is None:
-                x = kept[w] = self.weight(w.decode("utf-8", "replace"))
+                x = self.weight(w.decode("utf-8", "replace"))
+                if len(w) <= self.LONGEST_KEPT:
+                    kept[w] = x
             if x:
                 total += x
         return total + sum(map(self.weight_of_run, set(spaced(words))))
