@@ -26,7 +26,8 @@ def rows(frame):
 
 FAST = ["q01_validate_cloud", "q02_feature_moments", "q04_constant_feature", "q07_knn_mutual", "q15_medoids", "q16_duplicate_groups", "q17_ancestry_compose", "q20_project_polyline",
         "q20b_project_batches", "q29_support_mean", "q33_target_kind", "q35_log_scaled", "q36_variable_genes", "q37_angular_sectors", "q38_octilinear_bin", "q43_spearman", "streamed_projection",
-        "q45_windowed_events", "q48_grid_lookup", "q49_sliding_windows", "q53_composed_ancestry", "q55_corridor", "q56_location_dispersion", "q60_residual_coordinates", "q63_bridges"]
+        "q45_windowed_events", "q48_grid_lookup", "q49_sliding_windows", "q53_composed_ancestry", "q55_corridor", "q56_location_dispersion", "q60_residual_coordinates", "q63_bridges",
+        "q68_replicate_links", "q69_link_supports", "q71_branch_modes", "q72_merged_regions", "q73_greedy_match", "q74_shortest_paths", "q75_refined_paths"]
 
 
 @pytest.mark.parametrize("name", FAST)

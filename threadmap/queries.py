@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import vectors as vec
 from .operators import cloud as cl
 from .operators import features as ft
-from .operators import frames, graph, groups, lookups, routes
+from .operators import frames, graph, groups, junctions, lookups, paths, ranges, replicates, routes
 from .operators import neighbors as nb
-from .plans import model
-from .sources import generators
+from .plans import coverage as ribs
+from .plans import model, stability
 from .sources.tables import cloud, save, table
 from .streaming import apply
 
@@ -592,6 +592,129 @@ def units_round_trip(spark, sf_dir):
     return cl.destandardized(cl.standardized(points, units), units).select("row_id", F.round(x[0], 6).alias("first"), F.round(x[1], 6).alias("second"))
 
 
+_DRAW = "('0x' || substr(md5('0:' || u || ':' || row_id), 1, 8))::BIGINT / 4294967296.0"
+_REPLICATE_LINKS = "WITH " + C + f""", r AS (SELECT u::INTEGER AS replicate, row_id, x FROM z, range(8) t(u) WHERE {_DRAW} < 0.8),
+       y AS (SELECT replicate, row_id, label, row_number() OVER (PARTITION BY replicate, row_id ORDER BY {SQDIST.format("r.x", "c.c")}, label) AS place FROM r, c QUALIFY place <= 2),
+       k AS (SELECT replicate, min(label)::BIGINT AS src, max(label)::BIGINT AS dst FROM y GROUP BY replicate, row_id), l AS (SELECT replicate, src, dst, count(*) AS n FROM k GROUP BY ALL)"""
+RUNS = 8
+
+
+def _replicate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = standardized_embeddings(spark, sf_dir)
+    centers = save(label_centers(points), "label-centers").withColumn("center", F.col("center").cast("long"))
+    every = centers.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))))
+    return replicates.grouped_links(replicates.replicates(points.select("row_id", "x"), RUNS), every)
+
+
+@query("q68_replicate_links", _REPLICATE_LINKS + f" SELECT l.*, round(sqrt({SQDIST.format('a.c', 'b.c')}), 6) AS length FROM l JOIN c a ON a.label = src JOIN c b ON b.label = dst")
+def replicate_links(spark, sf_dir):
+    """In each of eight resampled clouds, how many rows have two labels' means as their nearest ones."""
+    return _replicate_links(spark, sf_dir).select("replicate", "src", "dst", "n", _r("length"))
+
+
+@query("q69_link_supports", _REPLICATE_LINKS + """, s AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY replicate) AS share FROM l)
+       SELECT src, dst, count(*) FILTER (WHERE share >= 0.02) / 8.0::DOUBLE AS support, round(sum(share) / 8, 6) AS mean_share, round(sqrt(greatest(sum(share * share) / 8 - pow(sum(share) / 8, 2), 0)), 6) AS dispersion FROM s GROUP BY 1, 2""")
+def link_supports(spark, sf_dir):
+    return replicates.link_supports(_replicate_links(spark, sf_dir), RUNS, 0.02).select("src", "dst", "support", _r("mean_share"), _r("dispersion"))
+
+
+_GRAPH = _SUPPLIERS + """, p AS (SELECT a.row_id AS i, b.row_id AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM e a JOIN e b ON a.row_id <> b.row_id),
+       n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 6), g AS (SELECT i AS s, j AS t, d FROM n UNION SELECT j, i, d FROM n)"""
+_RINGS = "WITH RECURSIVE " + _GRAPH + """, k AS (SELECT k::INT AS scale, 3 * (0.85 + 1.35 * k / 5) AS radius FROM range(6) AS t(k)),
+       m AS (SELECT p.i AS center, k.scale, p.j AS row_id, radius FROM p, k WHERE p.d <= radius AND p.d >= 0.25 * radius),
+       w AS (SELECT a.center, a.scale, a.row_id AS s, b.row_id AS t FROM m a JOIN g ON g.s = a.row_id JOIN m b ON b.center = a.center AND b.scale = a.scale AND b.row_id = g.t WHERE g.d <= 0.75 * a.radius),
+       v(center, scale, row_id, arm) USING KEY (center, scale, row_id) AS (SELECT center, scale, row_id, row_id FROM m
+         UNION (SELECT w.center, w.scale, w.t, min(v.arm) FROM v JOIN w ON w.center = v.center AND w.scale = v.scale AND w.s = v.row_id JOIN recurring.v AS o ON o.center = w.center AND o.scale = w.scale AND o.row_id = w.t WHERE v.arm < o.arm GROUP BY ALL)),
+       a AS (SELECT e.row_id AS center, k.scale, greatest(count(DISTINCT arm), 1) AS arms FROM e CROSS JOIN k LEFT JOIN v ON v.center = e.row_id AND v.scale = k.scale GROUP BY 1, 2)"""
+
+
+def _rings(spark: SparkSession, sf_dir: str):
+    """Every supplier as a center of six rings about a radius of 3."""
+    points = suppliers(spark, sf_dir)
+    edges = nb.union_edges(nb.knn(points, 6)).select("src", "dst", F.sqrt("d2").alias("length"))
+    return points, save(edges, "edges"), points.select(F.col("row_id").alias("center"), F.col("x").alias("c"), F.lit(3.0).alias("base"))
+
+
+@query("q70_ring_arms", _RINGS + " SELECT * FROM a")
+def ring_arms(spark, sf_dir):
+    points, edges, centers = _rings(spark, sf_dir)
+    return junctions.arm_counts(junctions.ring_components(junctions.ring_rows(points, centers, junctions.scales()), edges), centers, junctions.SCALES)
+
+
+_MODES = ", f AS (SELECT center, arms, count(*) AS n FROM a GROUP BY 1, 2), b AS (SELECT center, arms AS branches, n / 6 AS confidence FROM f QUALIFY row_number() OVER (PARTITION BY center ORDER BY n DESC, arms) = 1)"
+
+
+@query("q71_branch_modes", _RINGS + _MODES + " SELECT center, branches, round(confidence, 6) AS confidence FROM b")
+def branch_modes(spark, sf_dir):
+    points, edges, centers = _rings(spark, sf_dir)
+    return junctions.local_topology(points, edges, centers).select("center", "branches", _r("confidence"))
+
+
+@query("q72_merged_regions", """WITH k AS (SELECT c_custkey AS row_id, c_nationkey::DOUBLE AS x, c_acctbal / 1000 AS y, length(c_mktsegment) AS branches, abs(c_acctbal) / 10000 + 1e-8 AS w FROM customer),
+       l AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY x ORDER BY y) <= 0.08 THEN 0 ELSE 1 END AS new FROM k), m AS (SELECT *, sum(new) OVER (PARTITION BY x ORDER BY y ROWS UNBOUNDED PRECEDING) AS part FROM l)
+       SELECT min(row_id) AS region, round(sum(w * x) / sum(w), 6) AS first, round(sum(w * y) / sum(w), 6) AS second, round_even(quantile_cont(branches, 0.5), 0)::BIGINT AS branches, round(sum(w * w) / sum(w), 6) AS confidence, count(*) AS members FROM m GROUP BY x, part""")
+def merged_regions(spark, sf_dir):
+    """Customers within steps of 0.08 in nation and balance as regions, weighed by balance."""
+    points = cloud(table(spark, sf_dir, "customer").withColumn("y", F.col("c_acctbal") / 1000), "c_custkey", ["c_nationkey", "y"], ("c_mktsegment", "c_acctbal"))
+    found = ranges.merged_regions(points.select("row_id", "x", F.length("c_mktsegment").cast("long").alias("branches"), (F.abs("c_acctbal") / 10000 + 1e-8).alias("confidence")), 0.08)
+    return found.select("region", F.round(F.col("x")[0], 6).alias("first"), F.round(F.col("x")[1], 6).alias("second"), "branches", _r("confidence"), "members")
+
+
+@query("q73_greedy_match", "WITH RECURSIVE " + _SUPPLIERS + """, q AS (SELECT *, row_number() OVER (ORDER BY row_id) AS place FROM e), k AS (SELECT place, row_id AS i, c_custkey AS j, sqrt(pow(c_nationkey - x, 2) + pow(c_acctbal / 1000 - y, 2)) AS d FROM q JOIN customer ON abs(c_nationkey - x) <= 1.2 AND abs(c_acctbal / 1000 - y) <= 1.2 WHERE d <= 1.2),
+       w(place, used, i, j, d) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE UNION ALL
+         (SELECT w.place + 1, CASE WHEN b.j IS NULL THEN w.used ELSE list_append(w.used, b.j) END, b.i, b.j, b.d FROM w LEFT JOIN LATERAL (SELECT k.i, k.j, k.d FROM k WHERE k.place = w.place + 1 AND NOT list_contains(w.used, k.j) ORDER BY k.d, k.j LIMIT 1) b ON true WHERE w.place < (SELECT count(*) FROM e)))
+       SELECT i, j, round(d, 6) AS d FROM w WHERE i IS NOT NULL""")
+def greedy_match(spark, sf_dir):
+    """Each supplier in turn takes the nearest customer, within 1.2, that is left."""
+    customers = cloud(table(spark, sf_dir, "customer").withColumn("y", F.col("c_acctbal") / 1000), "c_custkey", ["c_nationkey", "y"])
+    return ranges.matched_within(suppliers(spark, sf_dir), customers, 1.2).select("i", "j", _r("d"))
+
+
+_WAYS = """, o(search, node, length) USING KEY (search, node) AS ({start} UNION (SELECT o.search, g.t, min(o.length + g.d) FROM o JOIN g ON g.s = o.node LEFT JOIN recurring.o AS h ON h.search = o.search AND h.node = g.t WHERE h.node IS NULL OR o.length + g.d < h.length - 1e-9 GROUP BY ALL))"""
+
+
+@query("q74_shortest_paths", "WITH RECURSIVE " + _GRAPH + _WAYS.format(start="SELECT row_id, row_id, 0.0::DOUBLE FROM e WHERE row_id = (SELECT min(row_id) FROM e)") + " SELECT node, round(length, 6) AS length FROM o")
+def shortest_paths(spark, sf_dir):
+    """The way from the first supplier to all that the neighbour graph reaches."""
+    _, edges, _ = _rings(spark, sf_dir)
+    first = suppliers(spark, sf_dir).agg(F.min("row_id").alias("node")).withColumn("search", F.lit(0))
+    return paths.distances(edges, first).select("node", _r("length"))
+
+
+@query("q75_refined_paths", "WITH RECURSIVE " + _GRAPH.replace("<= 6)", "<= 8)").replace("UNION SELECT j, i, d FROM n)", "UNION SELECT j, i, d FROM n), r AS (SELECT x, min(row_id) AS rep FROM e GROUP BY x), l AS (SELECT rep AS source, lead(rep) OVER (ORDER BY x) AS target FROM r)")
+       + _WAYS.format(start="SELECT source, source, 0.0::DOUBLE FROM l WHERE target IS NOT NULL").replace("g.d", "g.d * g.d")
+       + " SELECT source, target, round(o.length, 6) AS cost FROM l JOIN o ON o.search = source AND o.node = target")
+def refined_paths(spark, sf_dir):
+    """The path through each nation's first supplier, brought down to all suppliers: the squared steps of each leg."""
+    points = save(suppliers(spark, sf_dir), "suppliers")
+    reps = save(points.groupBy(F.col("x")[0].alias("nation")).agg(F.min("row_id").alias("rep")), "reps")
+    coarse = reps.select(F.lit(0).alias("path"), F.col("nation").alias("at"), F.col("rep").alias("node"))
+    children = points.select("row_id", F.col("x")[0].alias("nation")).join(reps, "nation").select("row_id", "rep")
+    fine, _ = paths.refined(coarse, children, points)
+    placed = fine.join(points.select(F.col("row_id").alias("node"), "x"), "node")
+    stepped = placed.withColumn("step", vec.sqdist(F.col("x"), F.lag("x").over(Window.partitionBy("path").orderBy("at"))))
+    costs = stepped.groupBy("path", "leg").agg(F.sum("step").alias("cost"))
+    return costs.join(paths.legs(coarse), ["path", "leg"]).select("source", "target", _r("cost"))
+
+
+@query("q76_coverage_ribs")
+def coverage_ribs(spark, sf_dir):
+    """The route through the labels' means with ribs where it leaves rows far off: error by round."""
+    points = standardized_embeddings(spark, sf_dir)
+    covered = ribs.coverage_ribs(points, save(label_route(points), "label-route"), 1.0)
+    return spark.createDataFrame([(h["round"], h["ribs"], float(h["quantile_error"]), float(h["max_error"])) for h in covered.history], "round int, ribs int, quantile_error double, max_error double")
+
+
+@query("q77_route_supports")
+def route_supports(spark, sf_dir):
+    """The routes of the embeddings' fit, and in which share of eight resampled clouds they come back."""
+    points = embeddings(spark, sf_dir)
+    fit = model.fit(points, landmarks=12)
+    scaled = save(cl.standardized(points, fit.moments).select("row_id", "x"), "standardized")
+    scale = nb.local_scale(scaled).first()["scale"]
+    return stability.route_supports(fit.segments, stability.fitted_replicates(scaled, RUNS, 12), scale)
+
+
 @query("hierarchy_invariants", "SELECT count(*) AS n, count(*) AS least_covered, count(*) AS most_covered, true AS of_cloud, true AS shrinks, true AS nested FROM embeddings")
 def hierarchy_invariants(spark, sf_dir):
     """Each level's representatives stand for every row once, are rows, are fewer than before, and are among those before."""
@@ -627,12 +750,6 @@ def principal_plane(spark, sf_dir):
     return cl.projected_to_axes(standardized_embeddings(spark, sf_dir), 3)
 
 
-@query("generated_star")
-def generated_star(spark, sf_dir):
-    points = generators.star(spark, 1200)
-    return model.fit(points, landmarks=12).transform(points).select("row_id", "route_id", "position", "residual_norm")
-
-
 @query("streamed_projection", ORACLE_SQL["q20b_project_batches"])
 def streamed_projection(spark, sf_dir):
     """The projection as a stream of the table's file, once, into a table of the shared folder."""
