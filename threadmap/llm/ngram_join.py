@@ -7,10 +7,10 @@ and the sum per pair decides. So a long text, or one that meets very many others
 
 Which pairs are counted:
 
-1. Equal sets are one. Two sets at the similarity share an n-gram among the first few of each
-   in the global order, so sets meet by these, and unless length, place and a bitmap of either
-   set rule the pair out (all three are bounds that no pair at the similarity exceeds).
-2. Where at most SMALL sets meet, these are all pairs. In larger groups every set is compared with
+1. Equal sets are one. Two sets at the similarity share some n-grams (SHARED, if their overlap has so many)
+   among the first of each in the global order, so sets meet by these, unless length, place or a bitmap of
+   either set rule the pair out (all three are bounds that no pair at the similarity exceeds).
+2. Pairs that meet often enough where at most SMALL sets meet are compared at once. In larger groups every set is compared with
    the group's leaders only, in STARS rounds. What is linked by then is one component.
 3. In groups that still have several components all pairs of different ones are compared,
    in cells of bounded size. So the components are those of all links, while a group of near
@@ -34,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,9 @@ from .common import HOT_KEYS, join_counted, partitions, save
 WIDTH, PERCENT = 4, 85
 #: Cells in which n-grams are counted, and classes of counts for each doubling.
 CELLS, CLASSES = 1 << 20, 8
-FRAGMENTS = 8
+FRAGMENTS = 4
+#: N-grams that two sets at the similarity share among their first ones, if their overlap has so many.
+SHARED = 3
 #: Sets of a group up to which all its pairs are compared at once, and rounds in which larger groups meet their leaders.
 SMALL, STARS = 8, 2
 #: Sets of a block, in groups whose pairs are compared in cells.
@@ -61,8 +64,6 @@ _U = np.uint64
 
 def lowered(column: pa.Array) -> pa.Array:
     """A-Z in lower case; null is empty. Works on bytes, as those of other letters are all above 0x7F."""
-    import pyarrow.compute as pc
-
     filled = pc.fill_null(column.cast(pa.large_string()), "")
     filled = pa.concat_arrays([filled])  # so that it starts at the buffers' start
     _, offsets, data = filled.buffers()
@@ -156,9 +157,9 @@ def order_of(docs: DataFrame, width: int = WIDTH, cells: int = CELLS, fragments:
     return Order(classes, np.array(pivots, np.uint64))
 
 
-def prefix_length(n, percent: int = PERCENT):
-    """How many of its first n-grams a set needs to share one with any set at the similarity."""
-    return n - (percent * n + 99) // 100 + 1
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    """How many of its first n-grams a set needs to share SHARED, or all of the overlap if that is less, with any set at the similarity."""
+    return min(n, n - (percent * n + 99) // 100 + SHARED)
 
 
 def set_rows(docs: DataFrame, order: Order, width: int = WIDTH, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -235,15 +236,20 @@ def _within(n, m, percent: int):
 
 def _reachable(n, i, m, j, percent: int):
     """Whether sets that first meet at these places can still have the overlap."""
-    return (1 + F.least(n - i, m - j) - 1) * (100 + percent) >= percent * (n + m)
+    return F.least(n - i, m - j) * (100 + percent) >= percent * (n + m)
 
 
 def small_pairs(met: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a < b, na, nb: all pairs of small groups that length and place leave."""
+    """a < b, na, nb: pairs that meet in SHARED small groups, or in as many as their overlap needs, and that length and place leave.
+
+    Pairs that meet in fewer can only be similar if they meet in a large group too, where they are compared.
+    """
     group = met.where(F.col("size") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "n", "at"))).alias("g"))  # of SMALL entries at most
     each = group.select("g", F.posexplode("g").alias("i", "x")).select("x", F.explode(F.slice("g", F.col("i") + 2, SMALL)).alias("y"))
-    fit = _within(F.col("x.n"), F.col("y.n"), percent) & _reachable(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), percent)
-    return each.where(fit).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+    na, nb = F.col("x.n"), F.col("y.n")
+    fit = each.where(_within(na, nb, percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), na.alias("na"), nb.alias("nb"), _reachable(na, F.col("x.at"), nb, F.col("y.at"), percent).alias("fit"))
+    need = F.least(F.lit(SHARED), F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent)))
+    return fit.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("times"), F.bool_or("fit").alias("fit")).where(F.col("fit") & (F.col("times") >= need)).select("a", "b", "na", "nb")
 
 
 def star_pairs(open_: DataFrame, seed: int, percent: int = PERCENT) -> DataFrame:
@@ -258,35 +264,37 @@ def star_pairs(open_: DataFrame, seed: int, percent: int = PERCENT) -> DataFrame
 
 
 def cell_pairs(open_: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a < b, na, nb: pairs of groups' members (key, node, n, at, root) of different components that length, place and bitmap leave.
+    """a < b, na, nb: pairs of groups' members (key, node, n, root) of different components that length and bitmap leave.
 
-    A group is cut into blocks of about BLOCK sets, and two blocks meet in one cell. A pair that meets in several
-    groups is compared in that of the first n-gram it shares.
+    A group is cut into blocks of about BLOCK sets, and two blocks meet in one cell. A pair that meets in several of these
+    groups is compared in that of the least key.
     """
     sizes = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = open_.join(sizes, "key").join(sets.select("node", "bitmap", "prefix"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "node", "n", "at", "root", "bitmap", "prefix")
+    keys = open_.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # no more than a set's first n-grams
+    own = open_.join(sizes, "key").join(sets.select("node", "bitmap"), "node").join(keys, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "node", "n", "root", "bitmap", "keys")
     spark = open_.sparkSession
     dealt = cells.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "node")
 
     def pairs_of(cell: pa.Table) -> Iterator[pa.RecordBatch]:
-        i, block, node, n, at, root = (cell.column(c).to_numpy().astype(np.int64) for c in ("i", "block", "node", "n", "at", "root"))
+        i, block, node, n, root = (cell.column(c).to_numpy().astype(np.int64) for c in ("i", "block", "node", "n", "root"))
         bits = np.frombuffer(b"".join(cell.column("bitmap").to_pylist()), np.uint64).reshape(len(node), -1)
-        prefix = cell.column("prefix").combine_chunks()
-        ends, flat = prefix.offsets.to_numpy(), prefix.values.to_numpy()
+        listed, key = cell.column("keys").combine_chunks(), cell.column("key")[0].as_py()
+        flat = listed.flatten().to_numpy()
+        ends = np.r_[0, np.cumsum(pc.list_value_length(listed).to_numpy())]
+        # of each member the keys before this one, at which it has met others already
+        before = [flat[a : a + int(np.searchsorted(flat[a:b], key))] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
         half = int((block == i).sum())
         alone = bool((cell.column("j").to_numpy() == i).all())
         for x in range(half):
             y = np.arange(x + 1 if alone else half, len(node))
             y = y[(root[y] != root[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
-            both = n[y] + n[x]
-            y = y[np.minimum(n[x] - at[x], n[y] - at[y]) * (100 + percent) >= percent * both]
             if len(y):  # sets differ in as many n-grams as their bitmaps in bits, at least
                 apart = np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64)
                 y = y[(n[y] + n[x] - apart) * (100 + percent) >= 2 * percent * (n[y] + n[x])]
-            if len(y) and at[x]:
-                before = flat[ends[x] : ends[x] + at[x]]
-                y = y[[not at[v] or not np.isin(before, flat[ends[v] : ends[v] + at[v]]).any() for v in y]]
+            if len(y) and len(before[x]):
+                met = set(before[x].tolist())
+                y = y[[met.isdisjoint(before[v].tolist()) for v in y]]
             if len(y):
                 low = node[y] < node[x]
                 yield pa.record_batch([pa.array(np.minimum(node[y], node[x])), pa.array(np.maximum(node[y], node[x])), pa.array(np.where(low, n[y], n[x])), pa.array(np.where(low, n[x], n[y]))], ["a", "b", "na", "nb"])
@@ -405,7 +413,7 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, cells: i
         large = met.where(F.col("size") > SMALL)
         rooted = large.withColumn("root", F.col("node")) if found is None else large.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = rooted.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("m")).where("l < m").select("key")
-        return save(rooted.join(mixed, "key").select("key", "node", "n", "at", "root"), "open-groups")
+        return save(rooted.join(mixed, "key").select("key", "node", "n", "root"), "open-groups")
 
     verify(small_pairs(met, percent))
     for seed in range(STARS):
