@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.vectors import tangent_inconsistency
+from .cloud import SIDE_BY_SIDE
 from .routes import kernel_covariance, residual_axes
 
 #: Lengths below these count as zero.
@@ -76,7 +77,44 @@ def normal_coordinates(rows: DataFrame) -> DataFrame:
 def fitted_axes(rows: DataFrame, grid: list[float], bandwidth: float, r: int, dimensions: int, closed: bool = False) -> DataFrame:
     """route_id, g, axes, values: at each place of the grid the first r axes of normal coordinates, of which there are so many."""
     own = rows.select("route_id", "position", F.col("normal").alias("residual"))
-    return residual_axes(kernel_covariance(own, grid, bandwidth, dimensions, closed), min(r, dimensions))
+    covariances = kernel_covariance(own, grid, bandwidth, dimensions, closed) if dimensions <= SIDE_BY_SIDE else wide_kernel_covariance(own, grid, bandwidth, closed)
+    return residual_axes(covariances, min(r, dimensions))
+
+
+def wide_kernel_covariance(rows: DataFrame, grid: list[float], bandwidth: float, closed: bool = False) -> DataFrame:
+    """As ``kernel_covariance``, for residuals of many coordinates: each task sums matrices by route and place of the grid.
+
+    A task holds a matrix for each of them; the nearest row's distance to each place is found first.
+    """
+    places = np.array(grid, float)
+    gap = lambda p: np.minimum(p, 1 - p) if closed else p
+
+    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for route, part in frame.groupby("route_id"):
+                yield pd.DataFrame({"route_id": np.full(len(places), route, np.int32), "g": np.arange(len(places), dtype=np.int32), "away": gap(np.abs(part["position"].to_numpy()[:, None] - places)).min(0)})
+
+    nearest = rows.select("route_id", "position").mapInPandas(least, "route_id int, g int, away double").groupBy("route_id", "g").agg(F.min("away").alias("away"))
+    offsets: dict[int, np.ndarray] = {}
+    for r in nearest.toLocalIterator():  # a row for each route and place
+        offsets.setdefault(r["route_id"], np.zeros(len(places)))[r["g"]] = r["away"]
+    shared = rows.sparkSession.sparkContext.broadcast(offsets)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple[int, int], tuple[np.ndarray, float]] = {}
+        for frame in batches:
+            for route, part in frame.groupby("route_id"):
+                x = _rows(part["residual"])
+                w = np.exp(-0.5 * ((gap(np.abs(part["position"].to_numpy()[:, None] - places)) - shared.value[route]) / bandwidth) ** 2)
+                for g in range(len(places)):
+                    m, s = total.get((route, g), (0.0, 0.0))
+                    total[route, g] = m + (x * w[:, g, None]).T @ x, s + float(w[:, g].sum())
+        for (route, g), (m, s) in total.items():
+            i, j = np.triu_indices(len(m))
+            yield pd.DataFrame({"route_id": route, "g": g, "i": i, "j": j, "s": m[i, j], "w": s}).astype({c: "int32" for c in ("route_id", "g", "i", "j")})
+
+    summed = rows.select("route_id", "position", "residual").mapInPandas(sums, "route_id int, g int, i int, j int, s double, w double")
+    return summed.groupBy("route_id", "g", "i", "j").agg((F.sum("s") / F.sum("w")).alias("value"))
 
 
 def residual_coordinates(rows: DataFrame, axes: DataFrame, grid: list[float]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import vectors as vec
 from .operators import cloud as cl
 from .operators import features as ft
-from .operators import frames, graph, groups, junctions, lookups, paths, ranges, replicates, routes
+from .operators import electrical, frames, graph, groups, junctions, lookups, paths, ranges, replicates, routes, scaling
 from .operators import neighbors as nb
 from .plans import coverage as ribs
 from .plans import model, stability
@@ -715,6 +715,50 @@ def route_supports(spark, sf_dir):
     return stability.route_supports(fit.segments, stability.fitted_replicates(scaled, RUNS, 12), scale)
 
 
+@query("q78_leverage", f"WITH {C} SELECT CAST(count(*) AS BIGINT) AS nodes, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS edges, CAST(count(*) - 1 AS DOUBLE) AS leverage FROM c")
+def leverage(spark, sf_dir):
+    """Effective resistances of all edges between the labels' means; the leverages of a connected graph add up to its nodes less one."""
+    nodes, edges = _center_edges(spark, sf_dir)
+    found = electrical.effective_resistances(edges.select("src", "dst", (1 / F.col("length")).alias("conductance")))
+    return found.agg(F.count("*").alias("edges"), F.round(F.sum("leverage"), 6).alias("leverage")).join(nodes.agg(F.count("*").alias("nodes"))).select("nodes", "edges", "leverage")
+
+
+_SIGNS = [(a, b, c) for a in (-1, 1) for b in (-1, 1) for c in (-1, 1)]
+
+
+@query("q79_cube_corners", "WITH m AS (SELECT avg(l_quantity) AS qa, stddev_pop(l_quantity) AS qs, avg(l_extendedprice) AS pa, stddev_pop(l_extendedprice) AS ps, avg(l_discount) AS da, stddev_pop(l_discount) AS ds FROM lineitem), z AS (SELECT (l_quantity - qa) / qs AS x, (l_extendedprice - pa) / ps AS y, (l_discount - da) / ds AS w FROM lineitem, m) "
+       + " UNION ALL ".join(f"SELECT {i} AS corner, round(max(least({a} * x, {b} * y, {c} * w)), 6) AS score FROM z" for i, (a, b, c) in enumerate(_SIGNS)))
+def cube_corners(spark, sf_dir):
+    """For each pattern of signs how far into its corner the line items reach, by quantity, price and discount."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), F.array(*(F.col(c).cast("double") for c in LINEITEM_FEATURES[:3])).alias("x"))
+    return junctions.cube_corners(cl.standardized(rows), 3).select("corner", _r("score"))
+
+
+@query("q80_scaled_distances", "WITH " + _PARTS + " SELECT row_id, round(sqrt(pow(x - lead(x) OVER w, 2) + pow(y - lead(y) OVER w, 2)), 5) AS step FROM e WINDOW w AS (ORDER BY row_id)")
+def scaled_distances(spark, sf_dir):
+    """Parts by classical scaling, fitted on a sample of 200; their coordinates keep all distances, here those to the next row."""
+    points = parts(spark, sf_dir)
+    found = scaling.scaled_rows(points, scaling.fitted_scaling(points, 2, 200))
+    order = lookups.numbered(found, "row_id")
+    after = order.select((F.col("number") - 1).alias("number"), F.col("x").alias("y"))
+    return order.join(after, "number", "left").select("row_id", F.round(vec.distance(F.col("x"), F.col("y")), 5).alias("step"))
+
+
+@query("q81_first_level", "WITH RECURSIVE " + KNN.format(k=8) + SCALES + """, h AS (SELECT i, j, sqrt(d2) / sqrt(a.scale * b.scale) AS ratio FROM n JOIN s a ON a.row_id = i JOIN s b ON b.row_id = j),
+       l AS MATERIALIZED (SELECT i, j FROM h WHERE ratio <= (SELECT quantile_cont(ratio, 0.5) FROM h) UNION SELECT j, i FROM h WHERE ratio <= (SELECT quantile_cont(ratio, 0.5) FROM h)),
+       k AS (SELECT row_id, row_number() OVER (ORDER BY row_id) AS place FROM e),
+       w(place, seeds) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL (SELECT k.place, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.i = k.row_id AND list_contains(w.seeds, l.j)) THEN w.seeds ELSE list_append(w.seeds, k.row_id) END FROM w JOIN k ON k.place = w.place + 1)),
+       q AS (SELECT unnest(seeds) AS seed FROM (SELECT seeds FROM w ORDER BY place DESC LIMIT 1)),
+       g AS (SELECT row_id, coalesce(q.seed, (SELECT min(l.j) FROM l WHERE l.i = row_id AND l.j IN (SELECT seed FROM q))) AS seed FROM e LEFT JOIN q ON q.seed = row_id),
+       m AS (SELECT g.seed, a.row_id, round(sum(sqrt(""" + SQDIST.format("a.x", "b.x") + """)), 9) AS cost FROM g JOIN e a USING (row_id) JOIN g o ON o.seed = g.seed JOIN e b ON b.row_id = o.row_id GROUP BY 1, 2),
+       r AS (SELECT seed, row_id AS rep FROM m QUALIFY row_number() OVER (PARTITION BY seed ORDER BY cost, row_id) = 1) SELECT row_id, rep FROM g JOIN r USING (seed)""")
+def first_level(spark, sf_dir):
+    """The first level of the hierarchy: which row stands for each."""
+    points = embeddings(spark, sf_dir)
+    _, ancestry = groups.hierarchy(points, target=points.count() - 1)
+    return ancestry.where("level = 1").select("row_id", "rep")
+
+
 @query("hierarchy_invariants", "SELECT count(*) AS n, count(*) AS least_covered, count(*) AS most_covered, true AS of_cloud, true AS shrinks, true AS nested FROM embeddings")
 def hierarchy_invariants(spark, sf_dir):
     """Each level's representatives stand for every row once, are rows, are fewer than before, and are among those before."""
@@ -736,7 +780,8 @@ def hierarchy_levels(spark, sf_dir):
 @query("fit_transform")
 def fit_transform(spark, sf_dir):
     points = embeddings(spark, sf_dir)
-    return model.fit(points, landmarks=12).transform(points).select("row_id", "route_id", "position", "residual_norm", "projected", "residual", "tangent")
+    fields = ["row_id", "route_id", "position", "residual_norm", "projected", "residual", "tangent", "residual_coordinates", "reconstructed", "unexplained_residual", "unexplained_residual_norm"]
+    return model.fit(points, landmarks=12, residual_dim=2).transform(points).select(*fields)
 
 
 @query("residual_axes")
