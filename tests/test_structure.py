@@ -270,3 +270,21 @@ def test_parallel_ribs_run_along_the_route(spark):
     x = plane(6)
     covered = coverage.coverage_ribs(cloud_of(spark, x), save(middle_route(spark, x), "route"), 0.1, tolerance=0.05, rounds=1, seeds=2, kind="parallel")
     assert covered.ribs and covered.history[-1]["quantile_error"] <= covered.history[0]["quantile_error"]
+
+
+# cover
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cover_equals_going_through_the_rows(spark, seed):
+    rng = random.Random(seed)
+    n = 60
+    links = {(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.06}
+    beside = {i: {j for p in links for j in p if i in p and j != i} for i in range(n)}
+    want = {}
+    for i in range(n):
+        if i not in want:
+            want[i] = i
+            want |= {j: i for j in beside[i] if j not in want}
+    got = groups.greedy_cover(spark.range(n).withColumnRenamed("id", "row_id"), spark.createDataFrame(sorted(links), "i long, j long"))
+    assert {r["row_id"]: r["seed"] for r in got.collect()} == want

@@ -110,21 +110,24 @@ def greedy_cover(rows: DataFrame, links: DataFrame) -> DataFrame:
     """row_id, seed: rows become seeds in the order of their ids unless an earlier seed has claimed them.
 
     A row belongs to the first seed that is linked (i, j) to it. In each round the open rows
-    that have no open row of lesser id beside them become seeds, which is what going through
-    them in order gives.
+    that have no open row of lesser id beside them become seeds, and rows beside them close, which is
+    what going through them in order gives.
     """
     both = save(links.select("i", "j").union(links.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct(), "links")
-    open_, done = save(rows.select("row_id"), "open"), None
+    open_, seeds = save(rows.select("row_id"), "open"), None
     while not open_.isEmpty():
         live = both.join(open_.select(F.col("row_id").alias("i")), "i").join(open_.select(F.col("row_id").alias("j")), "j")
         least = live.groupBy(F.col("i").alias("row_id")).agg(F.min("j").alias("m"))
-        seeds = open_.join(least, "row_id", "left").where(F.col("m").isNull() | (F.col("m") > F.col("row_id"))).select("row_id")
-        seeds = save(seeds, "seeds")
-        claims = live.join(seeds.select(F.col("row_id").alias("j")), "j").groupBy(F.col("i").alias("row_id")).agg(F.min("j").alias("seed"))
-        own = save(seeds.select("row_id", F.col("row_id").alias("seed")).union(claims), "claimed")
-        done = own if done is None else done.union(own)
-        open_ = save(open_.join(own, "row_id", "left_anti"), "open")
-    return done if done is not None else rows.select("row_id", F.col("row_id").alias("seed"))
+        new = save(open_.join(least, "row_id", "left").where(F.col("m").isNull() | (F.col("m") > F.col("row_id"))).select("row_id"), "seeds")
+        seeds = new if seeds is None else seeds.union(new)
+        gone = new.union(live.join(new.select(F.col("row_id").alias("j")), "j").select("i"))
+        open_ = save(open_.join(gone, "row_id", "left_anti"), "open")
+    if seeds is None:
+        return rows.select("row_id", F.col("row_id").alias("seed"))
+    # a seed of a later round may stand before one of an earlier round, so rows are claimed when all seeds are known
+    held = save(seeds, "seeds")
+    claims = both.join(held.select(F.col("row_id").alias("j")), "j").groupBy(F.col("i").alias("row_id")).agg(F.min("j").alias("seed"))
+    return held.select("row_id", F.col("row_id").alias("seed")).union(claims.join(held, "row_id", "left_anti"))
 
 
 def hierarchy(points: DataFrame, target: int = 1000, k: int = 8, quantile: float = 0.5, least_reduction: float = 0.05, candidates: int | None = None) -> tuple[DataFrame, DataFrame]:
