@@ -138,3 +138,52 @@ def test_routes_are_a_stage_of_a_pipeline(spark, tmp_path):
     for wrong in ({"landmarks": 1}, {"residualDim": -1}, {"bandwidth": 0.0}):
         with pytest.raises(ValueError):
             RouteEmbedder(**wrong)
+
+
+# scores within routes
+
+
+def scored_rows(spark, n=240):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, 3))
+    route = np.where(np.arange(n) < 4, 3, np.where(np.arange(n) < 30, 2, np.arange(n) % 2))  # 3 is small, 2 of one class
+    label = np.where(route == 2, 1, (x[:, 0] + 0.3 * rng.normal(size=n) > 0).astype(int) + (x[:, 1] > 1))
+    value = np.where(route == 2, 5.0, 2 * x[:, 0] - x[:, 2] + 0.2 * rng.normal(size=n))
+    frame = spark.createDataFrame([(i, int(r), [float(v) for v in f], int(c), float(y)) for i, (r, f, c, y) in enumerate(zip(route, x, label, value))], "row_id long, route_id int, features array<double>, label int, value double")
+    return x, route, label, value, frame.repartition(3)
+
+
+def plain_predictions(x, y, fold):
+    out = np.zeros((len(x), y.shape[1]))
+    z = np.c_[np.ones(len(x)), x]
+    for f in set(fold):
+        out[fold == f] = z[fold == f] @ np.linalg.lstsq(z[fold != f], y[fold != f], rcond=None)[0]
+    return out
+
+
+def test_scores_equal_separate_fits(spark):
+    from threadmap.operators import scores
+
+    x, route, label, value, frame = scored_rows(spark)
+    fold = np.array([r["fold"] for r in scores.dealt(frame, 5).orderBy("row_id").collect()])
+    got = {r["route_id"]: r for r in scores.route_classification(frame.withColumnRenamed("label", "target"), 5, 5).collect()}
+    for r in (0, 1):
+        own = route == r
+        told = plain_predictions(x[own], np.eye(3)[label[own]], fold[own]).argmax(1)
+        accuracy = (told == label[own]).mean()
+        assert got[r]["status"] == "ok" and got[r]["accuracy"] == pytest.approx(accuracy) and got[r]["normalized_accuracy"] == pytest.approx(max(0, (accuracy - 1 / 3) / (2 / 3)))
+        assert got[r]["route_purity"] == pytest.approx(np.bincount(label[own]).max() / own.sum()) and accuracy > 0.6
+    assert (got[2]["status"], got[2]["accuracy"], got[2]["valid"]) == ("pure route", 1.0, True)
+    assert got[3]["status"].startswith("insufficient") and got[3]["accuracy"] is None and not got[3]["valid"]
+    assert (got[4]["status"], got[4]["n_samples"], got[4]["route_purity"]) == ("empty route", 0, None)
+    told = {r["route_id"]: r for r in scores.route_regression(frame.withColumnRenamed("value", "target"), 5, 5).collect()}
+    for r in (0, 1):
+        own = route == r
+        y = value[own]
+        p = plain_predictions(x[own], y[:, None], fold[own])[:, 0]
+        rank = lambda v: np.argsort(np.argsort(v))
+        assert told[r]["r2"] == pytest.approx(1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum(), abs=1e-6)
+        assert told[r]["rank_correlation"] == pytest.approx(np.corrcoef(rank(y), rank(p))[0, 1], abs=1e-9) and told[r]["r2"] > 0.9
+    assert [told[r]["status"] for r in (2, 3, 4)] == ["constant target", "insufficient samples for 5-fold regression", "empty route"]
+    with pytest.raises(ValueError):
+        scores.route_regression(frame.withColumnRenamed("value", "target"), 5, 1)

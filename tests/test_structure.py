@@ -288,3 +288,17 @@ def test_cover_equals_going_through_the_rows(spark, seed):
             want |= {j: i for j in beside[i] if j not in want}
     got = groups.greedy_cover(spark.range(n).withColumnRenamed("id", "row_id"), spark.createDataFrame(sorted(links), "i long, j long"))
     assert {r["row_id"]: r["seed"] for r in got.collect()} == want
+
+
+# copies
+
+
+@pytest.mark.parametrize("k,share", [(3, 0.34), (6, 0.9)])
+def test_neighbours_of_copies_go_by_least_ids(spark, k, share):
+    rng = np.random.default_rng(k)
+    x = rng.integers(-3, 4, (160, 2)).astype(float)
+    x[rng.random(160) < share] = [1.0, 1.0]
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    want = {(i, r + 1): j for i in range(160) for r, j in enumerate([j for j in sorted(range(160), key=lambda j: (d2[i, j], j)) if j != i][:k])}
+    got = knn(cloud_of(spark, x).repartition(5), k, pack_rows=20).collect()
+    assert {(r["i"], r["rank"]): r["j"] for r in got} == want and all(r["d2"] == d2[r["i"], r["j"]] for r in got)

@@ -19,6 +19,8 @@ from .cloud import width
 
 #: Rows of a pack, about, and pivots, at most: these are sent to all tasks.
 PACK_ROWS, MOST_PIVOTS = 1024, 4096
+#: Groups of equal rows that hold over one in so many rows are joined by broadcast.
+HOT_KEYS = 1000
 #: Squared distances up to which rows count as duplicates; least scale.
 DUPLICATE, LEAST_SCALE = 1e-24, 1e-8
 
@@ -76,8 +78,53 @@ def packs(points: DataFrame, pack_rows: int = PACK_ROWS) -> tuple[DataFrame, np.
     return save(packed.withColumn("pack", F.monotonically_increasing_id()), "packs"), pivots
 
 
-def knn(points: DataFrame, k: int, pack_rows: int = PACK_ROWS) -> DataFrame:
-    """i, j, d2, rank: the k nearest other rows of each row, ties to the least id."""
+def knn(points: DataFrame, k: int, pack_rows: int = PACK_ROWS, distinct: bool = False) -> DataFrame:
+    """i, j, d2, rank: the k nearest other rows of each row, ties to the least id.
+
+    Equal rows are one while packs meet, so copies cost no more than the rows that they are written to; distinct says that there are none.
+    """
+    rows = points.select("row_id", "x")
+    if distinct:
+        return _knn(rows, k, pack_rows)
+    groups = save(rows.groupBy("x").agg(F.min("row_id").alias("rep"), F.count("*").alias("times")), "distinct-rows")
+    near = _knn(groups.select(F.col("rep").alias("row_id"), "x"), k, pack_rows)
+    copies = groups.where("times > 1")
+    if copies.isEmpty():
+        return near
+    return _of_copies(save(rows, "rows"), groups, save(near, "distinct-neighbors"), k)
+
+
+def _joined_by(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with what keyed (key once, times: how many rows have it) has; keys of over a thousandth of all rows, of which there are a thousand at most, are broadcast."""
+    hot = F.col("times") * HOT_KEYS > total
+    many = keyed.where(hot)
+    apart = rows.join(F.broadcast(many.select(key)), key, "left_anti").join(keyed.where(~hot), key)
+    return rows.join(F.broadcast(many), key).unionByName(apart)
+
+
+def _of_copies(rows: DataFrame, groups: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """The neighbours of all rows from those of distinct ones: the nearest of the k + 1 least ids of a row's own group and of its neighbours' groups."""
+    total = groups.agg(F.sum("times")).first()[0]
+    member = save(_joined_by(rows, groups, "x", total).select("row_id", "rep", "times"), "members")
+
+    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            yield frame.sort_values("row_id").groupby("rep").head(k + 1)
+
+    # each batch gives k + 1 ids of a group at most
+    few = member.where("times > 1").select("rep", "row_id").mapInPandas(least, "rep long, row_id long")
+    listed = save(few.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("row_id")), 1, k + 1).alias("ids")), "least-ids")
+    others = near.select("i", F.col("j").alias("rep"), "d2").join(listed, "rep", "left").select("i", "d2", F.explode(F.coalesce("ids", F.array("rep"))).alias("id"))
+    own = listed.select(F.col("rep").alias("i"), F.lit(0.0).alias("d2"), F.explode("ids").alias("id"))
+    order = F.row_number().over(Window.partitionBy("i").orderBy("d2", "id"))
+    best = others.unionByName(own).withColumn("o", order).where(F.col("o") <= k + 1)
+    lists = best.groupBy(F.col("i").alias("rep")).agg(F.array_sort(F.collect_list(F.struct("d2", "id"))).alias("best")).join(groups.select("rep", "times"), "rep")
+    met = _joined_by(member.select("row_id", "rep"), save(lists, "neighbor-lists"), "rep", total)
+    kept = met.select(F.col("row_id").alias("i"), F.posexplode(F.slice(F.filter("best", lambda s: s["id"] != F.col("row_id")), 1, k)).alias("at", "s"))
+    return kept.select("i", F.col("s.id").alias("j"), F.col("s.d2").alias("d2"), (F.col("at") + 1).alias("rank"))
+
+
+def _knn(points: DataFrame, k: int, pack_rows: int) -> DataFrame:
     packed, pivots = packs(points, pack_rows)
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,7 +204,7 @@ def local_scale(points: DataFrame) -> DataFrame:
     n, k = groups.count(), 2
     while True:
         # where the k nearest rows of some are all duplicates within the tolerance, more are looked at
-        near = save(knn(groups, min(k, max(1, n - 1))).where(F.col("d2") > DUPLICATE).groupBy(F.col("i").alias("row_id")).agg(F.sqrt(F.min("d2")).alias("d")), "scales")
+        near = save(knn(groups, min(k, max(1, n - 1)), distinct=True).where(F.col("d2") > DUPLICATE).groupBy(F.col("i").alias("row_id")).agg(F.sqrt(F.min("d2")).alias("d")), "scales")
         if k >= n - 1 or groups.join(near, "row_id", "left_anti").isEmpty():
             break
         k *= 8

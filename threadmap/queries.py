@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import vectors as vec
 from .operators import cloud as cl
 from .operators import features as ft
-from .operators import electrical, frames, graph, groups, junctions, lookups, paths, ranges, replicates, routes, scaling
+from .operators import electrical, frames, graph, groups, junctions, lookups, paths, ranges, replicates, routes, scaling, scores
 from .operators import neighbors as nb
 from .plans import coverage as ribs
 from .plans import model, stability
@@ -759,6 +759,18 @@ def first_level(spark, sf_dir):
     return ancestry.where("level = 1").select("row_id", "rep")
 
 
+@query("q82_route_regression", """WITH k AS (SELECT l_orderkey * 8 + l_linenumber AS row_id, l_linenumber AS route_id, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y FROM lineitem),
+       f AS (SELECT *, floor(('0x' || substr(md5('0:' || row_id), 1, 8))::BIGINT / 4294967296.0 * 5)::INT AS fold FROM k),
+       m AS (SELECT a.route_id, b.fold, regr_slope(a.y, a.x) AS slope, regr_intercept(a.y, a.x) AS icept FROM f a JOIN (SELECT DISTINCT fold FROM f) b ON a.fold <> b.fold GROUP BY 1, 2)
+       SELECT route_id, count(*) AS n_samples, round(1 - sum(pow(y - icept - slope * x, 2)) / (var_pop(y) * count(*)), 5) AS r2 FROM f JOIN m USING (route_id, fold) GROUP BY 1""")
+def route_regression(spark, sf_dir):
+    """How well a line item's quantity tells its price, out of five folds, for each line number as a route."""
+    items = table(spark, sf_dir, "lineitem")
+    rows = items.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("row_id"), F.col("l_linenumber").cast("int").alias("route_id"), F.array(F.col("l_quantity").cast("double")).alias("features"), F.col("l_extendedprice").cast("double").alias("target"))
+    routes = items.agg(F.max("l_linenumber")).first()[0] + 1
+    return scores.route_regression(rows, routes, 5).where("n_samples > 0").select("route_id", "n_samples", _r("r2", 5))
+
+
 @query("hierarchy_invariants", "SELECT count(*) AS n, count(*) AS least_covered, count(*) AS most_covered, true AS of_cloud, true AS shrinks, true AS nested FROM embeddings")
 def hierarchy_invariants(spark, sf_dir):
     """Each level's representatives stand for every row once, are rows, are fewer than before, and are among those before."""
