@@ -12,8 +12,8 @@ Which pairs are counted:
    either set rule the pair out (all three are bounds that no pair at the similarity exceeds).
 2. Pairs that meet often enough where at most SMALL sets meet are compared at once. In larger groups every set is compared with
    the group's leaders only, in STARS rounds. What is linked by then is one component.
-3. In groups that still have several components all pairs of different ones are compared,
-   in cells of bounded size. So the components are those of all links, while a group of near
+3. In groups that still have several components a few pairs of each set with another one are
+   tried, and then all pairs of different components are compared, in cells of bounded size. So the components are those of all links, while a group of near
    copies costs about as many pairs as it has members.
 
 The global order comes from counts over all texts in CELLS cells; any order is right, and
@@ -50,6 +50,8 @@ FRAGMENTS = 4
 SHARED = 3
 #: Sets of a group up to which all its pairs are compared at once, and rounds in which larger groups meet their leaders.
 SMALL, STARS = 8, 2
+#: Partners of a set in another component that are tried before all are.
+FEW = 2
 #: Sets of a block, in groups whose pairs are compared in cells.
 BLOCK = 1024
 #: Bits of a set's bitmap.
@@ -263,11 +265,12 @@ def star_pairs(open_: DataFrame, seed: int, percent: int = PERCENT) -> DataFrame
     return met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), pick("n", "m").alias("na"), pick("m", "n").alias("nb")).distinct()
 
 
-def cell_pairs(open_: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def cell_pairs(open_: DataFrame, sets: DataFrame, percent: int = PERCENT, most: int = 0) -> DataFrame:
     """a < b, na, nb: pairs of groups' members (key, node, n, root) of different components that length and bitmap leave.
 
     A group is cut into blocks of about BLOCK sets, and two blocks meet in one cell. A pair that meets in several of these
-    groups is compared in that of the least key.
+    groups is compared in that of the least key. With most, each set gets that many partners of another component in a cell
+    at most, which is for rounds before the one that compares all.
     """
     sizes = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     keys = open_.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # no more than a set's first n-grams
@@ -295,6 +298,10 @@ def cell_pairs(open_: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Dat
             if len(y) and len(before[x]):
                 met = set(before[x].tolist())
                 y = y[[met.isdisjoint(before[v].tolist()) for v in y]]
+            if most and len(y):
+                order = np.argsort(root[y], kind="stable")
+                of = root[y][order]
+                y = y[order[np.arange(len(y)) - np.searchsorted(of, of) < most]]
             if len(y):
                 low = node[y] < node[x]
                 yield pa.record_batch([pa.array(np.minimum(node[y], node[x])), pa.array(np.maximum(node[y], node[x])), pa.array(np.where(low, n[y], n[x])), pa.array(np.where(low, n[x], n[y]))], ["a", "b", "na", "nb"])
@@ -421,10 +428,11 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, cells: i
         if open_.isEmpty():
             break
         verify(star_pairs(open_, seed, percent))
-    else:
+    for most in (FEW, 0):
         open_ = still_open()
-        if not open_.isEmpty():
-            verify(cell_pairs(open_, sets, percent))
+        if open_.isEmpty():
+            break
+        verify(cell_pairs(open_, sets, percent, most))
 
     named = sets.select("same", "node", "least", "times")
     named = named.withColumn("root", F.col("node")) if found is None else named.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
