@@ -701,7 +701,7 @@ def refined_paths(spark, sf_dir):
 def coverage_ribs(spark, sf_dir):
     """The route through the labels' means with ribs where it leaves rows far off: error by round."""
     points = standardized_embeddings(spark, sf_dir)
-    covered = ribs.coverage_ribs(points, save(label_route(points), "label-route"), 1.0)
+    covered = ribs.coverage_ribs(points, save(label_route(points), "label-route"), 1.0, rounds=2)
     return spark.createDataFrame([(h["round"], h["ribs"], float(h["quantile_error"]), float(h["max_error"])) for h in covered.history], "round int, ribs int, quantile_error double, max_error double")
 
 
