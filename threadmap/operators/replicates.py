@@ -6,10 +6,15 @@ however the rows are dealt. k-means over replicates is one job a round, with one
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.vectors import sqdist
 from ..sources.tables import save
@@ -20,6 +25,8 @@ from .groups import MOST_CENTERS
 DRAWS, OVERSAMPLING = 4, 2
 #: Starts of which the best is taken where candidates are condensed to centers.
 RESTARTS = 8
+#: Distances that a task holds at a time.
+BLOCK = 1 << 20
 
 
 def share(seed: int, *columns: Column | str) -> Column:
@@ -42,20 +49,55 @@ def replicates(points: DataFrame, runs: int, fraction: float = 0.8, seed: int =
     return out.withColumn("x", F.transform("x", lambda v, i: v + jitter * normal(i)))
 
 
-def by_replicate(centers: DataFrame, key: str = "center", vector: str = "c") -> DataFrame:
-    """Each replicate's centers as one row (replicate, all), to go to all tasks after a check of their number."""
+def held_by_replicate(centers: DataFrame, key: str = "center", vector: str = "c") -> Broadcast:
+    """Each replicate's centers in the order of their numbers, as arrays (numbers, vectors); they go to all tasks after a check of their number."""
     if centers.limit(MOST_CENTERS + 1).count() > MOST_CENTERS:
         raise ValueError(f"more than {MOST_CENTERS} centers of replicates")
-    return F.broadcast(centers.groupBy("replicate").agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("center"), F.col(vector).alias("c")))).alias("all")))
-
-
-def _distances() -> Column:
-    return F.transform("all", lambda s: F.struct(sqdist(F.col("x"), s["c"]).alias("d2"), s["center"].alias("center")))
+    listed = centers.select("replicate", F.col(key).alias("center"), F.col(vector).alias("c")).toPandas().sort_values("center")
+    each = {int(r): (part["center"].to_numpy(np.int64), np.array(part["c"].tolist(), float)) for r, part in listed.groupby("replicate")}
+    return centers.sparkSession.sparkContext.broadcast(each)
+
+
+def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of rows and centers, added up feature by feature, as functions.vectors does."""
+    d2 = np.zeros((len(x), len(c)))
+    for j in range(x.shape[1]):
+        d2 += (x[:, j, None] - c[None, :, j]) ** 2
+    return d2
+
+
+def _by_replicate(batch: pa.RecordBatch, held: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Places in the batch, their squared distances to their replicate's centers, the centers' numbers, the replicate; BLOCK numbers at a time."""
+    if not batch.num_rows:
+        return
+    replicate = batch.column(batch.schema.get_field_index("replicate")).to_numpy()
+    vectors = batch.column(batch.schema.get_field_index("x"))
+    x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    for r in np.unique(replicate):
+        if int(r) not in held:
+            continue
+        numbers, c = held[int(r)]
+        mine, step = np.flatnonzero(replicate == r), max(1, BLOCK // len(c))
+        for at in range(0, len(mine), step):
+            part = mine[at : at + step]
+            yield part, _squared(x[part], c), numbers, int(r)
 
 
 def nearest_in_replicate(rows: DataFrame, centers: DataFrame) -> DataFrame:
     """rows (replicate, x, ...) with center and d2 of the nearest of the replicate's centers (replicate, center, c), ties to the least."""
-    return rows.join(by_replicate(centers), "replicate").withColumn("b", F.array_min(_distances())).select(*rows.columns, "b.center", "b.d2")
+    shared = held_by_replicate(centers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            center, d2 = np.full(batch.num_rows, -1, np.int64), np.zeros(batch.num_rows)
+            met = np.zeros(batch.num_rows, bool)
+            for part, away, numbers, _ in _by_replicate(batch, shared.value):
+                best = away.argmin(1)
+                center[part], d2[part], met[part] = numbers[best], away[np.arange(len(part)), best], True
+            whole = pa.RecordBatch.from_arrays([*batch.columns, pa.array(center), pa.array(d2)], names=[*batch.schema.names, "center", "d2"])
+            yield whole.filter(pa.array(met))
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("center", LongType()), StructField("d2", DoubleType())]))
 
 
 def _means(rows: DataFrame, d: int) -> DataFrame:
@@ -87,7 +129,7 @@ def _condensed(k: int, seed: int):
                 d2 = ((x[:, None] - m[None]) ** 2).sum(2)
                 own = d2.argmin(1)
                 m = np.array([np.average(x[own == i], axis=0, weights=w[own == i]) if (own == i).any() else m[i] for i in range(len(m))])
-            cost = float((((x[:, None] - m[None]) ** 2).sum(2).min(1) * w).sum())
+            cost = float((_squared(x, m).min(1) * w).sum())
             if cost < best:
                 best, c = cost, m
         return pd.DataFrame({"replicate": replicate, "center": np.arange(len(c)), "c": list(c)}).astype({"replicate": "int32", "center": "int64"})
@@ -113,7 +155,8 @@ def grouped_kmeans(rows: DataFrame, k: int, rounds: int = 8, seed: int = 0) -> D
         found = save(found.union(new).dropDuplicates(["replicate", "center"]), "candidates")
     weights = nearest_in_replicate(rows, found).groupBy("replicate", "center").agg(F.count("*").alias("n"))
     kinds = "replicate int, center long, c array<double>"
-    centers = save(found.join(weights, ["replicate", "center"]).groupBy("replicate").applyInPandas(_condensed(k, seed), kinds), "centers")
+    weighed = found.join(weights, ["replicate", "center"]).repartition(rows.sparkSession.sparkContext.defaultParallelism, "replicate")  # few rows, of much work each
+    centers = save(weighed.groupBy("replicate").applyInPandas(_condensed(k, seed), kinds), "centers")
     for _ in range(rounds):
         moved = _means(nearest_in_replicate(rows, centers), d).withColumnRenamed("c", "m")
         centers = save(centers.join(moved, ["replicate", "center"], "left").select("replicate", "center", F.coalesce("m", "c").alias("c")), "centers")
@@ -122,9 +165,21 @@ def grouped_kmeans(rows: DataFrame, k: int, rounds: int = 8, seed: int = 0) -> D
 
 def grouped_links(rows: DataFrame, centers: DataFrame) -> DataFrame:
     """replicate, src < dst, n, length: how many of a replicate's rows have these of its centers as their two nearest, and how far apart they are."""
-    two = rows.join(by_replicate(centers), "replicate").select("replicate", F.array_sort(_distances()).alias("o")).where(F.size("o") > 1)
-    p, q = (F.get("o", F.lit(i))["center"] for i in (0, 1))
-    counts = two.groupBy("replicate", F.least(p, q).alias("src"), F.greatest(p, q).alias("dst")).agg(F.count("*").alias("n"))
+    shared = held_by_replicate(centers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, away, numbers, r in _by_replicate(batch, shared.value):
+                if len(numbers) < 2:
+                    continue
+                p = away.argmin(1)
+                away[np.arange(len(part)), p] = np.inf
+                ends = np.sort(np.stack([numbers[p], numbers[away.argmin(1)]], 1), 1)
+                links, n = np.unique(ends, axis=0, return_counts=True)
+                columns = [pa.array(np.full(len(n), r, np.int32)), pa.array(links[:, 0]), pa.array(links[:, 1]), pa.array(n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["replicate", "src", "dst", "n"])
+
+    counts = rows.select("replicate", "x").mapInArrow(run, "replicate int, src long, dst long, n long").groupBy("replicate", "src", "dst").agg(F.sum("n").alias("n"))
     a, b = (F.broadcast(centers.select("replicate", F.col("center").alias(s), F.col("c").alias(f"c_{s}"))) for s in ("src", "dst"))
     return counts.join(a, ["replicate", "src"]).join(b, ["replicate", "dst"]).select("replicate", "src", "dst", "n", F.sqrt(sqdist(F.col("c_src"), F.col("c_dst"))).alias("length"))
 

@@ -177,7 +177,8 @@ def directed_distances(a: DataFrame, b: DataFrame) -> DataFrame:
     """a_route, b_route, d: for each vertex of routes a its distance to routes b (both route_id, at, c); b must be few."""
     _few(b)
     table = F.broadcast(b.groupBy(F.col("route_id").alias("b_route")).agg(F.collect_list("c").alias("cs")))
-    return a.join(table).select(F.col("route_id").alias("a_route"), "b_route", F.array_min(F.transform("cs", lambda c: distance(F.col("c"), c))).alias("d"))
+    spread = a.repartition(a.sparkSession.sparkContext.defaultParallelism, "route_id", "at")  # few rows, of much work each
+    return spread.join(table).select(F.col("route_id").alias("a_route"), "b_route", F.array_min(F.transform("cs", lambda c: distance(F.col("c"), c))).alias("d"))
 
 
 def route_distance(a: DataFrame, b: DataFrame, q: float = 0.9) -> DataFrame:

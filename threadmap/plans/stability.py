@@ -114,7 +114,8 @@ def recurring_corridors(routes: DataFrame, fit: Replicated, tolerance: float) ->
         alpha = F.when(vv <= 1e-24, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(minus(F.col("c"), e["s"]), e["v"]) / vv)))
         return F.struct(distance(F.col("c"), plus_scaled(e["s"], alpha, e["v"])).alias("d"), e["part"].alias("part"))
 
-    placed = routes.join(F.broadcast(listed), "route_id").select("replicate", "route_id", "at", F.array_min(F.transform("edges", gap)).alias("b"))
+    spread = routes.repartition(routes.sparkSession.sparkContext.defaultParallelism, "route_id", "at")  # few rows, of much work each
+    placed = spread.join(F.broadcast(listed), "route_id").select("replicate", "route_id", "at", F.array_min(F.transform("edges", gap)).alias("b"))
     last = placed.groupBy("replicate", "route_id").agg(F.max("at").alias("last"))
     step = F.greatest(F.lit(1.0), F.col("last") / F.lit(float(ANCHORS - 1)))
     anchor = (F.floor(F.col("at") / step) != F.floor((F.col("at") - 1) / step)) | (F.col("at") == F.col("last"))
