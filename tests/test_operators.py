@@ -30,6 +30,20 @@ def test_knn_is_exact(spark, pack_rows):
             assert got[i, rank] == (pytest.approx(d2, abs=1e-12), j)
 
 
+def test_packs_that_meet_are_not_shuffled(spark):
+    x = np.random.default_rng(1).normal(size=(60, 3))
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = nb.knn(points(spark, x), 4, 5)
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r["i"], r["rank"], r["j"]) for r in near.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+    assert "SortMergeJoin" not in plan and "CartesianProduct" in plan
+    assert got == [(i, rank, j) for i, want in enumerate(brute_knn(x, 4)) for rank, (_, j) in enumerate(want, 1)]
+
+
 def test_chain_components_and_tree(spark):
     p = points(spark, [[0], [1], [3], [10]])
     mutual = nb.mutual_edges(nb.knn(p, 1))
