@@ -302,3 +302,36 @@ def test_neighbours_of_copies_go_by_least_ids(spark, k, share):
     want = {(i, r + 1): j for i in range(160) for r, j in enumerate([j for j in sorted(range(160), key=lambda j: (d2[i, j], j)) if j != i][:k])}
     got = knn(cloud_of(spark, x).repartition(5), k, pack_rows=20).collect()
     assert {(r["i"], r["rank"]): r["j"] for r in got} == want and all(r["d2"] == d2[r["i"], r["j"]] for r in got)
+
+
+def jobs_of(spark, work):
+    name = f"counted-{id(work)}"
+    spark.sparkContext.setJobGroup(name, "counted")
+    try:
+        out = work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_long_ways_are_few_jobs_and_the_same_as_in_rounds(spark):
+    far = 2**60
+    rng = np.random.default_rng(3)
+    chain = [(far + i, far + i + 1, 1.0) for i in range(40)]
+    some = [(int(a), int(b), float(w)) for a, b, w in zip(*rng.integers(0, 30, (2, 90)), rng.integers(0, 3, 90))]
+    table = save(spark.createDataFrame(chain + some, "src long, dst long, length double"), "some-edges")
+    sources = spark.createDataFrame([(0, far), (1, 3)], "search int, node long")
+    got, jobs = jobs_of(spark, lambda: sorted((r["search"], r["node"], r["length"]) for r in paths.distances(table, sources).collect()))
+    want = sorted((r["search"], r["node"], r["length"]) for r in paths.distances(table, sources, rounds=45).collect()) if jobs < 30 else None
+    assert jobs < 30 and got == want
+    way = [r["node"] for r in paths.walked(paths.distances(table, sources), spark.createDataFrame([(0, far + 40)], "search int, node long")).orderBy("step").collect()]
+    assert way == [far + i for i in range(41)]
+
+
+def test_ways_over_equal_rows_dont_go_in_circles(spark):
+    table = spark.createDataFrame([(5, 9, 1.0), (3, 9, 0.0), (3, 4, 0.0), (4, 9, 0.0), (4, 7, 1.0)], "src long, dst long, length double")
+    sources, targets = (spark.createDataFrame([(0, n)], "search int, node long") for n in (5, 7))
+    for rounds in (None, 20):
+        found = save(paths.distances(table, sources, rounds), "found")
+        assert {r["node"]: r["length"] for r in found.collect()} == {5: 0.0, 9: 1.0, 3: 1.0, 4: 1.0, 7: 2.0}
+        assert {r["node"]: r["before"] for r in found.collect()}[9] == 5
