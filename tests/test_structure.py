@@ -335,3 +335,10 @@ def test_ways_over_equal_rows_dont_go_in_circles(spark):
         found = save(paths.distances(table, sources, rounds), "found")
         assert {r["node"]: r["length"] for r in found.collect()} == {5: 0.0, 9: 1.0, 3: 1.0, 4: 1.0, 7: 2.0}
         assert {r["node"]: r["before"] for r in found.collect()}[9] == 5
+
+
+def test_matches_in_turn_dont_wait_for_each_other(spark):
+    references = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(25)] + [(99, [3.0, 0.0])], "row_id long, x array<double>")
+    candidates = spark.createDataFrame([(100 + i, [i + 0.01, 0.0]) for i in range(25)], "row_id long, x array<double>")
+    got, jobs = jobs_of(spark, lambda: sorted((r["i"], r["j"]) for r in ranges.matched_within(references, candidates, 1.2).collect()))
+    assert got == [(i, 100 + i) for i in range(25)] and jobs < 40
