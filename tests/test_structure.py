@@ -342,3 +342,15 @@ def test_matches_in_turn_dont_wait_for_each_other(spark):
     candidates = spark.createDataFrame([(100 + i, [i + 0.01, 0.0]) for i in range(25)], "row_id long, x array<double>")
     got, jobs = jobs_of(spark, lambda: sorted((r["i"], r["j"]) for r in ranges.matched_within(references, candidates, 1.2).collect()))
     assert got == [(i, 100 + i) for i in range(25)] and jobs < 40
+
+
+def test_rings_of_many_centers_are_few_jobs_and_the_same_as_over_keys(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(50, 2))
+    points = save(cloud_of(spark, x), "cloud")
+    edges = save(edges_of(points, 4), "edges")
+    centers = save(points.select(F.col("row_id").alias("center"), F.col("x").alias("c"), (0.3 + F.col("row_id") / 60).alias("base")), "centers")
+    count = lambda: sorted(tuple(r) for r in junctions.ring_arms(points, edges, centers, junctions.scales()).collect())
+    got, jobs = jobs_of(spark, count)
+    monkeypatch.setattr(junctions, "MOST_EDGES", 1)
+    want, _ = jobs_of(spark, count)
+    assert got == want and len(got) == 300 and jobs < 15
