@@ -354,3 +354,18 @@ def test_rings_of_many_centers_are_few_jobs_and_the_same_as_over_keys(spark, mon
     monkeypatch.setattr(junctions, "MOST_EDGES", 1)
     want, _ = jobs_of(spark, count)
     assert got == want and len(got) == 300 and jobs < 15
+
+
+def test_distances_of_long_routes_are_those_of_all_pairs(spark):
+    from threadmap.operators.routes import directed_distances
+
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(600, 24)), rng.normal(size=(300, 24))
+    routes = [spark.createDataFrame([(r % 2, r // 2, [float(v) for v in x]) for r, x in enumerate(m)], "route_id int, at int, c array<double>") for m in (a, b)]
+    got = {}
+    for r in directed_distances(*routes).collect():
+        got.setdefault((r["a_route"], r["b_route"]), []).append(r["d"])
+    for i in range(2):
+        for j in range(2):
+            want = np.sqrt(((a[i::2, None] - b[None, j::2]) ** 2).sum(2).min(1))
+            assert np.allclose(sorted(got[i, j]), sorted(want))

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..functions.vectors import distance, dot, minus, norm, plus_scaled, sqdist
 from .neighbors import DUPLICATE
@@ -19,6 +20,8 @@ from .neighbors import DUPLICATE
 #: Decimals of squared distances that are compared, so ties at shared vertices go to the first route and segment.
 TIE_DIGITS = 9
 MOST_SEGMENTS = 50_000
+#: Vertices of a route that are compared with another route at a time, about.
+VERTICES_AT_ONCE = 256
 
 
 def segments(vertices: DataFrame, closed: bool = False) -> DataFrame:
@@ -176,9 +179,22 @@ def worst_rows(rows: DataFrame, n: int) -> DataFrame:
 def directed_distances(a: DataFrame, b: DataFrame) -> DataFrame:
     """a_route, b_route, d: for each vertex of routes a its distance to routes b (both route_id, at, c); b must be few."""
     _few(b)
+
+    @pandas_udf("array<double>")
+    def nearest(xs: pd.Series, cs: pd.Series) -> pd.Series:
+        out = []
+        for x, c in zip(xs, cs):
+            x, c = (np.array([np.asarray(r, float) for r in m]) for m in (x, c))
+            d2 = np.zeros((len(x), len(c)))
+            for j in range(x.shape[1]):
+                d2 += (x[:, j, None] - c[None, :, j]) ** 2
+            out.append(np.sqrt(d2.min(1)))
+        return pd.Series(out)
+
     table = F.broadcast(b.groupBy(F.col("route_id").alias("b_route")).agg(F.collect_list("c").alias("cs")))
-    spread = a.repartition(a.sparkSession.sparkContext.defaultParallelism, "route_id", "at")  # few rows, of much work each
-    return spread.join(table).select(F.col("route_id").alias("a_route"), "b_route", F.array_min(F.transform("cs", lambda c: distance(F.col("c"), c))).alias("d"))
+    some = a.groupBy(F.col("route_id").alias("a_route"), F.floor(F.col("at") / VERTICES_AT_ONCE).alias("part")).agg(F.collect_list("c").alias("xs"))
+    spread = some.repartition(a.sparkSession.sparkContext.defaultParallelism, "a_route", "part")  # few rows, of much work each
+    return spread.join(table).select("a_route", "b_route", F.explode(nearest("xs", "cs")).alias("d"))
 
 
 def route_distance(a: DataFrame, b: DataFrame, q: float = 0.9) -> DataFrame:

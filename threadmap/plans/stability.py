@@ -6,13 +6,15 @@ where a route of its lies along it, one to one, or where its corridor is connect
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import distance, dot, minus, norm, plus_scaled
+from ..functions.vectors import distance, minus, norm, plus_scaled
 from ..operators.graph import roots
 from ..operators.groups import as_row
 from ..operators.ranges import greedy_matching
@@ -109,13 +111,24 @@ def recurring_corridors(routes: DataFrame, fit: Replicated, tolerance: float) ->
         named = named.join(fit.fine_nodes.select("replicate", F.col("node").alias(end), F.col("c").alias(f"c_{end}")), ["replicate", end])
     listed = named.groupBy("replicate", "route_id").agg(F.collect_list(F.struct("part", F.col("c_src").alias("s"), minus(F.col("c_dst"), F.col("c_src")).alias("v"))).alias("edges"))  # of a network of landmarks
 
-    def gap(e):
-        vv = dot(e["v"], e["v"])
-        alpha = F.when(vv <= 1e-24, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(minus(F.col("c"), e["s"]), e["v"]) / vv)))
-        return F.struct(distance(F.col("c"), plus_scaled(e["s"], alpha, e["v"])).alias("d"), e["part"].alias("part"))
-
-    spread = routes.repartition(routes.sparkSession.sparkContext.defaultParallelism, "route_id", "at")  # few rows, of much work each
-    placed = spread.join(F.broadcast(listed), "route_id").select("replicate", "route_id", "at", F.array_min(F.transform("edges", gap)).alias("b"))
+    def gaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for replicate, route, s, v, part, at, c in frame.itertuples(index=False):
+                s, v, c = (np.array([np.asarray(r, float) for r in m]) for m in (s, v, c))
+                part, vv = np.asarray(part), (v * v).sum(1)
+                nearest = []
+                for place in c:
+                    off = place - s
+                    alpha = np.where(vv <= 1e-24, 0.0, np.clip((off * v).sum(1) / np.maximum(vv, 1e-24), 0.0, 1.0))
+                    d = np.sqrt(((off - alpha[:, None] * v) ** 2).sum(1))
+                    nearest.append((d.min(), part[d == d.min()].min()))
+                yield pd.DataFrame({"replicate": replicate, "route_id": route, "at": np.asarray(at), "d": [n[0] for n in nearest], "part": [n[1] for n in nearest]})
+
+    places = routes.groupBy("route_id").agg(F.collect_list(F.struct("at", "c")).alias("places"))  # so many samples of a route
+    columns = listed.join(F.broadcast(places), "route_id").select("replicate", "route_id", F.col("edges.s").alias("s"), F.col("edges.v").alias("v"), F.col("edges.part").alias("part"), F.col("places.at").alias("at"), F.col("places.c").alias("c"))
+    spread = columns.repartition(routes.sparkSession.sparkContext.defaultParallelism, "replicate", "route_id")  # few rows, of much work each
+    kinds = ", ".join(f"{n} {t.schema[n].dataType.simpleString()}" for n, t in (("replicate", columns), ("route_id", columns), ("at", routes)))
+    placed = spread.mapInPandas(gaps, f"{kinds}, d double, part long").select("replicate", "route_id", "at", F.struct("d", "part").alias("b"))
     last = placed.groupBy("replicate", "route_id").agg(F.max("at").alias("last"))
     step = F.greatest(F.lit(1.0), F.col("last") / F.lit(float(ANCHORS - 1)))
     anchor = (F.floor(F.col("at") / step) != F.floor((F.col("at") - 1) / step)) | (F.col("at") == F.col("last"))
