@@ -156,3 +156,31 @@ def test_nearest_takes_the_least_ids_of_ties_and_holds_far_from_the_origin():
         want = [(i, n, d) for i in range(len(x)) for d, n in sorted((float(((x[i] - x[m]) ** 2).sum()), int(ids[m])) for m in range(len(x)) if m != i)[:6]]
         assert list(zip(rows.tolist(), j.tolist())) == [w[:2] for w in want]
         assert np.allclose(d2, [w[2] for w in want])
+
+
+def test_packs_are_bytes_that_tasks_read_in_place(spark):
+    x = np.random.default_rng(4).normal(size=(60, 3))
+    held = nb.packs(points(spark, x), 10)
+    assert dict(held.dtypes)["ids"] == dict(held.dtypes)["xs"] == "binary"
+    got = {}
+    for r in held.collect():
+        ids = np.frombuffer(r["ids"], "<i8")
+        got.update(zip(ids.tolist(), np.frombuffer(r["xs"], "<f8").reshape(len(ids), -1).tolist()))
+    assert got == dict(enumerate(x.tolist()))
+
+
+@pytest.mark.parametrize("shift", [0.0, 30.0, 1e6])
+def test_single_precision_rules_no_neighbour_out(shift):
+    x = np.round(np.random.default_rng(5).normal(size=(400, 5)), 1) + shift
+    ids = np.arange(400)[::-1].copy()
+    best = nb._Best(x[:200], ids[:200], 5, nb._bounds(x[:200], ids[:200], x[:200], ids[:200], 5))
+    for at in range(0, 400, 100):
+        best.add(x[at : at + 100], ids[at : at + 100])
+    got = {}
+    for r, j in zip(best.rows.tolist(), best.j.tolist()):
+        got.setdefault(r, []).append(j)
+    for i in range(200):
+        d2 = np.zeros(400)
+        for f in range(5):
+            d2 += (x[i, f] - x[:, f]) ** 2
+        assert got[i] == [j for _, j in sorted(zip(d2.tolist(), ids.tolist())) if j != ids[i]][:5]
