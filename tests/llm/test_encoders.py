@@ -437,3 +437,28 @@ def test_scores_of_empty_tables_and_odd_columns(spark):
     got = lm_score.scored(odd, BYTE)
     assert sorted(r["n_tokens"] for r in got.collect()) == [1, 3, 3, 3]
     assert lm_score.scored(odd.limit(0), BYTE).count() == 0
+
+
+def test_every_id_of_every_training_text_is_predicted_in_one_window(spark):
+    texts = [" ".join(f"w{i}x{j}" * (1 + j % 9) for j in range(n)) for i, n in enumerate([0, 1, 7, 8, 9, 40, 100])] + [None]
+    docs = documents(spark, texts).select("doc_id", "text")
+    ids = lm_score.Ids(BYTE)
+    assert lm_score.EVERY == 1
+    got = [np.frombuffer(r["w"], np.int16).tolist() for r in lm_score.id_windows(docs, BYTE, lm_score.EVERY).collect()]
+    expected = []
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            own = [ids.shape.ids, *ids._of_words([*(t or "").encode().split(), lm_score.END])[0].tolist()]
+            windows = [own[at : at + attention.WINDOW + 1] for at in range(0, len(own) - 1, attention.WINDOW)]
+            assert [x for w in windows for x in w[1:]] == own[1:]
+            expected += [(w + [-1] * attention.WINDOW)[: attention.WINDOW + 1] for w in windows]
+    assert sorted(got) == sorted(expected)
+
+
+def test_all_windows_train_the_weights(spark):
+    shape = lm_score.Ids(BYTE).shape
+    rows = [(np.full(attention.WINDOW + 1, i, np.int16).tobytes(), i) for i in range(50)]
+    base = np.zeros((shape.ids + 1, shape.clusters), np.float32)
+    made = lm_score.trained(spark.createDataFrame(rows, "w binary, h long"), 50, shape, base, 3, 5)
+    moved = np.abs(made["embed"] - attention.start_weights(shape)["embed"]).max(1) > 0
+    assert moved[:50].all() and not moved[50:].any()

@@ -11,8 +11,9 @@ them, given that a word begins. So the three parts are distributions over words,
 one, and their mixture is no more than one. a is left out at a text's first word. a and b are parameters.
 
 All training texts teach the model. Its tables of ids after ids come from the counts of all
-words; its weights are trained on one of EVERY windows of each text, in rounds in which each
-task goes over its share of the windows from the same weights and the results are averaged.
+words; its weights are trained on windows that hold every id of every training text once as what is
+predicted. A round takes its part of all windows; in it each task goes over its share from the
+same weights, and the results are averaged by windows.
 Counts of the HEAD most frequent words are held by all tasks, those of all others are joined
 to the words of the texts, for the base and the score alike; so HEAD changes no result.
 
@@ -41,9 +42,9 @@ from .words import Table, distinct, ranges, slices, split_at_white_space, sums
 
 #: Merges of the tokenizer that are used, so ids are few and a text's words share them.
 MERGES = 768
-#: One of so many windows of each training text trains the weights, and the words that a window is cut from.
-EVERY, WINDOW_WORDS = 16, 8
-#: Rounds of training, the windows that a task goes over in each, and the rate of the first.
+#: One of so many windows of each training text trains the weights, all of them where this is 1, and the words from which one of windows_of is cut.
+EVERY, WINDOW_WORDS = 1, 8
+#: Rounds of training, which share all windows, the windows that a task goes over in each, and the rate of the first.
 ROUNDS, TASK_WINDOWS, RATE = 3, 30_000, 0.01
 #: The shares a and b.
 RECENT, COUNTED = 0.12, 0.35
@@ -148,7 +149,7 @@ def ids_end(shape: attention.Shape) -> int:
 
 
 def windows_of(docs: DataFrame, tokenizer: str, every: int) -> DataFrame:
-    """w: one of so many windows of each text, as 16-bit ids, -1 after the text's end."""
+    """w: one of so many windows of each text that begin at every WINDOW_WORDS-th word, as 16-bit ids, -1 after the text's end; ids beyond are left out, so ``scored`` has id_windows."""
     size = attention.WINDOW + 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,30 +189,76 @@ def text_hash(counts: np.ndarray) -> np.ndarray:
     return (counts * 2654435761 >> 7) & 0xFFFF
 
 
-def trained(windows: DataFrame, shape: attention.Shape, base: np.ndarray, rounds: int, per_task: int) -> dict[str, np.ndarray]:
-    """Weights after so many rounds. A row for each weight comes from each task, summed before the shuffle's end."""
+def id_windows(docs: DataFrame, tokenizer: str, every: int = 1) -> DataFrame:
+    """w, h: the windows of each training text, as 16-bit ids, -1 after the text's end, and a hash of the document and the window's number.
+
+    A window begins with the last id of the one before, or the start id, so each id is predicted in one of them. All are
+    returned unless one of so many is asked for.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = Ids(tokenizer)
+        start, size = ids.shape.ids, attention.WINDOW
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                which, found, counts = words_and_counts(batch.column(1).slice(a, b - a))
+                ids.table.room()
+                own = ids.table.codes([*found.to_pylist(), END])
+                sizes = counts + 1
+                of_word = np.full(int(sizes.sum()), len(found), np.int64)
+                inner = np.ones(len(of_word), bool)
+                inner[np.cumsum(sizes) - 1] = False
+                of_word[inner] = which
+                flat, per_token = ids.table.ids(own[of_word])
+                per_text = sums(per_token, sizes)
+                n = -(-per_text // size)  # the end is an id, so there is a window at least
+                text = np.repeat(np.arange(len(n)), n)
+                number = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+                if every > 1:
+                    chosen = (number + text_hash(counts)[text]) % every == 0
+                    text, number = text[chosen], number[chosen]
+                begin = (np.cumsum(per_text) - per_text)[text] + number * size
+                take = np.minimum(per_text[text] - number * size, size)
+                out = np.full((len(text), size + 1), -1, np.int16)
+                out[:, 0] = np.where(number == 0, start, flat[np.maximum(begin - 1, 0)])
+                out[np.repeat(np.arange(len(text)), take), ranges(np.ones(len(text), np.int64), take)] = flat[ranges(begin, take)]
+                doc = batch.column(0).slice(a, b - a).to_numpy()[text].astype(np.uint64)
+                h = (doc * np.uint64(0x9E3779B97F4A7C15)) ^ (number.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * size + 2), len(out), [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([rows, pa.array((h ^ (h >> np.uint64(32))).view(np.int64))], names=["w", "h"])
+
+    return docs.where(crc_of("doc_id") % 7 != 2).select("doc_id", "text").mapInArrow(cut, "w binary, h long")
+
+
+def trained(windows: DataFrame, about: int, shape: attention.Shape, base: np.ndarray, rounds: int, per_task: int) -> dict[str, np.ndarray]:
+    """Weights after so many rounds over windows (w, h), of which there are about so many. A row for each weight comes from each task."""
     spark, w = windows.sparkSession, attention.start_weights(shape)
-    total = windows.count()
-    if not total:
-        return w
-    dealt = save(windows.repartition(max(1, -(-total // per_task)), F.xxhash64("w")).sortWithinPartitions(F.xxhash64(F.lit(3), "w")), "lm-windows")
+    dealt = save(windows.repartition(max(1, -(-about // (per_task * rounds))), "h").sortWithinPartitions("h", "w").select("w"), "lm-windows")
     names, sizes = [*w], [p.size for p in w.values()]
     for r in range(rounds):
         shared, rate = spark.sparkContext.broadcast((w, base)), RATE * (1 - r / rounds)
 
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = [x for batch in batches for x in batch.column(0).to_pylist()]
-            if not rows:
-                return
             own, tables = shared.value
-            after = attention.descend(dict(own), tables, shape, np.frombuffer(b"".join(rows), np.int16).reshape(len(rows), -1), rate)
+            parts, at = [], 0
+            for batch in batches:
+                # the round's part of all windows
+                mine = batch.column(0).take(pa.array(np.arange((r - at) % rounds, batch.num_rows, rounds)))
+                parts.append(np.frombuffer(b"".join(mine.to_pylist()), np.int16).reshape(len(mine), attention.WINDOW + 1))
+                at += batch.num_rows
+            rows = np.concatenate(parts) if parts else np.zeros((0, 0), np.int16)
+            if not len(rows):
+                return
+            after = attention.descend(dict(own), tables, shape, rows, rate)
             flat = np.concatenate([after[n].ravel() for n in names]).astype(float)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * len(rows)), pa.array(np.full(len(flat), len(rows)))], names=["i", "x", "n"])
 
         mean = dealt.mapInArrow(go, "i long, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas().sort_values("i")
-        parts = np.split(mean["x"].to_numpy(np.float32), np.cumsum(sizes)[:-1])
-        w = {n: x.reshape(w[n].shape) for n, x in zip(names, parts)}
         shared.unpersist()
+        if len(mean):
+            parts = np.split(mean["x"].to_numpy(np.float32), np.cumsum(sizes)[:-1])
+            w = {n: x.reshape(w[n].shape) for n, x in zip(names, parts)}
     return w
 
 
@@ -252,8 +299,9 @@ def scored(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
     head = {bytes(r["word"]): r["c"] for r in counts.where(F.col("c") >= least).collect()} if least else {}
 
     shape = Ids(tokenizer).shape
-    base, within = attention.corpus_tables(shape, *follow_counts(counts, tokenizer, shape))
-    weights = trained(save(windows_of(source, tokenizer, EVERY), "lm-sampled"), shape, base, ROUNDS, TASK_WINDOWS)
+    follows, ends = follow_counts(counts, tokenizer, shape)
+    base, within = attention.corpus_tables(shape, follows, ends)
+    weights = trained(id_windows(source, tokenizer, EVERY), int(follows.sum()) // (attention.WINDOW * EVERY), shape, base, ROUNDS, TASK_WINDOWS)
     counted = COUNTED if total else 0.0
     shared = spark.sparkContext.broadcast((head, attention.Model(shape, base, within, weights)))
     at_least = max(1, total)
