@@ -391,3 +391,15 @@ def test_edges_and_addresses_are_told_as_before():
         word = "".join(rng.choice("ab1.@!$+-:/(|_") for _ in range(rng.randrange(9)))
         assert toxicity.core(word) == sign.sub("", word.strip(toxicity._EDGE)).strip(toxicity._EDGE), word
         assert toxicity.address(word) == bool(mark.search(word)), word
+
+
+def test_near_duplicates_hold_few_texts_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_dedup, "HELD_BYTES", 1000)
+    texts = ["x" * 400, None, "y" * 5000, "", *(["z" * 300] * 7)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(near_dedup._few_texts([batch]))
+    assert [i for ids, _ in parts for i in ids.to_pylist()] == list(range(len(texts)))
+    assert [t for _, part in parts for t in part.to_pylist()] == texts
+    assert all(len(part) == 1 or sum(len(t or "") for t in part.to_pylist()) <= 1000 for _, part in parts)

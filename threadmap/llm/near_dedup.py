@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,7 @@ from pyspark.sql.functions import pandas_udf
 
 from . import bitslice, graph
 from .common import LOWER, UPPER, partitions, save
+from .words import slices
 
 SHINGLE_SEED = 42
 #: Groups with more distinct fingerprints are keyed again by further bits.
@@ -49,6 +51,9 @@ FIRST, MORE = 4, 8
 #: 0.8 a pair meets in one of them but for a chance of (1 - 0.8**2)**16, 8e-8.
 TABLES, MINIMA = 16, 2
 
+#: Bytes of texts whose shingles a worker holds at once; one longer text is held alone.
+HELD_BYTES = 1 << 21
+
 _BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _PIECE = 1 << 16
 
@@ -194,6 +199,13 @@ def _minima(hashes: np.ndarray) -> np.ndarray:
     return key
 
 
+def _few_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts of batches (doc_id, text), so many at a time that what is made of them stays small, however many rows a batch has."""
+    for batch in batches:
+        for a, b in slices(batch.column(1), HELD_BYTES):
+            yield batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, component_id, for documents that are linked to another whose shingle sets are that similar.
 
@@ -202,21 +214,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, te
     the document's component by then, MORE times as many in each round, until none is left.
     """
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, texts in _few_texts(batches):
             ids, fps, keys, sets = [], [], [], []
-            for i, x in zip(frame["doc_id"], frame["text"]):
+            for i, x in zip(held.to_pylist(), texts.to_pylist()):
                 h = np.unique(shingle_hashes(words_of(x), width))
-                if len(h) and not pd.isna(i):
+                if len(h) and i is not None:
                     ids.append(i)
                     fps.append(fingerprint_of(h))
-                    keys.append(_minima(h).view(np.int64).tolist())
+                    keys.append(_minima(h).view(np.int64))
                     sets.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
-            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "fp": _signed(fps), "keys": keys, "same": sets})
+            columns = [pa.array(ids, pa.int64()), pa.array(_signed(fps)), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "keys", "same"])
 
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketches = save(source.mapInPandas(sketch, "doc_id long, fp long, keys array<long>, same binary"), "sketches")
+    sketches = save(source.mapInArrow(sketch, "doc_id long, fp long, keys array<long>, same binary"), "sketches")
     alone = sketches.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count("*").alias("times"))
     alone = save(alone, "distinct-sets")
     equal = sketches.join(alone.where("times > 1").select("same", F.col("doc_id").alias("b")), "same").select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
@@ -226,18 +239,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, te
     crowded = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1").select("t", "k")
     members = save(keyed.join(crowded, ["t", "k"]).withColumn("done", F.lit(0).cast("long")), "buckets")
 
-    @pandas_udf("binary")
-    def shingle_set(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(words_of(x), width)).tobytes() for x in texts])
-
-    @pandas_udf("boolean")
-    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        def one(x: bytes, y: bytes) -> bool:
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(np.intersect1d(p, q, assume_unique=True))
-            return common >= similarity * (len(p) + len(q) - common) - 1e-9
+    def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _few_texts(batches):
+            sets = [np.unique(shingle_hashes(words_of(x), width)).tobytes() for x in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary())], names=["doc_id", "s"])
 
-        return pd.Series([one(x, y) for x, y in zip(left, right)], dtype=bool)
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column("s_a"), batch.column("s_b")):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                near.append(common >= similarity * (len(p) + len(q) - common) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     def compare(most: int):
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,10 +284,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, te
         tried = pairs if tried is None else tried.union(pairs)
 
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = save(source.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", shingle_set("text").alias("s")), "shingle-sets")
+        sets = save(source.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(shingle_sets, "doc_id long, s binary"), "shingle-sets")
         left = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("s_a"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("s_b"))
-        verified = save(pairs.join(right, "b").join(left, "a").where(similar("s_a", "s_b")).select("a", "b"), "verified")
+        verified = save(pairs.join(right, "b").join(left, "a").select("a", "b", "s_a", "s_b").mapInArrow(similar, "a long, b long"), "verified")
         linked = found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified)
         state = out.where("t is not null").select("t", "k", "doc_id", "fp", "done", "open")
         still = state.groupBy("t", "k").agg(F.max("open").alias("some")).where("some").select("t", "k")
