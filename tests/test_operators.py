@@ -184,3 +184,13 @@ def test_single_precision_rules_no_neighbour_out(shift):
         for f in range(5):
             d2 += (x[i, f] - x[:, f]) ** 2
         assert got[i] == [j for _, j in sorted(zip(d2.tolist(), ids.tolist())) if j != ids[i]][:5]
+
+
+def test_medoid_blocks_meet_without_a_shuffle(spark):
+    x = np.random.default_rng(6).normal(size=(90, 2))
+    p = points(spark, x).withColumn("g", F.when(F.col("row_id") < 80, 0).otherwise(F.col("row_id")))
+    found = groups.medoids(p, "g", block_rows=16)
+    assert "CartesianProduct" in found._jdf.queryExecution().toString()
+    got = {r["g"]: (r["row_id"], r["n"]) for r in found.collect()}
+    cost = np.sqrt(((x[:80, None] - x[None, :80]) ** 2).sum(2)).sum(1)
+    assert got == {0: (int(cost.argmin()), 80), **{i: (i, 1) for i in range(80, 90)}}

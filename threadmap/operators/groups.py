@@ -74,24 +74,33 @@ def medoids(points: DataFrame, key: str, candidates: int | None = None, block_ro
         held = save(distinct, "medoid-rows")
         parts = held.groupBy(key).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
         cut = held.join(parts, key).withColumn("part", F.pmod(F.xxhash64("row_id"), F.col("parts")))
-        packed = cut.groupBy(key, "part").agg(F.collect_list("row_id").alias("ids"), F.collect_list("x").alias("xs"), F.collect_list("times").alias("ts"))
+        packed = cut.groupBy(key, "part").agg(F.max("parts").alias("parts"), F.collect_list("row_id").alias("ids"), F.collect_list("x").alias("xs"), F.collect_list("times").alias("ts"))
         packed = save(packed.withColumn("block", F.monotonically_increasing_id()), "medoid-blocks")
-        names = packed.select(key, "block")
-        met = names.select(key, F.col("block").alias("q")).join(names.select(key, F.col("block").alias("p")), key).select("q", "p")
-        left = packed.select(F.col("block").alias("q"), key, F.col("ids").alias("q_ids"), F.col("xs").alias("q_xs"))
-        both = met.join(left, "q").join(packed.select(F.col("block").alias("p"), "xs", "ts"), "p").select(key, "q_ids", "q_xs", "xs", "ts")
+        # a group of one block meets itself; pairs of all others are a Cartesian product of the saved files, so no block is shuffled for each that it meets
+        alone = packed.where("parts = 1").select(key, F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("xs").alias("q_xs"), "xs", "ts")
+        cut_up = packed.where("parts > 1")
+        left = cut_up.select(F.col(key).alias("of"), F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("xs").alias("q_xs"))
+        met = left.join(cut_up.select(key, "xs", "ts").hint("shuffle_replicate_nl"), F.col("of") == F.col(key)).select(*alone.columns)
         kind = points.schema[key].dataType.simpleString()
 
         def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now, own = None, None
             for frame in batches:
-                for k, ids, a, b, times in zip(frame[key], frame["q_ids"], frame["q_xs"], frame["xs"], frame["ts"]):
+                for k, q, ids, a, b, times in zip(frame[key], frame["q"], frame["q_ids"], frame["q_xs"], frame["xs"], frame["ts"]):
+                    if q != now:
+                        if own is not None:
+                            yield own
+                        now, own = q, pd.DataFrame({key: [k] * len(ids), "row_id": np.asarray(ids), "cost": 0.0, "n": 0})
                     a, b, times = (np.array([np.asarray(v, float) for v in x]) for x in (a, b, times))
                     d2 = np.zeros((len(a), len(b)))
                     for j in range(a.shape[1]):
                         d2 += (a[:, j][:, None] - b[:, j][None]) ** 2
-                    yield pd.DataFrame({key: [k] * len(a), "row_id": np.asarray(ids), "cost": np.sqrt(d2) @ times, "n": np.full(len(a), int(times.sum()))})
+                    own["cost"] += np.sqrt(d2) @ times
+                    own["n"] += int(times.sum())
+            if own is not None:
+                yield own
 
-        costs = both.mapInPandas(sums, f"{key} {kind}, row_id long, cost double, n long").groupBy(key, "row_id").agg(F.sum("cost").alias("cost"), F.sum("n").alias("n"))
+        costs = alone.unionByName(met).mapInPandas(sums, f"{key} {kind}, row_id long, cost double, n long").groupBy(key, "row_id").agg(F.sum("cost").alias("cost"), F.sum("n").alias("n"))
     else:
         order = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("row_id"), "row_id"))
         few = distinct.withColumn("o", order).where(F.col("o") <= candidates).groupBy(key).agg(F.collect_list(F.struct("row_id", F.col("x").alias("y"))).alias("few"))
