@@ -369,3 +369,26 @@ def test_distances_of_long_routes_are_those_of_all_pairs(spark):
         for j in range(2):
             want = np.sqrt(((a[i::2, None] - b[None, j::2]) ** 2).sum(2).min(1))
             assert np.allclose(sorted(got[i, j]), sorted(want))
+
+
+def test_candidates_of_neighbours_grow_with_rows_and_not_with_files(spark, monkeypatch):
+    from threadmap.operators import neighbors as nb
+
+    confs = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": str(1 << 27)}
+    before = {c: spark.conf.get(c) for c in confs}
+    monkeypatch.setattr(nb, "TASKS_PER_CORE", 1)
+    try:
+        for c, v in confs.items():
+            spark.conf.set(c, v)
+        x = np.random.default_rng(5).normal(0, 1, (300, 8))
+        found = save(nb._candidates(cloud_of(spark, x), 5, 10), "candidates")
+        assert found.count() == 300 * 5  # a file each for all 12 partitions gave each row 5 of every one
+        d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+        np.fill_diagonal(d2, np.inf)
+        got = {i: set() for i in range(300)}
+        for r in found.collect():
+            got[r["i"]].add(r["j"])
+        assert all(got[i] == set(np.argsort(d2[i])[:5].tolist()) for i in range(300))
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
