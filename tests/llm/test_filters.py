@@ -403,3 +403,29 @@ def test_near_duplicates_hold_few_texts_at_a_time(monkeypatch):
     assert [i for ids, _ in parts for i in ids.to_pylist()] == list(range(len(texts)))
     assert [t for _, part in parts for t in part.to_pylist()] == texts
     assert all(len(part) == 1 or sum(len(t or "") for t in part.to_pylist()) <= 1000 for _, part in parts)
+
+
+def test_texts_and_sets_of_near_dedup_reach_python_in_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from threadmap.llm import common
+
+    name, seen, own = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, near_dedup.save
+
+    def save(df, tag):
+        seen.setdefault(tag, set()).add(int(spark.conf.get(name)))
+        return own(df, tag)
+
+    monkeypatch.setattr(near_dedup, "save", save)
+    before = spark.conf.get(name)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "x"])), (3, "a b c d e f g"), (4, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {(2, 1)}
+    for tag in ("sketches", "shingle-sets", "verified"):
+        assert max(seen[tag]) <= 500, tag  # 10,000 rows before, of which both sides held tens of MB in each task
+    assert spark.conf.get(name) == before
+
+    with common.small_batches(spark, rows=7):
+        sizes = spark.range(100).mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
+    assert sum(r["n"] for r in sizes) == 100 and max(r["n"] for r in sizes) <= 7

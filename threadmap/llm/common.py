@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import operator
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 import numpy as np
@@ -43,6 +45,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows and bytes, at most, that Spark hands to Python at once within ``small_batches``.
+BATCH_ROWS, BATCH_BYTES = 500, 1 << 22
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Jobs that are run within this hand so many rows and bytes to Python at once, so that neither side holds more.
+
+    For rows of texts or sets: of the usual 10,000 both sides hold tens of MB in each task.
+    """
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n, v in names.items():
+            spark.conf.set(n, str(v))
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
 #: crc32 of doc_id as decimal text, as in the contracts.
 def crc_of(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))

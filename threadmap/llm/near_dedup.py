@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from . import bitslice, graph
-from .common import LOWER, UPPER, partitions, save
+from .common import LOWER, UPPER, partitions, save, small_batches
 from .words import slices
 
 SHINGLE_SEED = 42
@@ -229,7 +229,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, te
 
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketches = save(source.mapInArrow(sketch, "doc_id long, fp long, keys array<long>, same binary"), "sketches")
+    with small_batches(spark):
+        sketches = save(source.mapInArrow(sketch, "doc_id long, fp long, keys array<long>, same binary"), "sketches")
     alone = sketches.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count("*").alias("times"))
     alone = save(alone, "distinct-sets")
     equal = sketches.join(alone.where("times > 1").select("same", F.col("doc_id").alias("b")), "same").select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
@@ -284,10 +285,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, te
         tried = pairs if tried is None else tried.union(pairs)
 
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = save(source.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(shingle_sets, "doc_id long, s binary"), "shingle-sets")
-        left = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("s_a"))
-        right = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("s_b"))
-        verified = save(pairs.join(right, "b").join(left, "a").select("a", "b", "s_a", "s_b").mapInArrow(similar, "a long, b long"), "verified")
+        texts = source.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
+        with small_batches(spark):
+            sets = save(texts.mapInArrow(shingle_sets, "doc_id long, s binary"), "shingle-sets")
+            left = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("s_a"))
+            right = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("s_b"))
+            verified = save(pairs.join(right, "b").join(left, "a").select("a", "b", "s_a", "s_b").mapInArrow(similar, "a long, b long"), "verified")
         linked = found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified)
         state = out.where("t is not null").select("t", "k", "doc_id", "fp", "done", "open")
         still = state.groupBy("t", "k").agg(F.max("open").alias("some")).where("some").select("t", "k")
