@@ -429,3 +429,39 @@ def test_texts_and_sets_of_near_dedup_reach_python_in_small_batches(spark, monke
     with common.small_batches(spark, rows=7):
         sizes = spark.range(100).mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
     assert sum(r["n"] for r in sizes) == 100 and max(r["n"] for r in sizes) <= 7
+
+
+def test_bitmaps_rule_out_no_pair_at_the_similarity():
+    rng = np.random.default_rng(8)
+    sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (1, 3, 200, 257, 300, 512, 513, 5000, 20_000)]
+    for base in list(sets):
+        for share in (0.02, 0.1, 0.11, 0.12, 0.3):
+            kept = base[int(share * len(base)) :]
+            sets += [kept, np.r_[kept, rng.integers(0, 1 << 63, len(base) - len(kept), dtype=np.uint64)]]
+    a, b = (v.ravel() for v in np.indices((len(sets), len(sets))))
+    common = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b)])
+    n = np.array([len(s) for s in sets])
+    similarity = common / (n[a] + n[b] - common)
+    bits = [near_dedup.bitmap_of(s) for s in sets]
+    assert len({len(v) for v in bits}) > 3
+    for least in (0.8, 0.5, 0.2):
+        fit = near_dedup.Fits(n, bits, least)(a, b)
+        assert fit[similarity >= least].all()
+        assert least < 0.8 or not fit[similarity < 0.75].any()
+
+
+def test_near_dedup_writes_no_pairs_of_families_below_the_similarity(spark, monkeypatch):
+    """Texts of a family share two thirds of their shingles: 44,850 pairs met before, of which each was verified."""
+    base = prose(7, 204, 10**6)
+    texts = [f"{base} {prose(2000 + i, 50, 10**6)}" for i in range(300)] + [f"{base} {prose(2000, 49, 10**6)}"]
+    written, own = [], near_dedup.save
+
+    def save(df, tag):
+        out = own(df, tag)
+        if tag == "near-pairs":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "save", save)
+    got = {(r["component_id"], r["doc_id"]) for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
+    assert got == {(0, 300)} and sum(written) <= len(texts)

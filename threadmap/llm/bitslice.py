@@ -9,6 +9,8 @@ the radius are abandoned.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -139,11 +141,12 @@ def nearest_earlier(fps: np.ndarray, group: np.ndarray, radius: int) -> np.ndarr
         wave += 1
 
 
-def earlier_hits(fps: np.ndarray, group: np.ndarray, radius: int, label: np.ndarray, done: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def earlier_hits(fps: np.ndarray, group: np.ndarray, radius: int, label: np.ndarray, done: np.ndarray, most: int, fits: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """member, other, done: members before each one in its group, within the radius and of another label.
 
     Each member goes on from the position done of its group, gives up to most others, and
-    its new position is returned; that is its own where none are left.
+    its new position is returned; that is its own where none are left. Of those within the
+    radius only those that fits(member, other) leaves count, where it is given.
     """
     b = Blocks(fps, group)
     done, left = np.array(done, np.int64), np.full(len(fps), most, np.int64)
@@ -168,6 +171,13 @@ def earlier_hits(fps: np.ndarray, group: np.ndarray, radius: int, label: np.ndar
         hits, _, _ = b.compare(open_, block, allowed, radius)
         done[open_] = np.minimum(b.at[open_], (wave + 1) * 64)
         rows = np.flatnonzero(hits)
+        for at in range(0, len(rows) if fits else 0, SWEEP // 8):
+            some = rows[at : at + SWEEP // 8]
+            bits = np.unpackbits(hits[some].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            i, bit = np.nonzero(bits)
+            bits[i, bit] = fits(open_[some[i]], b.start[block[some[i]]] + bit)
+            hits[some] = np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
+        rows = rows[hits[rows] != 0]
         while len(rows):
             low = hits[rows] & (ZERO - hits[rows])
             bit = np.bitwise_count(low - ONE).astype(np.int64)

@@ -11,6 +11,8 @@ never all pairs.
 ``near_duplicates`` is the deduplication of texts at a similarity: word shingles meet in
 buckets of equal minima, are compared there by fingerprint within a wide radius, and
 the pairs that are found are verified by the Jaccard similarity of their shingle sets.
+Pairs whose sets' bitmaps differ in more bits than sets at the similarity can are never
+written; that bound is exact, so it loses no pair.
 
 Defined cases: a null text counts as empty. Texts without words have fingerprint zero,
 which links like any other; in ``near_duplicates`` texts without words are never
@@ -51,6 +53,10 @@ FIRST, MORE = 4, 8
 #: 0.8 a pair meets in one of them but for a chance of (1 - 0.8**2)**16, 8e-8.
 TABLES, MINIMA = 16, 2
 
+#: Bits of the bitmap of a shingle set of up to 256 shingles, doubled with them, at most; so sets that differ in a few in a hundred more than may be are told apart.
+LEAST_BITS, MOST_BITS = 1 << 10, 1 << 16
+#: Pairs whose bitmaps are compared in one sweep.
+PAIRS = 1 << 15
 #: Bytes of texts whose shingles a worker holds at once; one longer text is held alone.
 HELD_BYTES = 1 << 21
 
@@ -199,6 +205,56 @@ def _minima(hashes: np.ndarray) -> np.ndarray:
     return key
 
 
+def bitmap_of(hashes: np.ndarray) -> bytes:
+    """For each cell of a set's distinct hashes whether it holds an odd number; four cells a hash or more, but for very large sets."""
+    bits = LEAST_BITS
+    while bits < MOST_BITS and bits < 4 * len(hashes):
+        bits *= 2
+    cells = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits(cells.astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+class Fits:
+    """Which pairs of sets can be that similar, by their sizes and bitmaps.
+
+    Sets differ in as many hashes as their bitmaps in bits, at least, and a bitmap of half the size is both halves laid over each
+    other. Bitmaps that are further apart in size are not compared, as that decides no more than the sets' sizes.
+    """
+
+    def __init__(self, n: np.ndarray, bitmaps: list[bytes], similarity: float):
+        self.n, self.similarity = n.astype(np.int64), similarity
+        self.width = np.fromiter(map(len, bitmaps), np.int64, len(bitmaps))
+        #: For each size of bitmaps its sets' ones and those of the next size laid over: rows, and the row of each set.
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in np.unique(self.width).tolist():
+            own, next_ = np.flatnonzero(self.width == w), np.flatnonzero(self.width == 2 * w)
+            rows = [np.frombuffer(b"".join(bitmaps[i] for i in own.tolist()), np.uint64).reshape(len(own), -1)]
+            if len(next_):
+                both = np.frombuffer(b"".join(bitmaps[i] for i in next_.tolist()), np.uint64).reshape(len(next_), 2, -1)
+                rows.append(both[:, 0] ^ both[:, 1])
+            row = np.zeros(len(bitmaps), np.int64)
+            row[own], row[next_] = np.arange(len(own)), len(own) + np.arange(len(next_))
+            self.held[w] = np.concatenate(rows), row
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        fit = np.ones(len(a), bool)
+        for at in range(0, len(a), PAIRS):
+            fit[at : at + PAIRS] = self._fit(a[at : at + PAIRS], b[at : at + PAIRS])
+        return fit
+
+    def _fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        na, nb, least = self.n[a], self.n[b], np.minimum(self.width[a], self.width[b])
+        fit = np.minimum(na, nb) >= self.similarity * np.maximum(na, nb) - 1e-6
+        met = fit & (np.maximum(self.width[a], self.width[b]) <= 2 * least)
+        for w in np.unique(least[met]).tolist():
+            some = np.flatnonzero(met & (least == w))
+            rows, row = self.held[w]
+            apart = np.bitwise_count(rows[row[a[some]]] ^ rows[row[b[some]]]).sum(1, dtype=np.int64)
+            both = na[some] + nb[some]
+            fit[some] = (both - apart) * (1 + self.similarity) >= 2 * self.similarity * both - 1e-6
+        return fit
+
+
 def _few_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
     """Ids and texts of batches (doc_id, text), so many at a time that what is made of them stays small, however many rows a batch has."""
     for batch in batches:
@@ -211,12 +267,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, te
 
     Documents of equal shingle sets are joined to one of them first. The first round tries one
     near fingerprint of each document and bucket; the further ones try all others that aren't in
-    the document's component by then, MORE times as many in each round, until none is left.
+    the document's component by then, MORE times as many in each round, until none is left. Of all
+    these only pairs that sizes and bitmaps leave are written and verified.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, texts in _few_texts(batches):
-            ids, fps, keys, sets = [], [], [], []
+            ids, fps, keys, sets, sizes, bits = [], [], [], [], [], []
             for i, x in zip(held.to_pylist(), texts.to_pylist()):
                 h = np.unique(shingle_hashes(words_of(x), width))
                 if len(h) and i is not None:
@@ -224,14 +281,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, te
                     fps.append(fingerprint_of(h))
                     keys.append(_minima(h).view(np.int64))
                     sets.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
-            columns = [pa.array(ids, pa.int64()), pa.array(_signed(fps)), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "keys", "same"])
+                    sizes.append(len(h))
+                    bits.append(bitmap_of(h))
+            columns = [pa.array(ids, pa.int64()), pa.array(_signed(fps)), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "keys", "same", "n", "bits"])
 
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     with small_batches(spark):
-        sketches = save(source.mapInArrow(sketch, "doc_id long, fp long, keys array<long>, same binary"), "sketches")
-    alone = sketches.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count("*").alias("times"))
+        sketches = save(source.mapInArrow(sketch, "doc_id long, fp long, keys array<long>, same binary, n long, bits binary"), "sketches")
+    alone = sketches.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("times"))
     alone = save(alone, "distinct-sets")
     equal = sketches.join(alone.where("times > 1").select("same", F.col("doc_id").alias("b")), "same").select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
     joined = save(equal, "equal-sets")
@@ -258,12 +317,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, te
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in _streamed_groups(batches, ["t", "k"]):
                 ids, fps, group = frame["doc_id"].to_numpy(), frame["fp"].to_numpy().view(np.uint64), _group_numbers(frame, ["t", "k"])
-                done = frame["done"].to_numpy()
+                done, fits = frame["done"].to_numpy(), Fits(frame["n"].to_numpy(), frame["bits"].tolist(), similarity)
                 if most:
-                    member, other, done = bitslice.earlier_hits(fps, group, VERIFY_RADIUS, frame["root"].to_numpy(), done, most)
+                    member, other, done = bitslice.earlier_hits(fps, group, VERIFY_RADIUS, frame["root"].to_numpy(), done, most, fits)
                 else:
                     hit = bitslice.nearest_earlier(fps, group, VERIFY_RADIUS)
                     member = np.flatnonzero(hit >= 0)
+                    member = member[fits(member, hit[member])]
                     other = hit[member]
                 first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
                 at = np.arange(len(ids)) - np.repeat(first, np.diff(np.r_[first, len(ids)]))
@@ -278,7 +338,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, te
         found = save(graph.components(linked), "components")
         rooted = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         mixed = rooted.groupBy("t", "k").agg(F.min("root").alias("l"), F.max("root").alias("m")).where("l < m").select("t", "k")
-        dealt = rooted.join(mixed, ["t", "k"]).withColumn("o", F.xxhash64("doc_id", "t")).repartition(partitions(spark), "t", "k").sortWithinPartitions("t", "k", "o", "doc_id")
+        held = rooted.join(mixed, ["t", "k"]).withColumn("o", F.xxhash64("doc_id", "t")).join(alone.select("doc_id", "n", "bits"), "doc_id")
+        dealt = held.repartition(partitions(spark), "t", "k").sortWithinPartitions("t", "k", "o", "doc_id")
         out = save(dealt.mapInPandas(compare(most), "a long, b long, t long, k long, doc_id long, fp long, done long, open boolean"), "near-round")
         pairs = out.where("a <> b").select("a", "b").distinct()
         pairs = save(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
