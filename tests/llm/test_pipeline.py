@@ -29,3 +29,15 @@ def test_pipeline_keeps_what_its_stages_keep(spark):
     want = {r["doc_id"]: r["ids_sha256"] for r in bpe.encoded(ids(), tokenizer_path("word_bpe_49k.json"), ids=False).collect()}
     got = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"]: r["ids_sha256"] for r in got.select("doc_id", "ids_sha256").collect()} == want and want
+
+
+def test_texts_reach_the_encoder_in_small_batches(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    def sizes(spark, docs, sf_dir):
+        return docs.coalesce(1).mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+
+    spark.range(2000).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("bpe", sizes)])
+    got = [r["n"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sum(got) == 2000 and max(got) <= 500
