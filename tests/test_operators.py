@@ -97,6 +97,19 @@ def test_projection_agrees_with_batches_and_brute_force(spark):
         assert a[i]["d2"] == pytest.approx(best[0], abs=1e-8) and b[i]["position"] == pytest.approx(a[i]["position"])
 
 
+@pytest.mark.parametrize("place", [routes.project, routes.project_batches])
+def test_ties_at_a_shared_vertex_that_round_apart_go_to_the_first_segment(spark, place):
+    rng = np.random.default_rng(5)
+    corners = rng.normal(size=(3, 64))
+    first, second = corners[1] - corners[0], corners[2] - corners[1]
+    off = rng.normal(size=(20_000, 64))
+    off = off[(off @ first > 1) & (off @ second < -1)][:3000]
+    off *= np.sqrt((64 + 0.5e-9) / (off * off).sum(1))[:, None]  # squared lengths lie where the ninth decimal rounds up or down
+    v = spark.createDataFrame([(0, i, [float(c) for c in corner]) for i, corner in enumerate(corners)], "route_id int, at int, c array<double>")
+    got = place(points(spark, corners[1] + off), routes.segments(v)).select("seg", "alpha").collect()
+    assert len(got) == 3000 and {tuple(r) for r in got} == {(0, 1.0)}
+
+
 def test_closed_routes(spark):
     v = spark.createDataFrame([(0, i, c) for i, c in enumerate([[0.0, 0.0], [1.0, 0.0], [1.0, 1.0]])], "route_id int, at int, c array<double>")
     segs = routes.segments(v, closed=True).orderBy("seg").collect()

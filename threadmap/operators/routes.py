@@ -19,6 +19,8 @@ from .neighbors import DUPLICATE
 
 #: Decimals of squared distances that are compared, so ties at shared vertices go to the first route and segment.
 TIE_DIGITS = 9
+#: For each feature and unit of squared length, how far rounding alone may part squared distances. Such ones tie even if they round to apart decimals.
+TIE_SLACK = float(np.finfo(float).eps)
 MOST_SEGMENTS = 50_000
 #: Vertices of a route that are compared with another route at a time, about.
 VERTICES_AT_ONCE = 256
@@ -63,10 +65,12 @@ def project(points: DataFrame, segs: DataFrame) -> DataFrame:
     """points with route_id, seg, alpha, position, d2, projected and tangent of the nearest place on the routes.
 
     The segments, checked to be few, are one broadcast row; a row's distances are an array in the
-    JVM, so rows are neither multiplied nor shuffled.
+    JVM, so rows are neither multiplied nor shuffled. Of segments whose distances differ by rounding alone the first one is taken.
     """
     _few(segs)
     table = F.broadcast(segs.agg(F.array_sort(F.collect_list(F.struct("route_id", "seg", "s", "v", "t0", "t1"))).alias("all")))
+    of = {f.name: f.dataType.simpleString() for f in table.schema["all"].dataType.elementType}
+    best_of = f"struct<key:double,route_id:{of['route_id']},seg:{of['seg']},alpha:double,d2:double,g:struct<{','.join(f'{n}:{kind}' for n, kind in of.items())}>>"
 
     def place(g):
         vv = dot(g["v"], g["v"])
@@ -78,7 +82,11 @@ def project(points: DataFrame, segs: DataFrame) -> DataFrame:
         d2 = sqdist(F.col("x"), plus_scaled(p["g"]["s"], p["alpha"], p["g"]["v"]))
         return F.struct(F.round(d2, TIE_DIGITS).alias("key"), p["g"]["route_id"].alias("route_id"), p["g"]["seg"].alias("seg"), p["alpha"].alias("alpha"), d2.alias("d2"), p["g"].alias("g"))
 
-    best = F.array_min(F.transform(F.transform("all", place), measured))
+    def nearer(b, m):
+        apart = TIE_SLACK * (F.size("x") + 4) * (dot(F.col("x"), F.col("x")) + b["d2"])
+        return F.when(b.isNull() | ((m["key"] < b["key"]) & (m["d2"] < b["d2"] - apart)), m).otherwise(b)
+
+    best = F.aggregate(F.transform(F.transform("all", place), measured), F.lit(None).cast(best_of), nearer)
     found = points.join(table).withColumn("b", best)
     position = F.col("b.g.t0") + F.col("b.alpha") * (F.col("b.g.t1") - F.col("b.g.t0"))
     length = norm(F.col("b.g.v"))
@@ -108,7 +116,9 @@ def project_batches(points: DataFrame, segs: DataFrame) -> DataFrame:
                 d2 = np.zeros_like(alpha)
                 for j in range(x.shape[1]):
                     d2 += (x[:, j][:, None] - s[:, j] - alpha * v[:, j]) ** 2
-                best = np.round(d2, TIE_DIGITS).argmin(1)
+                least = d2.min(1)
+                apart = TIE_SLACK * (x.shape[1] + 4) * ((x * x).sum(1) + least)
+                best = ((np.round(d2, TIE_DIGITS) <= np.round(least, TIE_DIGITS)[:, None]) | (d2 <= (least + apart)[:, None])).argmax(1)
                 rows = np.arange(len(x))
                 a = alpha[rows, best]
                 yield pd.DataFrame({
