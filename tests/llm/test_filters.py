@@ -465,3 +465,38 @@ def test_near_dedup_writes_no_pairs_of_families_below_the_similarity(spark, monk
     monkeypatch.setattr(near_dedup, "save", save)
     got = {(r["component_id"], r["doc_id"]) for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
     assert got == {(0, 300)} and sum(written) <= len(texts)
+
+
+def test_near_dedup_compares_rows_without_id_and_texts_of_one_id(spark):
+    base = [prose(3000 + i, 200, 10**6) for i in range(4)]
+    near = [f"{t} tail{i}" for i, t in enumerate(base)]
+    texts = [base[0], near[0], base[1], near[1], base[2], prose(3010, 200, 10**6), near[2], base[3], near[3], prose(3011, 200, 10**6), None, ""]
+    ids = [None, None, None, 5, 7, 7, 6, 8, 8, None, None, 9]
+    docs = documents(spark, texts, ids)
+    kept = near_dedup.drop_near_duplicates(docs)
+    left = {(r["doc_id"], r["text"]) for r in kept.collect()}
+    assert kept.columns == docs.columns and kept.count() == len(left) == 8
+    assert {(5, near[1]), (7, texts[5]), (6, near[2]), (None, texts[9]), (None, None), (9, "")} < left
+    assert len(left & {(None, base[0]), (None, near[0])}) == len(left & {(8, base[3]), (8, near[3])}) == 1
+    assert {tuple(r) for r in near_dedup.near_duplicates(docs).collect()} == {(7, 6)}
+
+
+def test_near_dedup_compares_all_texts_of_ids_that_all_rows_share(spark):
+    base = [prose(3100 + i, 200, 10**6) for i in range(6)]
+    docs = documents(spark, [*base, *(f"{t} tail" for t in base)], [1] * 12)
+    assert near_dedup.drop_near_duplicates(docs).count() == 6
+
+
+def test_decontamination_drops_rows_by_their_own_texts(spark):
+    passage = prose(3200, 40, 10**6)
+    benchmark = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    texts = [f"before {passage} after", prose(3201, 60), None, f"{passage} x", prose(3202, 60)]
+    left = decontaminate.drop_contaminated(documents(spark, texts, [None, None, None, 4, 4]), benchmark)
+    assert {(r["doc_id"], r["text"]) for r in left.collect()} == {(None, texts[1]), (None, None), (4, texts[4])}
+
+
+def test_all_evidence_of_a_text_counts():
+    counts = {f"=word{i}": (30, 0) for i in range(25_000)}
+    assert len(toxicity._lexicon(counts, 1000, 100_000)) == 25_000
+    scorer = toxicity.Scorer(toxicity.Model(letters_of(["a b"]), {f"=word{i}": 5.0 for i in range(40)}, -5.0, 0.05))
+    assert scorer.score(" ".join(f"word{i}" for i in range(40))) > toxicity.THRESHOLD > 0.2 > scorer.score("word1")

@@ -98,10 +98,10 @@ def _probes(texts: DataFrame, wanted: DataFrame, widths: list[int]) -> DataFrame
     return reduce(DataFrame.unionByName, found)
 
 
-def contaminations(
+def matches(
     docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
-    """doc_id, item_id, start, n_words, similarity: the best window of each document and item that match."""
+    """doc_id, row_hash (of the text), item_id, start, n, similarity: the windows that match."""
     items = save(_items(benchmark, width, similarity), "items")
     listed = items.select("item_id", "n", "k", "total", F.explode("shingles").alias("shingle"))
     weights = save(listed.groupBy("item_id", "n", "k", "total", "shingle").agg(F.count("*").alias("weight")), "item-shingles")
@@ -113,7 +113,7 @@ def contaminations(
     anchors = save(chosen.select(F.xxhash64("shingle").alias("h"), "item_id", "n", "k"), "anchors")
     widths = sorted(r[0] for r in anchors.select("k").distinct().collect())
     if not widths:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, n_words int, similarity double")
+        return docs.sparkSession.createDataFrame([], "doc_id long, row_hash long, item_id long, start int, n int, similarity double")
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row_hash"), F.col(text).alias("text"))
     found = _probes(source.select("doc_id", "row_hash", words(F.col("text")).alias("w")), anchors, widths)
@@ -158,13 +158,19 @@ def contaminations(
     of_item = weights.select("item_id", "n", "total", F.xxhash64("shingle").alias("h"), "weight")
     shared = counted.join(of_item, ["item_id", "n", "h"]).groupBy(*KEY, "n", "size", "total").agg(F.sum(F.least("c", "weight")).alias("common"))
     scored = shared.withColumn("similarity", F.col("common") / (F.col("size") + F.col("total") - F.col("common")))
-    best = scored.where(F.col("similarity") >= similarity - 1e-9).groupBy("doc_id", "item_id").agg(
-        F.max(F.struct("similarity", (-F.col("start")).alias("back"), F.col("n").alias("n_words"))).alias("m")
-    )
+    return scored.where(F.col("similarity") >= similarity - 1e-9).select(*KEY, "n", "similarity")
+
+
+def contaminations(
+    docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS, text: str = "text", doc_id: str = "doc_id"
+) -> DataFrame:
+    """doc_id, item_id, start, n_words, similarity: the best window of each document and item that match."""
+    found = matches(docs, benchmark, width, similarity, radius, text, doc_id)
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), F.col("n").alias("n_words"))).alias("m"))
     return best.select("doc_id", "item_id", (-F.col("m.back")).alias("start"), "m.n_words", F.round("m.similarity", 6).alias("similarity"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs in which no item was found."""
-    gone = contaminations(docs, benchmark, text=text, doc_id=doc_id, **options).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs[doc_id].eqNullSafe(gone["gone"]), "left_anti")
+    """The rows of docs in which no item was found; rows of one doc_id, or of none, go by their own texts."""
+    gone = matches(docs, benchmark, text=text, doc_id=doc_id, **options).select(F.col("doc_id").alias("gone"), "row_hash").distinct()
+    return docs.join(gone, docs[doc_id].eqNullSafe(gone["gone"]) & (F.xxhash64(docs[text]) == gone["row_hash"]), "left_anti")

@@ -17,9 +17,10 @@ written; that bound is exact, so it loses no pair.
 Defined cases: a null text counts as empty. Texts without words have fingerprint zero,
 which links like any other; in ``near_duplicates`` texts without words are never
 duplicates. Texts of fewer words than a shingle are one shingle. Rows that repeat link
-to each other. In ``components_within`` a null doc_id is linked by its text and never is a
-component's name unless all of its ids are null; ``near_duplicates`` names documents by their
-ids, so it leaves rows without one alone, and ``drop_near_duplicates`` keeps them. Empty tables give empty results. Other columns are
+to each other. A null doc_id is linked by its text and never is a component's name unless all
+of its ids are null. Rows of one doc_id with other texts are documents of their own: ``drop_near_duplicates``
+compares and drops rows, whose ids may be null or repeated, and rows of equal doc_id and text stay or go together;
+``near_duplicates`` lists by their ids those that have one. Empty tables give empty results. Other columns are
 ignored, or returned unchanged by ``drop_near_duplicates``.
 """
 
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from . import bitslice, graph
-from .common import LOWER, UPPER, partitions, save, small_batches
+from .common import LOWER, UPPER, join_counted, partitions, save, small_batches
 from .words import slices
 
 SHINGLE_SEED = 42
@@ -262,47 +263,50 @@ def _few_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa
             yield batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, component_id, for documents that are linked to another whose shingle sets are that similar.
+def _text_hash(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
 
-    Documents of equal shingle sets are joined to one of them first. The first round tries one
-    near fingerprint of each document and bucket; the further ones try all others that aren't in
-    the document's component by then, MORE times as many in each round, until none is left. Of all
+def linked_rows(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, h (the text's hash), component (a number), for rows that are linked to another whose shingle sets are that similar.
+
+    Nodes are distinct shingle sets, by numbers, so ids may be null or repeated. The first round tries one
+    near fingerprint of each set and bucket; the further ones try all others that aren't in
+    the set's component by then, MORE times as many in each round, until none is left. Of all
     these only pairs that sizes and bitmaps leave are written and verified.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, texts in _few_texts(batches):
-            ids, fps, keys, sets, sizes, bits = [], [], [], [], [], []
-            for i, x in zip(held.to_pylist(), texts.to_pylist()):
+            rows, fps, keys, sets, sizes, bits = [], [], [], [], [], []
+            for i, x in enumerate(texts.to_pylist()):
                 h = np.unique(shingle_hashes(words_of(x), width))
-                if len(h) and i is not None:
-                    ids.append(i)
+                if len(h):
+                    rows.append(i)
                     fps.append(fingerprint_of(h))
                     keys.append(_minima(h).view(np.int64))
                     sets.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                     sizes.append(len(h))
                     bits.append(bitmap_of(h))
-            columns = [pa.array(ids, pa.int64()), pa.array(_signed(fps)), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "keys", "same", "n", "bits"])
+            own = held.take(pa.array(rows, pa.int64()))
+            columns = [own.field(0), own.field(1), pa.array(_signed(fps)), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "fp", "keys", "same", "n", "bits"])
 
     spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(F.struct(F.col(doc_id).cast("long").alias("doc_id"), _text_hash(text).alias("h")).alias("own"), F.col(text).alias("text"))
     with small_batches(spark):
-        sketches = save(source.mapInArrow(sketch, "doc_id long, fp long, keys array<long>, same binary, n long, bits binary"), "sketches")
-    alone = sketches.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("times"))
-    alone = save(alone, "distinct-sets")
-    equal = sketches.join(alone.where("times > 1").select("same", F.col("doc_id").alias("b")), "same").select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
-    joined = save(equal, "equal-sets")
+        sketches = save(source.mapInArrow(sketch, "doc_id long, h long, fp long, keys array<long>, same binary, n long, bits binary"), "sketches")
+    alone = sketches.groupBy("same").agg(F.min(F.struct("doc_id", "h")).alias("own"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("times"))
+    alone = save(alone.withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
 
-    keyed = alone.select("doc_id", "fp", F.posexplode("keys").alias("t", "k"))
+    keyed = alone.select("node", "fp", F.posexplode("keys").alias("t", "k"))
     crowded = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1").select("t", "k")
     members = save(keyed.join(crowded, ["t", "k"]).withColumn("done", F.lit(0).cast("long")), "buckets")
 
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _few_texts(batches):
             sets = [np.unique(shingle_hashes(words_of(x), width)).tobytes() for x in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary())], names=["doc_id", "s"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary())], names=["node", "s"])
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,7 +320,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, te
     def compare(most: int):
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in _streamed_groups(batches, ["t", "k"]):
-                ids, fps, group = frame["doc_id"].to_numpy(), frame["fp"].to_numpy().view(np.uint64), _group_numbers(frame, ["t", "k"])
+                ids, fps, group = frame["node"].to_numpy(), frame["fp"].to_numpy().view(np.uint64), _group_numbers(frame, ["t", "k"])
                 done, fits = frame["done"].to_numpy(), Fits(frame["n"].to_numpy(), frame["bits"].tolist(), similarity)
                 if most:
                     member, other, done = bitslice.earlier_hits(fps, group, VERIFY_RADIUS, frame["root"].to_numpy(), done, most, fits)
@@ -328,41 +332,54 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, te
                 first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
                 at = np.arange(len(ids)) - np.repeat(first, np.diff(np.r_[first, len(ids)]))
                 pair = pd.DataFrame({"a": np.maximum(ids[member], ids[other]), "b": np.minimum(ids[member], ids[other])})
-                state = frame[["t", "k", "doc_id", "fp"]].assign(done=done, open=done < at)
-                yield pd.concat([pair, state]).astype({c: "Int64" for c in ("a", "b", "t", "k", "doc_id", "fp", "done")} | {"open": "boolean"})
+                state = frame[["t", "k", "node", "fp"]].assign(done=done, open=done < at)
+                yield pd.concat([pair, state]).astype({c: "Int64" for c in ("a", "b", "t", "k", "node", "fp", "done")} | {"open": "boolean"})
 
         return near
 
-    tried, linked, most = None, joined, 0
-    while True:
-        found = save(graph.components(linked), "components")
-        rooted = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    found, tried, most = spark.createDataFrame([], "node long, root long"), None, 0
+    while not members.isEmpty():
+        rooted = members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = rooted.groupBy("t", "k").agg(F.min("root").alias("l"), F.max("root").alias("m")).where("l < m").select("t", "k")
-        held = rooted.join(mixed, ["t", "k"]).withColumn("o", F.xxhash64("doc_id", "t")).join(alone.select("doc_id", "n", "bits"), "doc_id")
-        dealt = held.repartition(partitions(spark), "t", "k").sortWithinPartitions("t", "k", "o", "doc_id")
-        out = save(dealt.mapInPandas(compare(most), "a long, b long, t long, k long, doc_id long, fp long, done long, open boolean"), "near-round")
+        held = rooted.join(mixed, ["t", "k"]).withColumn("o", F.xxhash64("node", "t")).join(alone.select("node", "n", "bits"), "node")
+        dealt = held.repartition(partitions(spark), "t", "k").sortWithinPartitions("t", "k", "o", "node")
+        out = save(dealt.mapInPandas(compare(most), "a long, b long, t long, k long, node long, fp long, done long, open boolean"), "near-round")
         pairs = out.where("a <> b").select("a", "b").distinct()
         pairs = save(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         tried = pairs if tried is None else tried.union(pairs)
 
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = source.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
+        ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = alone.join(ids, "node").select("node", F.col("own.doc_id").alias("d"), F.col("own.h").alias("g"))
+        same_row = F.col("own.doc_id").eqNullSafe(F.col("d")) & (F.col("own.h") == F.col("g"))
+        texts = source.join(wanted, same_row).select("node", "text").dropDuplicates(["node"])
         with small_batches(spark):
-            sets = save(texts.mapInArrow(shingle_sets, "doc_id long, s binary"), "shingle-sets")
-            left = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("s_a"))
-            right = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("s_b"))
+            sets = save(texts.mapInArrow(shingle_sets, "node long, s binary"), "shingle-sets")
+            left = sets.select(F.col("node").alias("a"), F.col("s").alias("s_a"))
+            right = sets.select(F.col("node").alias("b"), F.col("s").alias("s_b"))
             verified = save(pairs.join(right, "b").join(left, "a").select("a", "b", "s_a", "s_b").mapInArrow(similar, "a long, b long"), "verified")
-        linked = found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified)
-        state = out.where("t is not null").select("t", "k", "doc_id", "fp", "done", "open")
+        found = save(graph.components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified)), "components")
+        state = out.where("t is not null").select("t", "k", "node", "fp", "done", "open")
         still = state.groupBy("t", "k").agg(F.max("open").alias("some")).where("some").select("t", "k")
-        members = save(state.join(still, ["t", "k"]).select("doc_id", "fp", "t", "k", "done"), "buckets")
-        if members.isEmpty():
-            found = graph.components(linked)
-            return found.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+        members = save(state.join(still, ["t", "k"]).select("node", "fp", "t", "k", "done"), "buckets")
         most = most * MORE or FIRST
 
+    of = found.union(found.select("root", "root").distinct())
+    several = alone.select("node", "same", "times").join(of, "node", "left").where("times > 1 or root is not null")
+    several = save(several.select("same", F.coalesce("root", "node").alias("component"), "times"), "linked-sets")
+    return save(join_counted(sketches.select("doc_id", "h", "same"), several, ["same"], "times").select("doc_id", "h", "component"), "linked-rows")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, component_id (the least doc_id that links reach), for documents that are linked to another one of lesser id."""
+    rows = linked_rows(docs, width, similarity, text, doc_id)
+    named = save(rows.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")), "named-components")
+    return join_counted(rows, named, ["component"], "rows").where("doc_id <> component_id").select("doc_id", "component_id").distinct()
+
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs without those that have a near duplicate of lesser doc_id in their component."""
-    gone = near_duplicates(docs, width, similarity, text, doc_id).select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, docs[doc_id] == gone["gone"], "left_anti")
+    """The rows of docs without those that have a near duplicate of lesser doc_id in their component; null is the largest, and of one id the text of least hash comes first."""
+    rows = linked_rows(docs, width, similarity, text, doc_id)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "h")
+    first = save(rows.groupBy("component").agg(F.min(row).alias("first"), F.count("*").alias("rows")), "kept-rows")
+    gone = join_counted(rows, first, ["component"], "rows").where(row != F.col("first")).select(F.col("doc_id").alias("gone"), F.col("h").alias("gone_h")).distinct()
+    return docs.join(gone, docs[doc_id].eqNullSafe(gone["gone"]) & (_text_hash(text) == gone["gone_h"]), "left_anti")

@@ -27,20 +27,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, crc_of
+from .common import LOWER, UPPER, crc_of, save
 
 #: Labelled rows that the classifier is fitted on, at most: those of least hash of doc_id.
 SAMPLE_ROWS = 20_000
-#: Words and beginnings that the classifier keeps, at most, and the lengths of beginnings.
-LEXICON, BEGINNINGS = 20_000, (4, 5, 6)
+#: Lengths of the beginnings that are evidence beside whole words.
+BEGINNINGS = (4, 5, 6)
 #: Toxic rows of the sample that a word must be in, at least, and their share.
 LEAST_ROWS, LEAST_SHARE = 3, 0.01
 #: Log odds that a word needs to count as evidence: so much less than the most that a
 #: sample of its size can give to a word, which it has in no clean row; and the least.
 WEIGHT_RANGE, LEAST_WEIGHT = 5.0, 3.0
+#: Evidence above which a row counts as having so much, when the logistic function is fitted.
+FITTED_EVIDENCE = 60.0
 THRESHOLD = 0.7
 
 #: The letters that a sign may stand for.
@@ -257,8 +259,8 @@ class Scorer:
         return max(sum(map(best, set(self.decoder.restore(run).split()))), best(run.replace(" ", "")))
 
     def score(self, text: str | None) -> float:
-        z = self.model.bias + self.model.slope * min(self.evidence(text), 60.0)
-        return 1 / (1 + math.exp(-z))
+        z = self.model.bias + self.model.slope * self.evidence(text)
+        return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
 def _distinct_words(text: str | None, decoder: Decoder) -> set[str]:
@@ -271,12 +273,21 @@ def _distinct_words(text: str | None, decoder: Decoder) -> set[str]:
     return out | {w for run in spaced(words) for w in decoder.restore(run).split()}
 
 
+def _least(toxic: int, clean: int) -> tuple[float, float]:
+    """The toxic rows and the log odds that a word needs, at least."""
+    return max(LEAST_ROWS, LEAST_SHARE * toxic), max(LEAST_WEIGHT, math.log(2 * (clean + 1)) - WEIGHT_RANGE)
+
+
 def _lexicon(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
-    least = max(LEAST_ROWS, LEAST_SHARE * toxic)
+    least, floor = _least(toxic, clean)
     weights = {f: math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1)) for f, (t, c) in counts.items() if t >= least}
-    floor = max(LEAST_WEIGHT, math.log(2 * (clean + 1)) - WEIGHT_RANGE)
-    strong = sorted((w, f) for f, w in weights.items() if w >= floor)[-LEXICON:]
-    return {f: w for w, f in strong}
+    return {f: w for f, w in weights.items() if w >= floor}
+
+
+def _strong(t: Column, c: Column, toxic: int, clean: int) -> Column:
+    """Whether a word of so many toxic and clean rows is in the lexicon; a little more than those."""
+    least, floor = _least(toxic, clean)
+    return (t >= least) & (F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1)) >= floor - 1e-6)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -317,12 +328,16 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 
     cell = lambda y, h: F.sum(F.when((F.col("y") == y) & (F.col("h") == h), F.col("n")).otherwise(0)).alias(f"n{y}{h}")
     table = sample.select("text", "toxic", "half").mapInPandas(count, "f string, y int, h int, n long").groupBy("f").agg(*(cell(y, h) for y in (1, 0) for h in (0, 1)))
-    table = table.where((F.col("n10") + F.col("n11") >= LEAST_ROWS) | (F.col("f") == ""))
-    kept = table.orderBy((F.col("f") != ""), F.desc((F.col("n10") + F.col("n11")) / (F.col("n00") + F.col("n01") + 1)), "f").limit(2 * LEXICON).collect()
-    totals = next((r for r in kept if r["f"] == ""), None)
+    table = save(table.where((F.col("n10") + F.col("n11") >= LEAST_ROWS) | (F.col("f") == "")), "evidence")
+    totals = table.where(F.col("f") == "").first()
     if totals is None or not totals["n10"] + totals["n11"]:
         return Model(letters, {}, -50.0, 0.0)
-    rows = [r for r in kept if r["f"]]
+    # a word of a lexicon is in a hundredth of the sample's toxic rows, so there are a hundred times as many as such a row has, at most
+    both = lambda y: F.col(f"n{y}0") + F.col(f"n{y}1")
+    strong = _strong(both(1), both(0), totals["n10"] + totals["n11"], totals["n00"] + totals["n01"])
+    for h in (0, 1):
+        strong |= _strong(F.col(f"n1{h}"), F.col(f"n0{h}"), totals[f"n1{h}"], totals[f"n0{h}"])
+    rows = table.where((F.col("f") != "") & strong).collect()
     halves = [_lexicon({r["f"]: (r[f"n1{h}"], r[f"n0{h}"]) for r in rows}, totals[f"n1{h}"], totals[f"n0{h}"]) for h in (0, 1)]
     lexicon = _lexicon({r["f"]: (r["n10"] + r["n11"], r["n00"] + r["n01"]) for r in rows}, totals["n10"] + totals["n11"], totals["n00"] + totals["n01"])
     crossed = spark.sparkContext.broadcast([Model(letters, lex, 0.0, 1.0) for lex in halves])
@@ -330,7 +345,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorers = [Scorer(m) for m in crossed.value]
         for frame in batches:
-            x = [min(scorers[1 - h].evidence(t), 60.0) for t, h in zip(frame["text"], frame["half"])]
+            x = [min(scorers[1 - h].evidence(t), FITTED_EVIDENCE) for t, h in zip(frame["text"], frame["half"])]
             yield pd.DataFrame({"x": x, "y": frame["toxic"].astype(float)})
 
     points = sample.select("text", "toxic", "half").mapInPandas(evidence, "x double, y double").toPandas()
