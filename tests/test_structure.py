@@ -344,6 +344,22 @@ def test_matches_in_turn_dont_wait_for_each_other(spark):
     assert got == [(i, 100 + i) for i in range(25)] and jobs < 40
 
 
+@pytest.mark.parametrize("width", [1, 3])
+def test_matches_in_turn_of_copies_take_few_rounds(spark, width):
+    """Copies of references ask for copies of candidates, some of which lie where blocks meet, and of which there are too few."""
+    rng = np.random.default_rng(width)
+    x, y = rng.integers(-8, 16, (12, width)) * 0.6, rng.integers(-16, 32, (9 * width, width)) * 0.3
+    x, y = np.repeat(x, 20, 0)[rng.permutation(240)], np.repeat(y, 20, 0)
+    left, want = np.ones(len(y), bool), []
+    for i, at in enumerate(x):
+        d = np.where(left, np.sqrt(((y - at) ** 2).sum(1)), np.inf)
+        if d.min() <= 1.2:
+            left[d.argmin()] = False
+            want.append((i, int(d.argmin())))
+    got, jobs = jobs_of(spark, lambda: sorted((r["i"], r["j"]) for r in ranges.matched_within(cloud_of(spark, x), cloud_of(spark, y), 1.2).collect()))
+    assert got == want and 0 < len(want) < len(x) and jobs < 150  # a job for each copy and more before
+
+
 def test_rings_of_many_centers_are_few_jobs_and_the_same_as_over_keys(spark, monkeypatch):
     x = np.random.default_rng(4).normal(size=(50, 2))
     points = save(cloud_of(spark, x), "cloud")
