@@ -372,6 +372,26 @@ def test_rings_of_many_centers_are_few_jobs_and_the_same_as_over_keys(spark, mon
     assert got == want and len(got) == 300 and jobs < 15
 
 
+def test_rings_of_copies_are_counted_once(spark, monkeypatch):
+    """Four copies of each row: some joined by edges, some not, and copies of centers."""
+    x = np.repeat(np.random.default_rng(4).normal(size=(40, 2)), 4, 0)
+    points = save(cloud_of(spark, x), "cloud")
+    apart = [(i, i + 1, 0.0) for i in range(0, 160, 4)] + [(i + 1, i + 2, 0.0) for i in range(0, 80, 4)]
+    edges = save(edges_of(points, 5).where("length > 0").union(spark.createDataFrame(apart, "src long, dst long, length double")), "edges")
+    centers = save(points.select(F.col("row_id").alias("center"), F.col("x").alias("c"), F.lit(0.6).alias("base")), "centers")
+    seen, own = [], junctions._ring_arms
+
+    def counted(points, edges, centers, *rest):
+        seen.append((points.count(), centers.count()))
+        return own(points, edges, centers, *rest)
+
+    want = sorted(tuple(r) for r in own(points, edges, centers, junctions.scales(), junctions.INNER, junctions.LONGEST).collect())
+    monkeypatch.setattr(junctions, "_ring_arms", counted)
+    got = sorted(tuple(r) for r in junctions.ring_arms(points, edges, centers, junctions.scales()).collect())
+    assert got == want and len(got) == 960 and len({r[2] for r in got}) > 3
+    assert seen == [(20 * 2 + 20 * 3, 40)]  # all 160 and 160 before
+
+
 def test_distances_of_long_routes_are_those_of_all_pairs(spark):
     from threadmap.operators.routes import directed_distances
 
